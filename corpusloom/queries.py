@@ -1,0 +1,40 @@
+"""The library's queries over the driver tables, with SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query(r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '[ \t]+', ' ', 'g'), '\s+'), lambda x: x <> '') as ws
+  from documents where length(trim(text, E' \n\t\r')) >= 10
+)
+select doc_id, cast(i as int) as chunk_index, array_to_string(ws[i * 300 + 1 : i * 300 + 300], ' ') as text
+from (select doc_id, ws, unnest(range((len(ws) + 299) // 300)) as i from w where len(ws) > 0)
+""")
+def word_chunks_300(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = T.clean_text(T.remove_unprintable(T.normalize_whitespace(F.col("text"))))
+    docs = docs.withColumn("text", clean).where(F.col("text").isNotNull())
+    return T.split_by_word(docs, "text", 300).select("doc_id", "chunk_index", "text")
