@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .language_id import op6_language_id
+from .line_dedup import OP10_SQL, op10_line_dedup
+from .packing import op4_packing
 from .token_count import op7_token_counts
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op6_language_id, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_packing, op6_language_id, op7_token_counts, op10_line_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -63,28 +63,35 @@ def fit_noisy_or(texts: list[str], labels: list[int], bits: int = 20, least_shar
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(bits=bits)
-    hashed = [[{f for w in words for f in word_features(w, bits)} for _, _, words in sentences(t)] for t in texts]
-    spread = Counter(f for bag in hashed for f in set().union(*bag))
-    least = max(4, least_share * len(texts))
-    w, b = _fit(hashed, y, {f for f, n in spread.items() if n >= least}, rounds)
-    w, b = _fit(hashed, y, {f for f, v in w.items() if v >= 1.0}, 2 * rounds)
-    return ToxicityModel(w, b, bits)
-
-
-def _fit(hashed: list[list[set[int]]], y: np.ndarray, keep: set[int], rounds: int, rate: float = 0.4, decay: float = 1e-5) -> tuple[dict[int, float], float]:
-    """Weights and bias by full-batch Adagrad on the documents' log loss."""
-    place = {f: k for k, f in enumerate(sorted(keep))}
-    features, sentence_of, bag_of = [], [], []
-    for d, bag in enumerate(hashed):
-        for s in bag:
-            kept = [place[f] for f in s if f in place]
-            features += kept
-            sentence_of += [len(bag_of)] * len(kept)
+    features, sentence_of, bag_of = array("I"), array("I"), array("I")
+    for d, text in enumerate(texts):
+        for _, _, words in sentences(text):
+            found = {f for w in words for f in word_features(w, bits)}
+            features.extend(found)
+            sentence_of.extend([len(bag_of)] * len(found))
             bag_of.append(d)
-    features, sentence_of, bag_of = np.array(features, int), np.array(sentence_of, int), np.array(bag_of, int)
+    features, sentence_of, bag_of = (np.frombuffer(a, np.uint32) for a in (features, sentence_of, bag_of))
+    pairs = np.unique((bag_of[sentence_of].astype(np.uint64) << np.uint64(bits)) | features)
+    spread = np.bincount(pairs & np.uint64((1 << bits) - 1), minlength=1 << bits)
+    keep = np.flatnonzero(spread >= max(4, least_share * len(texts)))
+    for times in (1, 2):
+        w, b = _fit(features, sentence_of, bag_of, y, keep, bits, times * rounds)
+        if times == 1:
+            keep = keep[w >= 1.0]
+    return ToxicityModel(dict(zip(keep.tolist(), w.tolist())), b, bits)
+
+
+def _fit(
+    features: np.ndarray, sentence_of: np.ndarray, bag_of: np.ndarray, y: np.ndarray, keep: np.ndarray, bits: int, rounds: int, rate: float = 0.4, decay: float = 1e-5
+) -> tuple[np.ndarray, float]:
+    """Weights of the features in ``keep`` and the bias, by full-batch Adagrad on the documents' log loss."""
+    place = np.full(1 << bits, -1, np.int32)
+    place[keep] = np.arange(len(keep), dtype=np.int32)
+    used = place[features]
+    sentence_of, features = sentence_of[used >= 0].astype(np.int32), used[used >= 0]
     n_sentences, n_docs = len(bag_of), len(y)
-    w, b = np.zeros(len(place)), -6.0
-    seen_w, seen_b = np.full(len(place), 1e-8), 1e-8
+    w, b = np.zeros(len(keep)), -6.0
+    seen_w, seen_b = np.full(len(keep), 1e-8), 1e-8
     for _ in range(rounds):
         z = np.bincount(sentence_of, w[features], n_sentences) + b
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
@@ -92,13 +99,13 @@ def _fit(hashed: list[list[set[int]]], y: np.ndarray, keep: set[int], rounds: in
         toxic = np.maximum(-np.expm1(clean), 1e-12)
         pull = np.where(y == 1, -np.exp(clean) / toxic, 1.0)  # of the loss on each sentence's logit, over p
         g = pull[bag_of] * p
-        gw = np.bincount(features, g[sentence_of], len(place)) / n_docs + decay * w
+        gw = np.bincount(features, g[sentence_of], len(keep)) / n_docs + decay * w
         gb = g.sum() / n_docs
         seen_w += gw * gw
         seen_b += gb * gb
         w -= rate * gw / np.sqrt(seen_w)
         b -= rate * gb / np.sqrt(seen_b)
-    return {f: float(w[k]) for f, k in place.items()}, float(b)
+    return w, float(b)
 
 
 class _Weights(dict):
@@ -148,7 +155,7 @@ def toxicity_column(spark: SparkSession, model: ToxicityModel, text: Column) ->
 
 
 def fit_toxicity(
-    labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_bytes: int = 12 << 20
+    labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_bytes: int = 8 << 20
 ) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows.
 
