@@ -62,7 +62,7 @@ def hash_share(column: Column, share: float | Column, salt: int = 0) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; only partition counts depend on it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, target_bytes: int = 32 << 20, least: int = 12) -> int:

@@ -72,16 +72,16 @@ def drop_keys(text: str | None, drop: set[bytes], min_chars: int, keep: set[byte
 
 
 def _suspects(spark: SparkSession, twice: bloom.Bits, min_chars: int, text: Column) -> Column:
-    """The digests of a text that are in the filter, as one binary of 16 bytes each."""
+    """The digests of a text's keys that are in the filter."""
     shared = spark.sparkContext.broadcast(twice)
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<binary>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             each = [key_digests(t, min_chars) for t in texts]
             flat = [d for ds in each for d in ds]
             hit = iter(shared.value.has(_as_hashes(flat)).tolist())
-            yield pd.Series([b"".join(d for d in ds if next(hit)) for ds in each], dtype=object)
+            yield pd.Series([[d for d in ds if next(hit)] for ds in each], dtype=object)
 
     return find(text)
 
@@ -103,10 +103,8 @@ def dedup_lines(
     twice = bloom.once_and_twice(docs.select(F.col(text_col).alias("t")), hashes, bits)
 
     marked = docs.drop("n_lines", "n_dropped").withColumn("__suspects", _suspects(spark, twice, min_chars, F.col(text_col)))
-    some = F.octet_length("__suspects") > 0
-    at = F.sequence(F.lit(0), F.octet_length("__suspects") / 16 - 1)
-    each = F.transform(at, lambda i: F.substring(F.col("__suspects"), (i * 16 + 1).cast("int"), F.lit(16)))
-    pairs = marked.where(some).select(F.col(id_col).alias("__id"), F.explode(each).alias("__key")).distinct()
+    some = F.size("__suspects") > 0
+    pairs = marked.where(some).select(F.col(id_col).alias("__id"), F.explode("__suspects").alias("__key")).distinct()
     counted = pairs.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     confirmed = counted.where(F.col("__n") >= min_docs).select("__key", "__first")
     found = pairs.join(confirmed, "__key")

@@ -20,6 +20,7 @@ Ties are ordered by id. An empty table packs into an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -49,6 +50,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -137,13 +139,28 @@ def _knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, most_rounds: int = 20_000) -> list[tuple[dict[int, int], int]]:
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots; without LAPACK, whose threads can hang beside a JVM."""
+    m = len(matrix)
+    both = np.hstack([matrix, np.eye(m)])
+    for k in range(m):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        rest = both[:, k].copy()
+        rest[k] = 0.0
+        both -= np.outer(rest, both[k])
+    return both[:, m:]
+
+
+def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, patience: int = 600) -> list[tuple[dict[int, int], int]]:
     """Patterns {class: pieces} with multiplicities that cover ``demand`` {class in units: pieces}.
 
     Revised simplex over the generated columns; a basis of as many rows as
     classes are in use. Ends when the better of Farley's bound and the units that
-    there are proves the value within ``gap`` (or half a sequence) of the optimum. Always returns a cover, as the basis is
-    feasible at every step.
+    there are proves the value within ``gap`` (or half a sequence) of the optimum,
+    or when ``patience`` columns in a row have not brought a tenth of that. The
+    basis is feasible at every step, so the result always covers the demand.
     """
     classes = sorted(c for c, n in demand.items() if n > 0)
     m = len(classes)
@@ -155,16 +172,22 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, mos
     fits = capacity // at
     basis[np.arange(m), np.arange(m)] = fits
     inverse = np.diag(1.0 / fits)
-    amounts, bound = need / fits, float(need @ at) / capacity
-    for round_ in range(most_rounds):
+    bound = float(need @ at) / capacity
+    exact, need = need, need + 1e-3 * np.arange(1, m + 1) / m  # parts ties, on which the simplex could stall
+    amounts = need / fits
+    least, since, round_ = np.inf, 0, 0
+    while True:
         duals = inverse.sum(axis=0)
         value = np.full(capacity + 1, -1.0)
         value[at] = np.maximum(duals, 0.0)
         gain, pattern = _knapsack(value, capacity)
         total = amounts.sum()
         bound = max(bound, total / gain)
-        if gain <= 1 + 1e-9 or total - bound <= max(0.5, gap * total):
+        since = 0 if total < least - 0.1 * gap * total else since + 1
+        least = total if since == 0 else least
+        if gain <= 1 + 1e-9 or total - bound <= max(0.5, gap * total) or since > patience:
             break
+        round_ += 1
         column = pattern[at].astype(float)
         direction = inverse @ column
         up = direction > 1e-9
@@ -176,15 +199,15 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3, mos
         amounts = np.maximum(amounts - step * direction, 0.0)
         amounts[out] = step
         basis[:, out] = column
-        if round_ % 500 == 499:  # anew, against rounding errors
-            inverse = np.linalg.inv(basis)
+        if round_ % 500 == 0:  # anew, against rounding errors
+            inverse = _inverse(basis)
             amounts = np.maximum(inverse @ need, 0.0)
         else:
             row = inverse[out] / direction[out]
             inverse -= np.outer(direction, row)
             inverse[out] = row
     times = np.floor(amounts + 1e-7).astype(np.int64)
-    left = need.astype(np.int64) - (basis @ times).astype(np.int64)
+    left = exact.astype(np.int64) - np.rint(basis @ times).astype(np.int64)
     found = [({int(at[i]): int(basis[i, k]) for i in np.flatnonzero(basis[:, k])}, int(times[k])) for k in range(m) if times[k] > 0]
     return found + [(p, 1) for p in _best_fit({int(c): int(n) for c, n in zip(at, left) if n > 0}, capacity)]
 
