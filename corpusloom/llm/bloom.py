@@ -52,8 +52,8 @@ class Bits:
         return found
 
 
-def once_and_twice(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bits: int) -> Bits:
-    """The filter of keys that rows of ``df`` hold at least twice.
+def once_and_twice(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bits: int) -> tuple[Bits, Bits]:
+    """The filters of keys that rows of ``df`` hold, and hold at least twice.
 
     ``hashes`` gives the 64-bit key hashes of a batch of rows. Each task sets
     every key's bits in a filter "once", and those of keys that its filter
@@ -92,8 +92,9 @@ def once_and_twice(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray],
     made = df.mapInPandas(build, schema)
     made = made.groupBy("slice", F.floor(F.col("part") / _FAN_IN).cast("int").alias("__g")).applyInPandas(merge, schema)
     made = made.groupBy("slice").applyInPandas(merge, schema)
-    out = Bits(bits)
-    for row in made.select("slice", "twice").toLocalIterator():
-        out.data[row["slice"] * n_bytes : row["slice"] * n_bytes + n_bytes] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
-    return out
-
+    once, twice = Bits(bits), Bits(bits)
+    for row in made.toLocalIterator():
+        here = slice(row["slice"] * n_bytes, (row["slice"] + 1) * n_bytes)
+        once.data[here] = np.frombuffer(zlib.decompress(row["once"]), np.uint8)
+        twice.data[here] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
+    return once, twice
