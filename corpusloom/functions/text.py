@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +51,123 @@ def split_by_word(df: DataFrame, column: str, word_per_chunk: int = 300, index:
     )
     keep = [c for c in df.columns if c != column]
     return cut.select(*keep, F.posexplode(chunks).alias(index, column))
+
+
+# ---------------------------------------------------------------- section trimming
+
+_ABSTRACT = r"(?md)^(?:Abstract|ABSTRACT)"
+_CLOSING = r"(?is)\A(.*\n|)(Conclusions|Summary)\b"
+_BACK_MATTER = r"(?i)(?<=\n)(?:References?|Bibliography|Acknowledgements?|Data availability|Supplemental material)\b"
+
+
+def trim_sections(text: Column) -> Column:
+    """From the first abstract heading to the first back-matter heading.
+
+    Back matter counts past 67 % of the text only, and past the last conclusions
+    or summary heading if that stands at 60 % or later. Null and empty texts stay.
+    """
+    size = F.length(text)
+    at = F.regexp_instr(text, F.lit(_ABSTRACT))
+    start = F.when(at > 0, at - 1).otherwise(0)
+    heading = F.regexp_extract(text, _CLOSING, 2)
+    heading_at = F.length(F.regexp_extract(text, _CLOSING, 1))
+    floor = F.when((F.length(heading) > 0) & (heading_at >= size * 0.6), heading_at + F.length(heading)).otherwise(0)
+    # the first place that may hold the heading, with the line end before it
+    lowest = F.greatest(floor + 1, F.floor(size * 0.67).cast("int") + 1)
+    found = F.regexp_instr(F.substring(text, lowest, size), F.lit(_BACK_MATTER))
+    end = F.when(found > 0, lowest + found - 2).otherwise(size)
+    return F.when(size > 0, F.when(end > start, F.substring(text, start + 1, end - start)).otherwise("")).otherwise(text)
+
+
+# ---------------------------------------------------------------- sentences
+
+
+def _protected(text: Column) -> Column:
+    """Dots that end no sentence are written [DOT]."""
+    def mark(text: Column, token: str) -> Column:
+        """Every dot inside a match of ``token``; a match is fenced by two control characters while its dots change."""
+        fenced = F.regexp_replace(text, f"({token})", "\u0001$1\u0002")
+        return F.array_join(
+            F.transform(
+                F.split(fenced, "(?=\u0001)|(?<=\u0002)"),
+                lambda part: F.when(part.startswith("\u0001"), F.replace(F.translate(part, "\u0001\u0002", ""), F.lit("."), F.lit(_DOT))).otherwise(part),
+            ),
+            "",
+        )
+
+    text = mark(text, r"(?U)https?://[^\s]+|doi\.org/[^\s]+")
+    text = mark(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+    text = F.regexp_replace(text, r"(?U)(\d)\.(\d)", r"$1\[DOT]$2")
+    for short in ABBREVIATIONS:
+        text = F.regexp_replace(text, rf"(?iU)\b{short.replace('.', chr(92) + '.')}\.", f"{short}\\[DOT]")
+    return F.regexp_replace(text, r"(?U)(\[\d+\]|\(\d+\)|^\d+)\.", r"$1\[DOT]")
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text, without blank ones."""
+    parts = F.split(_protected(text), r"(?U)(?<=[.!?…])\s+(?=[A-Z])")
+    return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(_DOT), F.lit(".")))), lambda s: s != "")
+
+
+def sentence_blocks(text: Column, min_words: int = 10) -> Column:
+    """Sentences packed in order until a block has ``min_words`` words; blocks not starting with an ASCII letter go."""
+    count = lambda s: F.size(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != ""))
+    nothing = F.struct(
+        F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n")
+    )
+
+    def add(state: Column, sentence: Column) -> Column:
+        block = F.concat(state["open"], F.array(sentence))
+        n = state["n"] + count(sentence)
+        full = n >= min_words
+        return F.struct(
+            F.when(full, F.concat(state["done"], F.array(F.array_join(block, " ")))).otherwise(state["done"]).alias("done"),
+            F.when(full, F.array().cast("array<string>")).otherwise(block).alias("open"),
+            F.when(full, 0).otherwise(n).alias("n"),
+        )
+
+    def finish(state: Column) -> Column:
+        blocks = F.when(F.size(state["open"]) > 0, F.concat(state["done"], F.array(F.array_join(state["open"], " ")))).otherwise(state["done"])
+        return F.filter(blocks, lambda b: b.rlike("^[A-Za-z]"))
+
+    return F.aggregate(sentences(text), nothing, add, finish)
+
+
+def split_by_sentence_block(df: DataFrame, column: str, min_words: int = 10) -> DataFrame:
+    """One row per block; null and empty texts give none."""
+    blocks = sentence_blocks(F.coalesce(F.col(column), F.lit("")), min_words)
+    keep = [c for c in df.columns if c != column]
+    return df.select(*keep, F.posexplode(blocks).alias("block_index", column)).select(*keep, "block_index", column)
+
+
+# ---------------------------------------------------------------- characters and language
+
+
+def remove_accents(text: Column) -> Column:
+    """Canonical decomposition without combining marks."""
+
+    @F.pandas_udf("string")
+    def bare(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if t is None or t.isascii():
+                return t
+            return "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+
+        return texts.map(one)
+
+    return bare(text)
+
+
+def keep_language(df: DataFrame, column: str, predict, language: str = "en", threshold: float = 0.65) -> DataFrame:
+    """Keep the pieces between dots that ``predict`` gives to ``language``.
+
+    ``predict`` maps a column of array<string> to array<struct(label, probability)>;
+    see :mod:`corpusloom.plans.providers`. Rows of which nothing is left go.
+    """
+    pieces = F.filter(F.transform(F.split(F.col(column), r"\."), strip), lambda p: p != "")
+    collapsed = F.transform(F.col("__pieces"), lambda p: F.regexp_replace(p, r"(?U)\s+", " "))
+    zipped = F.arrays_zip(F.col("__pieces").alias("piece"), F.col("__found").alias("found"))
+    kept = F.filter(zipped, lambda z: (z["found"]["label"] == language) & (z["found"]["probability"] >= threshold))
+    out = df.withColumn("__pieces", pieces).withColumn("__found", predict(collapsed))
+    out = out.withColumn(column, F.array_join(F.transform(kept, lambda z: z["piece"]), ". ")).drop("__pieces", "__found")
+    return out.where(F.length(F.trim(column)) > 0)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import parsing, prompts, vectors
 from .functions import text as T
+from .operators import corpus, dedup, generation, matching, rag, sampling, scoring, vector_search
+from .plans import etl, providers
+from .streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,3 +42,417 @@ def word_chunks_300(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = T.clean_text(T.remove_unprintable(T.normalize_whitespace(F.col("text"))))
     docs = docs.withColumn("text", clean).where(F.col("text").isNotNull())
     return T.split_by_word(docs, "text", 300).select("doc_id", "chunk_index", "text")
+
+
+CLEAN_SQL = r"trim(regexp_replace(text, '[ \t]+', ' ', 'g'), E' \n\t\r')"
+
+
+def _clean(column: str = "text"):
+    return T.clean_text(T.remove_unprintable(T.normalize_whitespace(F.col(column))))
+
+
+@query(f"select doc_id, {CLEAN_SQL} as text from documents where length({CLEAN_SQL}) >= 10")
+def clean_min_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _clean().alias("text"))
+    return docs.where(F.col("text").isNotNull())
+
+
+@query(r"""
+with s as (select doc_id, unnest(string_split(regexp_replace(text, '([.!?…])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) as s
+  from documents where not regexp_matches(text, '[0-9]\.|@|https?://|(?i)\b(e\.g|i\.e|S\.A|U\.S\.A|Dr|Mr|Ms|Prof|Inc|Ltd|Jr|Sr|vs|Fig|No|Vol|pp|et al|etc)\.'))
+select doc_id, trim(s, E' \n\t\r') as sentence from s where trim(s, E' \n\t\r') <> ''
+""")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the SQL has no look-around to protect dots, so both sides take texts that have none to protect
+    odd = r"(?i)[0-9]\.|@|https?://|\b(e\.g|i\.e|S\.A|U\.S\.A|Dr|Mr|Ms|Prof|Inc|Ltd|Jr|Sr|vs|Fig|No|Vol|pp|et al|etc)\."
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(odd))
+    return docs.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+
+
+@query()
+def sentence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.split_by_sentence_block(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 10)
+
+
+@query(r"""
+with d as (select doc_id, 'Title' || chr(10) || 'Abstract' || chr(10) || text || chr(10) || 'References' || chr(10) || substr(text, 1, 40) as t,
+    6 as a, 6 + 9 + length(text) + 1 as r from documents)
+select doc_id, case when r > 0.67 * length(t) then substr(t, a + 1, r - a) else substr(t, a + 1) end as text from d
+""")
+def trim_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("Title\nAbstract\n"), F.col("text"), F.lit("\nReferences\n"), F.substring("text", 1, 40))
+    return table(spark, sf_dir, "documents").select("doc_id", T.trim_sections(text).alias("text"))
+
+
+@query(r"""
+with p as (select doc_id, i, trim(s, E' \n\t\r') as s from (
+    select doc_id, unnest(string_split(text, '.')) as s, generate_subscripts(string_split(text, '.'), 1) as i from documents)),
+w as (select doc_id, i, s, list_filter(regexp_split_to_array(lower(s), '\s+'), lambda x: x <> '') as ws from p where s <> ''),
+k as (select doc_id, i, s, len(list_filter(ws, lambda x: list_contains(['the','of','and','to','in','that','is','for','it','on','with','as','was','this','are','by','at','from'], x)))::double / greatest(1, len(ws)) as share from w)
+select doc_id, string_agg(s, '. ' order by i) as text from k
+where share >= 0.06::double and least(1.0::double, 0.5::double + 2.5::double * share) >= 0.65::double group by doc_id
+""")
+def english_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predict = providers.language_predictor(providers.stop_word_language)
+    return T.keep_language(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", predict)
+
+
+@query("select doc_id, strip_accents(text) as text from documents")
+def accent_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.remove_accents(F.col("text")).alias("text"))
+
+
+@query(r"""
+select text, 'literature' as source from documents where trim(text, E' \n\t\r') <> ''
+union all select text, 'web' as source from benchmark where trim(text, E' \n\t\r') <> ''
+""")
+def merge_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("Full Text"))
+    return corpus.merge_corpora(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query(r"""
+(select 0 as stage, doc_id as pos, trim(text, E' \n\t\r') as text from documents where length(trim(text, E' \n\t\r')) >= 10 order by doc_id limit 120)
+union all
+(select 1 as stage, item_id as pos, trim(text, E' \n\t\r') as text from benchmark where length(trim(text, E' \n\t\r')) >= 10 order by item_id limit 15)
+""")
+def prefix_limit_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), "text")
+    return corpus.build_sft_corpus(docs, bench, 10, 120, 15, order=("pos",))
+
+
+_TRIPLES_SQL = r"""
+select conv_id, min_by(text, turn) filter (where role = 'user') as instruction,
+  coalesce(min_by(text, turn) filter (where role = 'system'), 'none') as input, min_by(text, turn) filter (where role = 'assistant') as output
+from conversations group by conv_id
+"""
+
+
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id")
+    return rows.agg(pick("user").alias("instruction"), F.coalesce(pick("system"), F.lit("none")).alias("input"), pick("assistant").alias("output"))
+
+
+@query(rf"""
+with t as (select conv_id, trim(instruction, E' \n\t\r') as instruction, trim(input, E' \n\t\r') as input, trim(output, E' \n\t\r') as output from ({_TRIPLES_SQL}))
+select min(conv_id) as conv_id, instruction, input, output from t where instruction <> '' and input <> '' and output <> '' group by instruction, input, output
+""")
+def exact_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_triples(_triples(spark, sf_dir), ("conv_id",))
+
+
+_NEAR_SQL = r"""
+with recursive reps as (select min(doc_id) as id, text from documents group by text),
+words as (select id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as ws from reps),
+sets as (select id, list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) as s from words where len(ws) >= 5),
+items as (select id, len(s) as n, unnest(s) as g from sets),
+pairs as (select a.id as a, b.id as b, count(*)::double / (any_value(a.n) + any_value(b.n) - count(*)) as similarity
+  from items a join items b on a.g = b.g and a.id < b.id group by a.id, b.id having count(*)::double / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.75)
+"""
+
+
+@query(_NEAR_SQL + "select a, b, round(similarity, 6) as similarity from pairs")
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup.near_duplicate_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(_NEAR_SQL + r""", ends as (select a, b from pairs union all select b, a from pairs),
+reach(id, r) as (select id, id from reps union select e.b, r from reach join ends e on e.a = reach.id),
+comp as (select id, min(r) as c from reach group by id)
+select d.doc_id, comp.c as component, d.doc_id = comp.c as kept from documents d join reps r on r.text = d.text join comp on comp.id = r.id
+""")
+def near_dup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("""
+select vec_id, label, origin, group_rank from (
+  select vec_id, label, vec_id % 2 as origin, row_number() over (partition by label order by vec_id % 2, vec_id) as group_rank from embeddings) where group_rank <= 30
+""")
+def seed_cap_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    capped = corpus.cap_per_group(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), ["label"], ["vec_id"], 30)
+    return capped.select("vec_id", "label", F.col("origin").cast("long").alias("origin"), "group_rank")
+
+
+_BEST_SQL = """
+with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+s as (select q.vec_id as query_id, i.vec_id as match_id, i.label as label, round(list_dot_product(q.e, i.e), 6) as score
+  from v q join v i on q.vec_id % 5 <> 0 and i.vec_id % 5 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, match_id) as rank from s)
+"""
+
+
+def _search(spark: SparkSession, sf_dir: str):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return v.where("id % 5 <> 0"), v.where("id % 5 = 0")
+
+
+@query(_BEST_SQL + "select query_id, match_id, score, label as seed_label from r where rank = 1")
+def semantic_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, seeds = _search(spark, sf_dir)
+    best = vector_search.attach_annotations(vector_search.top_k(queries, seeds, 1, digits=6), seeds, "id", ["label"])
+    return best.select("query_id", "match_id", "score", F.col("matched_annotation.label").alias("seed_label"))
+
+
+@query(_BEST_SQL + ", b as (select query_id, match_id, score from r where rank = 1 order by score desc, query_id limit 50) "
+       "select *, row_number() over (order by score desc, query_id) as rank from b")
+def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, seeds = _search(spark, sf_dir)
+    return vector_search.semantic_filter(queries, seeds, 50, digits=6)
+
+
+@query(_BEST_SQL + "select query_id, match_id, round(1 - score, 6) as distance, rank as retrieval_rank from r where rank <= 30")
+def retrieve_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, seeds = _search(spark, sf_dir)
+    found = vector_search.retrieve(queries, seeds, 30, digits=6)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(_BEST_SQL + """, c as (select query_id, match_id, rank as retrieval_rank, match_id % 17 as rerank_score from r where rank <= 30)
+select *, row_number() over (partition by query_id order by rerank_score desc, retrieval_rank) as rerank_rank,
+  row_number() over (partition by query_id order by rerank_score desc, retrieval_rank) <= 15 as kept from c""")
+def rerank_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, seeds = _search(spark, sf_dir)
+    found = vector_search.retrieve(queries, seeds, 30, digits=6).select("query_id", "match_id", "retrieval_rank", (F.col("match_id") % 17).alias("rerank_score"))
+    return vector_search.rerank(found, "rerank_score", 15, 30)
+
+
+@query(_BEST_SQL + ", n as (select vec_id, sqrt(list_dot_product(e, e)) as size, e from v) "
+       "select vec_id, round(list_sum(list_transform(e, lambda x: x / size)), 6) as total, round(size, 6) as size from n")
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").withColumn("u", vectors.l2_normalize(F.col("embedding")))
+    total = F.aggregate("u", F.lit(0.0), lambda s, x: s + x)
+    return e.select("vec_id", F.round(total, 6).alias("total"), F.round(vectors.norm(F.col("embedding")), 6).alias("size"))
+
+
+@query(rf"""
+with d as (select doc_id % 40 as q, doc_id, row_number() over (partition by doc_id % 40 order by doc_id) as k, substr(text, 1, 80) as content, source from documents),
+e as (select q, string_agg('[Evidence ' || k || '] source_file=' || source || '; section_id=' || doc_id || chr(10) || content, chr(10) || chr(10) order by k) as c from d where k <= 3 group by q)
+select item_id, 'Answer with the help of the evidence.' || chr(10) || chr(10) || coalesce(c, '{prompts.NO_EVIDENCE}') || chr(10) || chr(10) || 'Question:' || chr(10) || text as rag_prompt
+from benchmark left join e on q = item_id
+""")
+def assemble_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 40).alias("query_id"), F.row_number().over(Window.partitionBy(F.col("doc_id") % 40).orderBy("doc_id")).alias("retrieval_rank"),
+        F.substring("text", 1, 80).alias("content"), F.col("source").alias("source_file"), F.col("doc_id").cast("string").alias("section_id"),
+    ).where("retrieval_rank <= 3")
+    ranked = docs.withColumn("rerank_rank", F.col("retrieval_rank")).withColumn("kept", F.lit(True))
+    evidence = vector_search.collect_evidence(ranked, ["content", "source_file", "section_id"])
+    items = table(spark, sf_dir, "benchmark").join(evidence.withColumnRenamed("query_id", "item_id"), "item_id", "left")
+    shown = F.coalesce("reranked_docs", F.array().cast(evidence.schema["reranked_docs"].dataType))
+    return items.select("item_id", prompts.evidence_prompt(F.col("text"), shown).alias("rag_prompt"))
+
+
+@query("""
+with s as (select 'f' || (page_id % 9) || '.json' as source_file, case when page_id % 9 < 5 then (page_id % 9) || '_x' else 'std' || (page_id % 9) end as stem, page_id as pos,
+    nullif(trim(case when page_id % 11 = 0 then ' ' else cast(page_id % 4 as varchar) end), '') as section_id, url as content from pages),
+b as (select *, coalesce(nullif(regexp_extract(stem, '^([0-9]+)', 1), ''), stem) || '.' || section_id as base from s where section_id is not null),
+n as (select *, row_number() over (partition by base order by source_file, pos) - 1 as k from b)
+select source_file, pos, section_id, content, case when k = 0 then base else base || '.' || k end as chunk_id from n
+""")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, nine = table(spark, sf_dir, "pages"), (F.col("page_id") % 9).cast("string")
+    sections = p.select(
+        F.concat(F.lit("f"), nine, F.lit(".json")).alias("source_file"), F.when(F.col("page_id") % 9 < 5, F.concat(nine, F.lit("_x"))).otherwise(F.concat(F.lit("std"), nine)).alias("stem"),
+        F.col("page_id").alias("pos"), F.when(F.col("page_id") % 11 == 0, " ").otherwise((F.col("page_id") % 4).cast("string")).alias("section_id"), F.col("url").alias("content"),
+    )
+    return rag.require_unique(rag.chunk_ids(sections), "chunk_id").select("source_file", "pos", "section_id", "content", "chunk_id")
+
+
+@query()
+def split_long_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d."), "doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return rag.split_long_sections(docs, plan=rag.SplitPlan(most_tokens=350))
+
+
+_ANSWERS = [
+    (1, "答案：B|A|B\n解析：because", False, "AB"), (2, "答案：B|A|B\n解析：because", True, "B"), (3, "b", True, "B"), (4, "I think A is right", True, "A"),
+    (5, "Final answer: **C", True, "C"), (6, "Answer: A\nAnswer: D", True, "D"), (7, "Answer: Apple", True, "A"), (8, "A, C", False, "CA"), (9, "Answer: [A、C]", False, ""),
+]
+_ANSWERS_SQL = "(values " + ", ".join(f"({i}, '{r}', {str(s).lower()}, '{g}')" for i, r, s, g in _ANSWERS) + ") as t(id, response, single, gold)"
+_ANSWER_SQL = rf"""
+with raw as (select * from {_ANSWERS_SQL}),
+m as (select *, regexp_extract_all(response || ' ', '(?i)(?:最终答案|正确答案|答案|final answer|answer)\s*[:：]\s*\**\s*\[?\s*([A-D](?:[\s|、,，]*[A-D])*)(?:[^A-Za-z])', 1) as hits from raw),
+v as (select *, case when len(hits) > 0 then hits[-1] when regexp_matches(response, '(?i)^\s*[A-D](?:[\s|、,，]*[A-D])*\s*$') then response end as chosen from m),
+l as (select *, list_sort(list_distinct(regexp_extract_all(upper(chosen), '[A-D]'))) as letters from v),
+a as (select id, single, gold, case when chosen is null or (single and len(letters) <> 1) then 'NO_ANSWER_FOUND' else array_to_string(letters, '|') end as model_answer from l),
+s as (select *, array_to_string(list_sort(list_distinct(regexp_extract_all(gold, '[A-D]'))), '|') as g from a),
+scored as (select id, model_answer, g <> '' and g = model_answer as is_correct from s)
+"""
+
+
+def _answers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_ANSWERS, "id int, raw_response string, single boolean, correct_answer string").withColumn("prompt", F.lit(""))
+
+
+@query(_ANSWER_SQL + "select id, model_answer, is_correct from scored")
+def extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _answers(spark).withColumn("question_type", F.when(F.col("single"), "Select one").otherwise("多选"))
+    return scoring.score_exam(rows).select("id", "model_answer", "is_correct")
+
+
+@query(_ANSWER_SQL + "select count(*) as total_questions, sum(is_correct::int) as correct_answers, avg(is_correct::int) as accuracy from scored")
+def exam_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.accuracy(extract_answer(spark, sf_dir))
+
+
+@query(rf"""
+with raw as (select * from {_ANSWERS_SQL}), h as (select id, regexp_extract_all(response || ' ', '(?i)(?:Answer|答案)\s*[:：]?\s*\(?\s*([A-D])[^A-Za-z0-9_]', 1) as hits, gold from raw)
+select id, upper(hits[-1]) as predicted, case when gold <> '' then coalesce(upper(hits[-1]) = upper(gold), false) end as is_correct from h
+""")
+def extract_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_choice(_answers(spark), "raw_response").select("id", "predicted", "is_correct")
+
+
+@query(r"""
+select doc_id, case when doc_id % 3 <> 1 and trim(substr(text, 1, 20), E' \n\t\r') <> '' then 'Q' || doc_id end as instruction,
+  case when doc_id % 3 <> 1 and trim(substr(text, 1, 20), E' \n\t\r') <> '' then trim(substr(text, 1, 20), E' \n\t\r') end as output from documents where not contains(substr(text, 1, 20), chr(92))
+""")
+def parse_teacher_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(~F.substring("text", 1, 20).contains("\\"))
+    body = F.to_json(F.struct(F.concat(F.lit(" Q"), "doc_id").alias("instruction"), F.lit("given").alias("input"), F.substring("text", 1, 20).alias("output")))
+    body = F.when(F.col("doc_id") % 3 == 1, F.replace(body, F.lit('"given"'), F.lit("1"))).otherwise(body)
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Sure. "), body, F.lit(" Done.")))
+    return docs.withColumn("t", parsing.parse_response(said)).select("doc_id", "t.instruction", "t.output")
+
+
+@query("""
+select doc_id, case when toxic = 1 then 'risk' when quality = 1 then 'good' else 'unknown' end as major from labels
+""")
+def nested_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = F.when(F.col("toxic") == 1, F.lit('{"major_category": " ", "source_info": {"major categories": " risk "}, "matched_annotation": {"major_category": "other"}}')).when(
+        F.col("quality") == 1, F.lit('{"matched_annotation": {"major_category": "good"}}')).otherwise(F.lit('{"source_data": {"major_category": 3}, "x": 1}'))
+    inner = F.when((F.col("toxic") != 1) & (F.col("quality") != 1), F.lit('{"source_data": {"major_category": ""}, "x": 1}')).otherwise(inner)
+    value = parsing.nested_value(F.parse_json(inner), ("major categories", "major_category"))
+    return table(spark, sf_dir, "labels").select("doc_id", value.alias("major"))
+
+
+@query("select vec_id, label from embeddings where vec_id % 7 <> 0 and vec_id % 5 >= 3")
+def min_rank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.when(F.col("vec_id") % 7 == 0, F.lit("n/a")).otherwise((F.col("vec_id") % 5).cast("string"))
+    return generation.at_least_rank(table(spark, sf_dir, "embeddings").withColumn("rank", rank), "rank", 3).select("vec_id", "label")
+
+
+@query("""
+select conv_id, turn, ['question & answer', 'open-ended question', 'summary question', 'reasoning question'][1 + conv_id % 4] as kind from conversations where conv_id % 5 <> 4
+""")
+def question_type_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, prompts.EXAMPLE_TYPES))
+    name = F.when(F.col("conv_id") % 5 != 4, F.element_at(kinds, (F.col("conv_id") % 4 + 1).cast("int"))).otherwise("Summary Question")
+    said = F.concat(F.lit("This is a "), name, F.lit(" task. "), F.substring("text", 1, 10))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.question_type_bucket(said).alias("kind")).where("kind is not null")
+
+
+@query("""
+select doc_id, source, row_number() over (partition by source order by sha256('42:' || doc_id), doc_id) - 1 as shuffled_index,
+  ['factoid_QA', 'open-ended_question', 'summary_question', 'recommendation_question'][1 + ('0x' || substr(sha256('43:' || doc_id), 1, 8))::bigint % 4] as question_type from documents
+""")
+def hash_shuffle_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.shuffled_types(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id")
+
+
+@query("select p_partkey, p_name as stem, m.k as metadata_key from part join (select p_name as n, min(p_partkey) as k from part where p_partkey % 3 <> 0 group by p_name) m on m.n = p_name")
+def title_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    known = matching.first_by_title(part.where("p_partkey % 3 <> 0").select(F.col("p_name").alias("stem"), F.col("p_partkey").alias("metadata_key")), "stem", "metadata_key")
+    return part.select("p_partkey", F.col("p_name").alias("stem")).join(known, "stem")
+
+
+@query()
+def title_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    texts = pages.select(F.concat(F.col("url"), F.when(F.col("page_id") % 2 == 0, "").otherwise("x")).alias("stem"), F.lit("").alias("full_text"))
+    return matching.attach_metadata(texts, pages.select(F.col("url").alias("Article Title"), F.col("page_id").alias("pos"))).select("stem", "matched_title", F.round("match_score", 4).alias("match_score"))
+
+
+@query("select doc_id, source from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generation.pending(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""select doc_id, sha256('{"doc_id":' || doc_id || ',"source":"' || source || '"}') as fingerprint, substr(sha256('["' || source || '","' || lang || '"]'), 1, 16) as group_key from documents""")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", parsing.fingerprint("doc_id", "source").alias("fingerprint"), parsing.checkpoint_key(F.col("source"), F.col("lang")).alias("group_key")
+    )
+
+
+@query("""
+select item_id, case when item_id % 3 = 0 then 'find ' || item_id else trim(text, E' \\n\\t\\r') || chr(10) || 'A: one' || chr(10) || 'B: two' end as query from benchmark
+""")
+def retrieval_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("A", " one"), ("B", "two"), ("C", " "))])
+    explicit = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit(" find "), "item_id"))
+    return table(spark, sf_dir, "benchmark").select("item_id", parsing.retrieval_query(explicit, F.col("text"), options).alias("query"))
+
+
+@query("select page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') as name from pages")
+def safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", parsing.safe_name(F.col("url")).alias("name"))
+
+
+@query("""
+select item_id, case when item_id % 4 = 0 then 'Pick: ' || item_id else (case when item_id % 2 = 0 then '多选题' else '单选题' end) || '：' || text || chr(10) || 'A: x' || chr(10) || 'B: y' || chr(10)
+  || '请以“答案：”开头给出选项字母，再以“解析：”说明。' end as prompt from benchmark
+""")
+def exam_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("A", "x"), ("B", "y"))])
+    own = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("Pick: "), "item_id"))
+    kind = F.when(F.col("item_id") % 2 == 0, "Select all").otherwise("Select ONE answer")
+    return table(spark, sf_dir, "benchmark").select("item_id", prompts.exam_prompt(own, kind, F.concat("text", F.lit("")), options).alias("prompt"))
+
+
+@query("select distinct trim(p_brand) as doi from part")
+def distinct_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.distinct_dois(table(spark, sf_dir, "part"), "p_brand")
+
+
+@query(r"""
+with i as (select doc_id, trim(text, E' \n\t\r') as t, source, lang from documents where trim(text, E' \n\t\r') <> ''),
+k as (select *, 'Category: ' || source || ' / ' || lang || chr(10) || 'Passage:' || chr(10) || case when length(t) > 3000 then substr(t, 1, 3000) || '...' else t end || chr(10) || chr(10)
+  || ['Ask one question whose answer is a single fact stated in the passage.', 'Ask one question that calls for an explanation grounded in the passage.',
+      'Ask for a summary of the passage and give that summary.', 'Ask for advice in a situation that the passage informs, and give it.'][1 + ('0x' || substr(sha256('43:' || doc_id), 1, 8))::bigint % 4]
+  || chr(10) || 'Reply with one JSON object with the string fields "instruction", "input" and "output".' as prompt from i)
+select doc_id, 'Explain ' || substr(sha256(prompt), 1, 12) as instruction, 'It is ' || substr(sha256(prompt), 1, 12) || '.' as output from k
+""")
+def generate_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("major"), F.col("lang").alias("sub"), parsing.blank_to_null(F.col("text")).alias("text"))
+    prompted = generation.with_prompts(items.where("text is not null"), key="doc_id")
+    made = generation.require_complete(generation.generate(prompted, providers.generator(providers.echo_teacher)))
+    return made.select("doc_id", "triple.instruction", "triple.output")
+
+
+@query()
+def amplify_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _triples(spark, sf_dir).where("instruction is not null and output is not null").select(
+        F.concat(F.lit("c"), F.col("conv_id") % 3).alias("cat"), F.concat(F.lit("s"), F.col("conv_id") % 2).alias("sub"),
+        F.element_at(F.array(*map(F.lit, prompts.EXAMPLE_TYPES)), (F.col("conv_id") % 4 + 1).cast("int")).alias("kind"), "instruction", "input", "output",
+    )
+    fenced = providers.generator(providers.echo_teacher)
+    return generation.amplify(pool.select("cat", "sub", "kind").distinct(), pool, fenced, per_cell=3)
+
+
+@query()
+def article_etl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("Full Text"))
+    return etl.run(spark, etl.article_plan(None, None), docs)
+
+
+@query("select source, count(*) as n from documents group by source")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.counts(table(spark, sf_dir, "documents"), "source")
+
+
+@query(f"select sha256({CLEAN_SQL}) as text_digest, count(*) > 0 as present from documents where length({CLEAN_SQL}) >= 10 group by 1")
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.clean_stream(table(spark, sf_dir, "documents")).select("text_digest", F.lit(True).alias("present"))
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.missing') as missing from events")
+def variant_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), F.try_variant_get(v, "$.missing", "string").alias("missing"))
