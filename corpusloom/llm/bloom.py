@@ -7,6 +7,7 @@ results.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -23,7 +24,7 @@ _FAN_IN = 256
 
 def bits_for(keys: int) -> int:
     """log2 of the bits for about ``keys`` keys: sixteen a key, within [2**20, 2**MOST_BITS]."""
-    return int(min(MOST_BITS, max(20, np.ceil(np.log2(max(1, keys) * 16)))))
+    return int(min(MOST_BITS, max(20, math.ceil(math.log2(max(1, keys) * 16)))))
 
 
 def places(hashes: np.ndarray, bits: int) -> np.ndarray:

@@ -60,15 +60,13 @@ def hash_share(column: Column, share: float | Column, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), column), F.lit(spread)) < share * F.lit(float(spread))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; only partition counts depend on it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def partitions_for(df: DataFrame, target_bytes: int = 32 << 20, least: int = 12) -> int:
-    """A partition count in proportion to the input, at least the session's."""
-    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, session, min(1_000_000, -(-min(input_bytes(df), 1 << 50) // target_bytes)))
+def input_bytes(df: DataFrame, text: str) -> int:
+    """The optimizer's size estimate, or the bytes of ``text`` where that is a guess
+    (frames without files, products of joins). Only sizes of filters and parts depend on it."""
+    said = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if said < 1 << 46:
+        return said
+    return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str, spread: int) -> DataFrame:

@@ -147,7 +147,7 @@ def find_contamination(
         codes = _Codes()
         return np.array([h for t in pdf["t"] for h, _, _ in _window_rows(t, width, literals, codes)], np.int64).view(np.uint64)
 
-    bits = bloom.bits_for(input_bytes(benchmark))
+    bits = bloom.bits_for(input_bytes(benchmark, item_text))
     seen, _ = bloom.once_and_twice(benchmark.select(F.col(item_text).alias("t")), hashes, bits)
     found = _exploded(docs, id_col, text_col, width, literals, spark.sparkContext.broadcast(seen))
 

@@ -99,7 +99,7 @@ def dedup_lines(
     def hashes(pdf: pd.DataFrame) -> np.ndarray:
         return _as_hashes([d for t in pdf["t"] for d in key_digests(t, min_chars)])
 
-    bits = bloom.bits_for(input_bytes(docs) // _BYTES_A_LINE)
+    bits = bloom.bits_for(input_bytes(docs, text_col) // _BYTES_A_LINE)
     _, twice = bloom.once_and_twice(docs.select(F.col(text_col).alias("t")), hashes, bits)
 
     marked = docs.drop("n_lines", "n_dropped").withColumn("__suspects", _suspects(spark, twice, min_chars, F.col(text_col)))

@@ -128,7 +128,7 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, alpha:
     build, schema = _blocks(id_type)
     blocks, _ = materialise(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(build, schema), "lm-blocks")
     n_total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    part_bits = int(np.clip(np.ceil(np.log2(max(1, input_bytes(docs) / _PART_BYTES))), 4, 16))
+    part_bits = int(np.clip(np.ceil(np.log2(max(1, input_bytes(docs, text_col) / _PART_BYTES))), 4, 16))
 
     def request(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -187,7 +187,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def digests(pdf: pd.DataFrame) -> np.ndarray:
         return _hashes([_digest(c) for chunks in chunk_all([_media(t) for t in pdf["t"]]) for c in chunks])
 
-    bits = bloom.bits_for(input_bytes(docs) // LEAST)
+    bits = bloom.bits_for(input_bytes(docs, text_col) // LEAST)
     _, twice = bloom.once_and_twice(texts.select(F.col("__text").alias("t")), digests, bits)
 
     lists, _ = materialise(texts.select("__id", _stored(spark, twice, F.col("__text")).alias("__s")).select("__id", "__s.*"), "media-files")
