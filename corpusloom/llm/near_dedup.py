@@ -11,12 +11,13 @@
 3. t = bands x rows coordinates make bands. With 60 bands of 9 rows a pair of
    similarity 0.85 shares no band with probability 1.4e-7, one of 0.9 with 2e-13.
 4. A Bloom filter drops bands that one representative alone has; the others are
-   buckets. First each bucket's members are paired with its leader only. Pairs
-   are verified on the full sets and linked documents joined to components.
-   A pair inside a component is settled; where a bucket still holds several
-   components, further leaders are tried while that is cheaper, and at last all
-   pairs of different components in a bucket are verified. So no candidate is
-   skipped, and a bucket of copies never makes all its pairs.
+   buckets. Members of a bucket are joined to its leader, which gives candidate
+   groups: every candidate pair lies inside one, and no pair is written out.
+5. Documents of a group meet in a task, or by pairs of blocks where a group is
+   larger than a block, and are verified on their full sets through posting lists
+   (element -> documents), so work follows the overlaps that there are. Each task
+   emits links between documents that it has not connected yet: at most one per
+   document, however many pairs are similar. Links make the components.
 
 Null and empty texts and texts without words have the empty set, link with
 nothing and are kept. Rows without an id are their own component (null) and are
@@ -135,25 +136,82 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; texts: id and the compressed text."""
+def links(sets: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs of sets: pairs of places in the list.
 
-    @F.pandas_udf("boolean")
-    def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    With ``left``, only pairs of one of the first ``left`` sets and one of the others.
+    """
+    n = len(sets)
+    if n == 2:
+        return [(0, 1)] if similar(sets[0], sets[1], percent) else []
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[element] > 1
+    owner, element = owner[shared], element[shared]
+    order = np.argsort(element, kind="stable")
+    posting, ends = owner[order], np.cumsum(np.bincount(element, minlength=len(times)))
+    begins = np.searchsorted(owner, np.arange(n + 1))
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out = []
+    for i in range(n if left is None else left):
+        own = element[begins[i] : begins[i + 1]]
+        if not len(own):
+            continue
+        stop = ends[own]
+        start = np.where(own > 0, ends[own - 1], 0)
+        lengths = stop - start
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        common = np.bincount(posting[at], minlength=n)
+        hit = 100 * common >= percent * (sizes[i] + sizes - common)
+        hit[: i + 1 if left is None else left] = False
+        for j in np.flatnonzero(hit).tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                parent[b] = a
+                out.append((i, j))
+    return out
+
+
+def _verified(groups: DataFrame, stored: DataFrame, percent: int, id_type: str, block: int) -> DataFrame:
+    """Links (a, b) inside the candidate groups (id, component); stored: id and the compressed text.
+
+    Groups of up to ``block`` documents share tasks; of larger ones each pair of
+    blocks is a task, which a block of rows reaches once for every other block.
+    """
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    parts = max(1, groups.count() // block)
+    known = groups.join(sizes, "component").join(stored, "id")
+    small = known.where(F.col("k") <= block).select(
+        F.pmod(F.xxhash64("component"), F.lit(parts)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "component", "id", "z"
+    )
+    blocks = F.ceil(F.col("k") / block).cast("int")
+    mine = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
+    large = known.where(F.col("k") > block).withColumn("__m", mine).withColumn("__o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.select(
+        F.xxhash64("component").alias("g"), F.least("__m", "__o").alias("i"), F.greatest("__m", "__o").alias("j"),
+        F.when(F.col("__m") <= F.col("__o"), 0).otherwise(1).alias("side"), "component", "id", "z",
+    )
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = _WordHashes()
-        for left, right in batches:
-            last, have = None, None  # rows of one leader often follow each other
-            out = []
-            for a, b in zip(left, right):
-                if a != last:
-                    last, have = a, shingles(zlib.decompress(a).decode("utf-8"), hashes)
-                out.append(similar(have, shingles(zlib.decompress(b).decode("utf-8"), hashes), percent))
-            yield pd.Series(out, dtype=bool)
+        found = []
+        crossing = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        for _, group in pdf.sort_values(["component", "side", "id"]).groupby("component", sort=False):
+            if len(group) < 2:
+                continue
+            ids = group["id"].tolist()
+            sets = [shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"), hashes) for z in group["z"]]
+            found += [(ids[x], ids[y]) for x, y in links(sets, percent, int((group["side"] == 0).sum()) if crossing else None)]
+        return pd.DataFrame(found, columns=["a", "b"])
 
-    left = texts.select(F.col("id").alias("a"), F.col("z").alias("za"))
-    right = texts.select(F.col("id").alias("b"), F.col("z").alias("zb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(check("za", "zb")).select("a", "b")
+    return small.unionByName(large).groupBy("g", "i", "j").applyInPandas(verify, f"a {id_type}, b {id_type}")
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -183,7 +241,7 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The id, n_shingles, component_id and kept of each row.
 
@@ -211,11 +269,12 @@ def near_duplicates(
         hit = shared.value.has(np.concatenate(each).view(np.uint64)) if each else np.zeros(0, bool)
         return pd.Series([b[h] for b, h in zip(each, np.split(hit, np.cumsum([len(b) for b in each])[:-1]))], dtype=object)
 
-    members, members_path = materialise(reps.select("id", "n", F.explode(repeated("bands")).alias("bucket")), "nd-buckets")
+    members, members_path = materialise(reps.select("id", F.explode(repeated("bands")).alias("bucket")), "nd-buckets")
     paths = [members_path]
 
+    several = members.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket")
     wanted, _ = bloom.once_and_twice(
-        members.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket").join(members, "bucket").select(F.xxhash64("id").alias("h")).distinct(),
+        several.join(members, "bucket").select(F.xxhash64("id").alias("h")).distinct(),
         lambda pdf: pdf["h"].to_numpy(np.int64).view(np.uint64),
         bloom.bits_for(reps.count()),
     )
@@ -232,51 +291,21 @@ def near_duplicates(
     stored, stored_path = materialise(
         texts.where(F.col("id").isNotNull()).where(candidate(F.xxhash64("id"))).select("id", compressed("text").alias("z")), "nd-texts"
     )
-    stored = stored.dropDuplicates(["id"])
+    stored = stored.dropDuplicates(["id"])  # rows that repeat an id
     paths.append(stored_path)
 
-    fits = F.lit(100) * F.least("n", "bn") >= F.lit(percent) * F.greatest("n", "bn")
-    edges = None
-    labels = None
-    tried = 0
-    while True:
-        # members with their component; a bucket of one component is settled
-        here = members if labels is None else members.join(labels, "id", "left")
-        here = here.withColumn("c", F.col("id") if labels is None else F.coalesce("component", "id"))
-        by_component = here.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
-        open_buckets = by_component.groupBy("bucket").agg(
-            F.sum("k").alias("m"), (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("pairs2"), F.count(F.lit(1)).alias("cs")
-        ).where("cs > 1")
-        left = open_buckets.agg(F.sum("m"), F.sum("pairs2") / 2).first()
-        if not left[0]:
-            break
-        here = here.join(open_buckets.select("bucket"), "bucket").select("bucket", "id", "n", "c")
-        last = tried >= 1 and (left[1] <= 2 * left[0] or tried >= 6)
-        if last:
-            other = here.select("bucket", F.col("id").alias("bid"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-            pairs = here.join(other, "bucket").where("c < bc")
-        else:
-            turn = F.struct((F.xxhash64(F.lit(tried), "id") if tried else F.col("id")).alias("turn"), "id", "n", "c")
-            leaders = here.groupBy("bucket").agg(F.min(turn).alias("l")).select(
-                "bucket", F.col("l.id").alias("bid"), F.col("l.n").alias("bn"), F.col("l.c").alias("bc")
-            )
-            pairs = here.join(leaders, "bucket").where("c <> bc")
-        pairs = pairs.where(fits).select(F.greatest("id", "bid").alias("b"), F.least("id", "bid").alias("a")).distinct()
-        found, found_path = materialise(_verified(pairs, stored, percent), "nd-links")
-        paths.append(found_path)
-        edges = found if edges is None else edges.union(found)
-        labels, labels_path = components(edges)
-        paths.append(labels_path)
-        tried += 1
-        if last:
-            break
+    leaders = members.groupBy("bucket").agg(F.min("id").alias("a"))
+    candidates, candidates_path = components(members.join(leaders, "bucket").select("a", F.col("id").alias("b")).where("a <> b").distinct())
+    # a component's own smallest id has no row of its own
+    candidates = candidates.unionByName(candidates.select(F.col("component").alias("id"), "component").distinct())
+    id_type = docs.schema[id_col].dataType.simpleString()
+    found, found_path = materialise(_verified(candidates, stored, percent, id_type, block), "nd-links")
+    labels, labels_path = components(found)
+    paths += [candidates_path, found_path, labels_path]
 
     joined = classed.select("id", "digest").join(reps.select("digest", F.col("id").alias("rep")), "digest")
-    if labels is None:
-        joined = joined.select("id", "digest", F.col("rep").alias("component_id"))
-    else:
-        joined = joined.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        joined = joined.select("id", F.coalesce("component", "rep").alias("component_id"))
+    joined = joined.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    joined = joined.select("id", F.coalesce("component", "rep").alias("component_id"))
     linked = classed.select("id", F.col("n")).join(joined.select("id", "component_id").distinct(), "id")
     alone = sets.where("digest is null or id is null").select("id", "n", F.col("id").alias("component_id"))
     out = linked.select("id", "n", "component_id").unionByName(alone)
