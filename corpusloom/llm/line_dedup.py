@@ -31,24 +31,31 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import documents, input_bytes
 
-_SPACE = " \t\n\x0b\x0c\r"
+_SPACE = b" \t\n\x0b\x0c\r"
 _BYTES_A_LINE = 128  # for sizing the filters only
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def line_key(line: str) -> str:
-    bare = line.strip(_SPACE)
-    return bare.lower() if bare.isascii() else bare.translate(_ASCII_LOWER)
+def _lines(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
 
-def _digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def line_key(line: bytes) -> bytes:
+    """A-Z in lower case; bytes of other characters in UTF-8 are never in that range."""
+    return line.strip(_SPACE).lower()
+
+
+def _digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
+def _long_enough(key: bytes, min_chars: int) -> bool:
+    """Whether a key has ``min_chars`` code points, of at most four bytes each."""
+    return len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode("utf-8", "surrogatepass")) >= min_chars)
 
 
 def key_digests(text: str | None, min_chars: int) -> list[bytes]:
     """The digests of a document's distinct keys, in order of first appearance."""
-    keys = dict.fromkeys(map(line_key, (text or "").split("\n")))
-    return [_digest(k) for k in keys if len(k) >= min_chars]
+    return [_digest(k) for k in dict.fromkeys(map(line_key, _lines(text))) if _long_enough(k, min_chars)]
 
 
 def _as_hashes(digests: list[bytes]) -> np.ndarray:
@@ -57,18 +64,18 @@ def _as_hashes(digests: list[bytes]) -> np.ndarray:
 
 def drop_keys(text: str | None, drop: set[bytes], min_chars: int, keep: set[bytes] = frozenset()) -> tuple[str, int, int]:
     """The kept text, the number of lines and of dropped lines; of the keys in ``keep`` the first line stays."""
-    lines = (text or "").split("\n")
+    lines = _lines(text)
     if not drop:
         return text or "", len(lines), 0
     left, spared = [], set()
     for line in lines:
         key = line_key(line)
-        if len(key) >= min_chars and (d := _digest(key)) in drop:
+        if _long_enough(key, min_chars) and (d := _digest(key)) in drop:
             if d not in keep or d in spared:
                 continue
             spared.add(d)
         left.append(line)
-    return "\n".join(left), len(lines), len(lines) - len(left)
+    return b"\n".join(left).decode("utf-8", "surrogatepass"), len(lines), len(lines) - len(left)
 
 
 def _suspects(spark: SparkSession, twice: bloom.Bits, min_chars: int, text: Column) -> Column:
