@@ -155,23 +155,32 @@ def toxicity_column(spark: SparkSession, model: ToxicityModel, text: Column) ->
 
 
 def fit_toxicity(
-    labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_bytes: int = 8 << 20
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_rows: int = 4000, sample_bytes: int = 8 << 20
 ) -> ToxicityModel:
-    """Fit on a bounded sample of labelled rows.
+    """Fit on a bounded sample of the documents that ``labels`` (key, label) marks.
 
-    ``sample_bytes`` bounds the text that the driver gets for each of the two
-    labels; where a label has more, a share of its rows by a hash of ``key`` is
-    taken, whole texts, without those longer than a sixteenth of the bound.
+    About ``sample_rows`` keys of each of the two labels, or all if there are
+    fewer, are chosen by a hash and broadcast to the scan, so no text is
+    shuffled. ``sample_bytes`` bounds the text that the driver gets for each
+    label: where the chosen documents have more, a share of them is taken, whole
+    texts, without those longer than a sixteenth of the bound.
     """
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
-        F.col(key).cast("string").alias("k"), F.col(label).alias("y"), F.col(text).alias("t"), F.octet_length(text).alias("b")
-    ).where(F.col("b") <= sample_bytes // 16)
-    sizes = {r.y: r.b for r in rows.groupBy("y").agg(F.sum("b").alias("b")).collect()}
-    share = F.lit(0.0)
-    for y, size in sizes.items():
-        share = F.when(F.col("y") == y, min(1.0, sample_bytes / max(1, size))).otherwise(share)
-    sample = rows.where(hash_share(F.col("k"), share, salt=1)).select("k", "t", "y").toPandas().sort_values(["k", "t"])
-    return fit_noisy_or(list(sample["t"]), [int(v) for v in sample["y"]])
+    marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key), F.col(label).alias("__y"))
+
+    def shares(sizes: dict[int, int], most: int) -> Column:
+        share = F.lit(0.0)
+        for y, size in sizes.items():
+            share = F.when(F.col("__y") == y, min(1.0, most / max(1, size))).otherwise(share)
+        return share
+
+    counts = {r["__y"]: r["count"] for r in marked.groupBy("__y").count().collect()}
+    chosen = marked.where(hash_share(F.col(key).cast("string"), shares(counts, sample_rows), salt=1))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("__t"), F.octet_length(text).alias("__b"))
+    rows = rows.where(F.col("__b") <= sample_bytes // 16).join(F.broadcast(chosen), key)
+    sizes = {r["__y"]: r["b"] for r in rows.groupBy("__y").agg(F.sum("__b").alias("b")).collect()}
+    sample = rows.where(hash_share(F.col(key).cast("string"), shares(sizes, sample_bytes), salt=2))
+    found = sample.select(F.col(key).cast("string").alias("k"), F.col("__t").alias("t"), F.col("__y").alias("y")).toPandas().sort_values(["k", "t"])
+    return fit_noisy_or(list(found["t"]), [int(v) for v in found["y"]])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +192,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(fold(F.col("doc_id")) != 0)
-    model = fit_toxicity(docs.join(labels, "doc_id"))
+    model = fit_toxicity(docs, labels)
     return score_toxicity(docs, model).select(
         "doc_id",
         (fold(F.col("doc_id")) == 0).alias("held_out"),
