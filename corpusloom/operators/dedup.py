@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import TRIPLE
 from ..functions.text import strip
+from .graph import candidate_groups, components, verified_links
 from .lineage import cut
 
-_PRIME = np.uint64((1 << 61) - 1)
 
 
 def exact_triples(df: DataFrame, order: Sequence[str], dedup: bool = True) -> DataFrame:
@@ -64,7 +64,9 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: f
 
     Exact copies are represented by their smallest id, so pairs are between
     different texts; :func:`near_duplicate_groups` adds the copies. Candidates
-    share a band of minhashes; each is verified on the n-gram hashes.
+    share a band of minhashes; each is verified on the n-gram hashes. The result
+    is the pairs themselves, so a group of k near copies has up to k squared rows:
+    use :func:`near_duplicate_groups` to drop duplicates.
     """
     rep = df.where(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("h")).agg(F.min(F.struct(id_col, text_col)).alias("r"))
     described = rep.select(F.col(f"r.{id_col}").alias("id"), _signatures(ngram, hashes, rows)(F.col(f"r.{text_col}")).alias("d"))
@@ -79,28 +81,21 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: f
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def connected(pairs: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable; labels spread and jump until none changes."""
-    edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = cut(edges.union(edges.select("v", "u")))
-    labels = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")))
-    while True:
-        near = edges.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        step = labels.join(near, "u").select("u", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("changed"))
-        jump = labels.select(F.col("u").alias("c"), F.col("c").alias("cc"))
-        step = cut(step.join(jump, "c", "left").select("u", F.coalesce("cc", "c").alias("c"), "changed"))
-        labels = step.select("u", "c")
-        if step.where("changed").limit(1).count() == 0:
-            return labels.select(F.col("u").alias("id"), F.col("c").alias("component"))
-
-
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75, ngram: int = 5) -> DataFrame:
-    """The id, its component (the smallest id of its group) and kept, for each row; null texts are alone."""
-    pairs = near_duplicate_pairs(df, id_col, text_col, threshold, ngram)
-    found = connected(pairs).select(F.col("id").alias("__rep"), "component")
-    reps = df.where(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("__h")).agg(F.min(id_col).alias("__rep"))
-    each = df.select(id_col, F.sha2(text_col, 256).alias("__h")).join(reps, "__h", "left").join(found, "__rep", "left")
-    component = F.coalesce("component", "__rep", id_col)
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75, ngram: int = 5, hashes: int = 128, rows: int = 4, block: int = 1000) -> DataFrame:
+    """The id, its component (the smallest id of its group) and kept, for each row; null texts are alone.
+
+    Works through candidate groups, so a large group of near copies never makes
+    its pairs: a task emits one link per document at most.
+    """
+    reps = df.where(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("h")).agg(F.min(F.struct(id_col, text_col)).alias("r"))
+    described = cut(reps.select("h", F.col(f"r.{id_col}").alias("id"), _signatures(ngram, hashes, rows)(F.col(f"r.{text_col}")).alias("d")).select("h", "id", "d.*"))
+    groups, _ = candidate_groups(described.select("id", F.explode("bands").alias("bucket")))
+    id_type = df.schema[id_col].dataType.simpleString()
+    links = verified_links(groups, described.select("id", F.col("shingles").alias("z")), round(100 * threshold), id_type, block, lambda: lambda column: [np.asarray(z, np.int64) for z in column])
+    found, _ = components(links)
+    each = df.select(id_col, F.sha2(text_col, 256).alias("h")).join(described.select("h", F.col("id").alias("rep")), "h", "left")
+    each = each.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    component = F.coalesce("component", "rep", id_col)
     return each.select(id_col, component.alias("component"), (component == F.col(id_col)).alias("kept"))
 
 

@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where spark.checkpoint.dir is unset (one machine, tests).
 LOCAL_SHARED = "file:///tmp/checkpoints/corpusloom"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and read back from a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED)
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there.
+
+    A lost executor costs only the tasks that read the written files again.
+    Returns the reread frame and its path (see :func:`discard`).
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of :func:`materialise` that no later plan reads."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
