@@ -57,16 +57,20 @@ def clean_min_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(F.col("text").isNotNull())
 
 
-@query(r"""
-with s as (select doc_id, unnest(string_split(regexp_replace(text, '([.!?…])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) as s
-  from documents where not regexp_matches(text, '[0-9]\.|@|https?://|(?i)\b(e\.g|i\.e|S\.A|U\.S\.A|Dr|Mr|Ms|Prof|Inc|Ltd|Jr|Sr|vs|Fig|No|Vol|pp|et al|etc)\.'))
-select doc_id, trim(s, E' \n\t\r') as sentence from s where trim(s, E' \n\t\r') <> ''
+def _protected_sql() -> str:
+    """Dots before white space that end no sentence, as SQL; dots inside a word need no mark to be kept."""
+    out = r"regexp_replace(text, '((?:https?://|doi\.org/)\S*)\.(\s|$)', '\1[DOT]\2', 'g')"
+    for short in T.ABBREVIATIONS:
+        out = rf"regexp_replace({out}, '(?i)\b{short.replace('.', chr(92) + '.')}\.', '{short}[DOT]', 'g')"
+    return rf"regexp_replace({out}, '(\[[0-9]+\]|\([0-9]+\)|\A[0-9]+)\.', '\1[DOT]', 'g')"
+
+
+@query(rf"""
+with s as (select doc_id, unnest(string_split(regexp_replace({_protected_sql()}, '([.!?…])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) as s from documents)
+select doc_id, replace(trim(s, E' \n\t\r'), '[DOT]', '.') as sentence from s where trim(s, E' \n\t\r') <> ''
 """)
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL has no look-around to protect dots, so both sides take texts that have none to protect
-    odd = r"(?i)[0-9]\.|@|https?://|\b(e\.g|i\.e|S\.A|U\.S\.A|Dr|Mr|Ms|Prof|Inc|Ltd|Jr|Sr|vs|Fig|No|Vol|pp|et al|etc)\."
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(odd))
-    return docs.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
 
 
 @query()
@@ -181,14 +185,15 @@ def seed_cap_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BEST_SQL = """
 with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
 s as (select q.vec_id as query_id, i.vec_id as match_id, i.label as label, round(list_dot_product(q.e, i.e), 6) as score
-  from v q join v i on q.vec_id % 5 <> 0 and i.vec_id % 5 = 0),
+  from v q cross join v i),
 r as (select *, row_number() over (partition by query_id order by score desc, match_id) as rank from s)
 """
 
 
 def _search(spark: SparkSession, sf_dir: str):
+    """All vectors are queries, and all are the index."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return v.where("id % 5 <> 0"), v.where("id % 5 = 0")
+    return v, v
 
 
 @query(_BEST_SQL + "select query_id, match_id, score, label as seed_label from r where rank = 1")
@@ -230,7 +235,7 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-with d as (select doc_id % 40 as q, doc_id, row_number() over (partition by doc_id % 40 order by doc_id) as k, substr(text, 1, 80) as content, source from documents),
+with d as (select doc_id % 40 as q, doc_id, row_number() over (partition by doc_id % 40 order by doc_id) as k, text as content, source from documents),
 e as (select q, string_agg('[Evidence ' || k || '] source_file=' || source || '; section_id=' || doc_id || chr(10) || content, chr(10) || chr(10) order by k) as c from d where k <= 3 group by q)
 select item_id, 'Answer with the help of the evidence.' || chr(10) || chr(10) || coalesce(c, '{prompts.NO_EVIDENCE}') || chr(10) || chr(10) || 'Question:' || chr(10) || text as rag_prompt
 from benchmark left join e on q = item_id
@@ -238,7 +243,7 @@ from benchmark left join e on q = item_id
 def assemble_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         (F.col("doc_id") % 40).alias("query_id"), F.row_number().over(Window.partitionBy(F.col("doc_id") % 40).orderBy("doc_id")).alias("retrieval_rank"),
-        F.substring("text", 1, 80).alias("content"), F.col("source").alias("source_file"), F.col("doc_id").cast("string").alias("section_id"),
+        F.col("text").alias("content"), F.col("source").alias("source_file"), F.col("doc_id").cast("string").alias("section_id"),
     ).where("retrieval_rank <= 3")
     ranked = docs.withColumn("rerank_rank", F.col("retrieval_rank")).withColumn("kept", F.lit(True))
     evidence = vector_search.collect_evidence(ranked, ["content", "source_file", "section_id"])
@@ -309,12 +314,12 @@ def extract_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-select doc_id, case when doc_id % 3 <> 1 and trim(substr(text, 1, 20), E' \n\t\r') <> '' then 'Q' || doc_id end as instruction,
-  case when doc_id % 3 <> 1 and trim(substr(text, 1, 20), E' \n\t\r') <> '' then trim(substr(text, 1, 20), E' \n\t\r') end as output from documents where not contains(substr(text, 1, 20), chr(92))
+select doc_id, case when doc_id % 3 <> 1 and trim(text, E' \n\t\r') <> '' then 'Q' || doc_id end as instruction,
+  case when doc_id % 3 <> 1 and trim(text, E' \n\t\r') <> '' then trim(text, E' \n\t\r') end as output from documents
 """)
 def parse_teacher_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.substring("text", 1, 20).contains("\\"))
-    body = F.to_json(F.struct(F.concat(F.lit(" Q"), "doc_id").alias("instruction"), F.lit("given").alias("input"), F.substring("text", 1, 20).alias("output")))
+    docs = table(spark, sf_dir, "documents")
+    body = F.to_json(F.struct(F.concat(F.lit(" Q"), "doc_id").alias("instruction"), F.lit("given").alias("input"), F.col("text").alias("output")))
     body = F.when(F.col("doc_id") % 3 == 1, F.replace(body, F.lit('"given"'), F.lit("1"))).otherwise(body)
     said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Sure. "), body, F.lit(" Done.")))
     return docs.withColumn("t", parsing.parse_response(said)).select("doc_id", "t.instruction", "t.output")
@@ -343,7 +348,7 @@ select conv_id, turn, ['question & answer', 'open-ended question', 'summary ques
 def question_type_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, prompts.EXAMPLE_TYPES))
     name = F.when(F.col("conv_id") % 5 != 4, F.element_at(kinds, (F.col("conv_id") % 4 + 1).cast("int"))).otherwise("Summary Question")
-    said = F.concat(F.lit("This is a "), name, F.lit(" task. "), F.substring("text", 1, 10))
+    said = F.concat(F.lit("This is a "), name, F.lit(" task. "), F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.question_type_bucket(said).alias("kind")).where("kind is not null")
 
 
@@ -355,10 +360,10 @@ def hash_shuffle_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.shuffled_types(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id")
 
 
-@query("select p_partkey, p_name as stem, m.k as metadata_key from part join (select p_name as n, min(p_partkey) as k from part where p_partkey % 3 <> 0 group by p_name) m on m.n = p_name")
+@query("select p_partkey, p_name as stem, m.k as metadata_key from part join (select p_name as n, min(p_partkey) as k from part group by p_name) m on m.n = p_name")
 def title_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    known = matching.first_by_title(part.where("p_partkey % 3 <> 0").select(F.col("p_name").alias("stem"), F.col("p_partkey").alias("metadata_key")), "stem", "metadata_key")
+    known = matching.first_by_title(part.select(F.col("p_name").alias("stem"), F.col("p_partkey").alias("metadata_key")), "stem", "metadata_key")
     return part.select("p_partkey", F.col("p_name").alias("stem")).join(known, "stem")
 
 
