@@ -174,7 +174,7 @@ def near_dup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 select vec_id, label, origin, group_rank from (
-  select vec_id, label, vec_id % 2 as origin, row_number() over (partition by label order by vec_id % 2, vec_id) as group_rank from embeddings) where group_rank <= 30
+  select vec_id, label, vec_id % 2 as origin, cast(row_number() over (partition by label order by vec_id % 2, vec_id) as int) as group_rank from embeddings) where group_rank <= 30
 """)
 def seed_cap_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
@@ -204,21 +204,21 @@ def semantic_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_BEST_SQL + ", b as (select query_id, match_id, score from r where rank = 1 order by score desc, query_id limit 50) "
-       "select *, row_number() over (order by score desc, query_id) as rank from b")
+       "select *, cast(row_number() over (order by score desc, query_id) as int) as rank from b")
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, seeds = _search(spark, sf_dir)
     return vector_search.semantic_filter(queries, seeds, 50, digits=6)
 
 
-@query(_BEST_SQL + "select query_id, match_id, round(1 - score, 6) as distance, rank as retrieval_rank from r where rank <= 30")
+@query(_BEST_SQL + "select query_id, match_id, round(1 - score, 6) as distance, cast(rank as int) as retrieval_rank from r where rank <= 30")
 def retrieve_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, seeds = _search(spark, sf_dir)
     found = vector_search.retrieve(queries, seeds, 30, digits=6)
     return found.withColumn("distance", F.round("distance", 6))
 
 
-@query(_BEST_SQL + """, c as (select query_id, match_id, rank as retrieval_rank, match_id % 17 as rerank_score from r where rank <= 30)
-select *, row_number() over (partition by query_id order by rerank_score desc, retrieval_rank) as rerank_rank,
+@query(_BEST_SQL + """, c as (select query_id, match_id, cast(rank as int) as retrieval_rank, match_id % 17 as rerank_score from r where rank <= 30)
+select *, cast(row_number() over (partition by query_id order by rerank_score desc, retrieval_rank) as int) as rerank_rank,
   row_number() over (partition by query_id order by rerank_score desc, retrieval_rank) <= 15 as kept from c""")
 def rerank_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, seeds = _search(spark, sf_dir)
@@ -300,7 +300,7 @@ def extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_exam(rows).select("id", "model_answer", "is_correct")
 
 
-@query(_ANSWER_SQL + "select count(*) as total_questions, sum(is_correct::int) as correct_answers, avg(is_correct::int) as accuracy from scored")
+@query(_ANSWER_SQL + "select count(*) as total_questions, sum(is_correct::int)::bigint as correct_answers, avg(is_correct::int) as accuracy from scored")
 def exam_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.accuracy(extract_answer(spark, sf_dir))
 
@@ -353,7 +353,7 @@ def question_type_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select doc_id, source, row_number() over (partition by source order by sha256('42:' || doc_id), doc_id) - 1 as shuffled_index,
+select doc_id, source, cast(row_number() over (partition by source order by sha256('42:' || doc_id), doc_id) - 1 as int) as shuffled_index,
   ['factoid_QA', 'open-ended_question', 'summary_question', 'recommendation_question'][1 + ('0x' || substr(sha256('43:' || doc_id), 1, 8))::bigint % 4] as question_type from documents
 """)
 def hash_shuffle_type(spark: SparkSession, sf_dir: str) -> DataFrame:
