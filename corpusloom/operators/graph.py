@@ -11,40 +11,41 @@ from pyspark.sql import functions as F
 
 from .lineage import discard, materialise
 
-def components(edges: DataFrame) -> tuple[DataFrame, str]:
+def components(edges: DataFrame, about: int | None = None) -> tuple[DataFrame, str]:
     """(id, component): the smallest id reachable over ``edges`` (a, b), for ids that have an edge and aren't smallest.
 
     Large-star and small-star steps in turn until nothing changes; each round is
     a written table, so a lost executor never goes back further than that. The
     joins' results are shuffled again, so adaptive execution may split a hub's
-    partition. The written table's path is returned too.
+    partition. The written table's path is returned too. ``about`` is a bound on
+    the number of edges, for the number of files of the first table.
     """
     spark = edges.sparkSession
-    current, path = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    state = None
+    current, path = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", about, 4)
+    state, n = None, current.count()
     while True:
         both = current.union(current.select("v", "u"))
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        after, new_path = materialise(small.where("u <> v").distinct(), "cc")
+        after, new_path = materialise(small.where("u <> v").distinct(), "cc", n, 4)
         now = tuple(after.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
         discard(spark, path)
-        current, path = after, new_path
+        current, path, n = after, new_path, now[0]
         if now == state:
             return current.select(F.col("u").alias("id"), F.col("v").alias("component")), path
         state = now
 
 
-def candidate_groups(members: DataFrame) -> tuple[DataFrame, str]:
+def candidate_groups(members: DataFrame, about: int | None = None) -> tuple[DataFrame, str]:
     """(id, component) of ids that share a bucket with another, from members (id, bucket).
 
     Each member is joined to its bucket's smallest id, so all pairs of a bucket
     lie in one group though none is written out.
     """
     leaders = members.groupBy("bucket").agg(F.min("id").alias("a"))
-    found, path = components(members.join(leaders, "bucket").select("a", F.col("id").alias("b")).where("a <> b").distinct())
+    found, path = components(members.join(leaders, "bucket").select("a", F.col("id").alias("b")).where("a <> b").distinct(), about)
     # a component's own smallest id has no row of its own
     return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()), path
 

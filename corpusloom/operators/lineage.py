@@ -24,12 +24,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, name: str, rows: int | None = None, least: int = 12) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
     A lost executor costs only the tasks that read the written files again.
-    Returns the reread frame and its path (see :func:`discard`).
+    Returns the reread frame and its path (see :func:`discard`). ``rows``, where
+    about that many are known, keeps narrow tables from being written as many
+    tiny files: one for 50,000 rows, but ``least`` of them.
     """
+    if rows is not None:
+        df = df.coalesce(max(least, -(-rows // 50_000)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
