@@ -1,5 +1,4 @@
 """Training-data operators that work on whole corpora.
 
-Nothing outside this subpackage imports it, and it imports nothing of the
-rest of the library, so it can be removed as one piece.
+Nothing outside this subpackage imports it, so it can be removed as one piece.
 """

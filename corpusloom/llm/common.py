@@ -3,49 +3,25 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset (one machine, tests).
-LOCAL_SHARED = "file:///tmp/checkpoints/corpusloom"
-
+from ..operators.lineage import discard, materialise, shared_dir  # noqa: F401  for the operators
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = LOCAL_SHARED
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
+_BATCH, _USUAL, _SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
 
-def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
-    A lost executor costs only the tasks that read the written files again.
-    Returns the reread frame and its path (see :func:`discard`).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of :func:`materialise` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of 4 MB, unless the session asks for a size of its own."""
+    said = spark.conf.get(_BATCH, None)
+    if said is not None and said.rstrip("b") in (str(_USUAL), "64m"):
+        spark.conf.set(_BATCH, f"{_SMALL}b")
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:

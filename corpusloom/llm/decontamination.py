@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, input_bytes
+from .common import documents, input_bytes, small_batches
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?…:;\n\"“”|]")
 _WORD, _CAPITAL, _NUMBER, _END, _UNIT = range(5)
@@ -42,7 +42,7 @@ UNITS = frozenset(
     "gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw "
     "mw v a j kj cal kcal n pa kpa mpa bar c f k degree degrees percent dollar dollars euro euros cent cents usd eur gbp kb mb gb tb".split()
 )
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,6 +141,7 @@ def find_contamination(
     that pass it are shuffled. Reads both tables twice at most.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = _exploded(benchmark, item_col, item_text, width, literals)
 
     def hashes(pdf: pd.DataFrame) -> np.ndarray:

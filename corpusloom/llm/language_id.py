@@ -14,21 +14,21 @@ with clashing names, pass through untouched.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, hash_share
+from .common import documents, fold, hash_share, small_batches
 
 UNKNOWN = "und"
 ORDERS = (2, 3)
 _BLOCK = 1 << 21  # code points that are hashed at once
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
@@ -155,6 +155,7 @@ def predict_language(spark: SparkSession, model: LanguageModel, text: Column) ->
     The broadcast table holds languages x 2 x 2**bits float32 values: 0.5 MB a
     language at 16 bits, however large the corpus is.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

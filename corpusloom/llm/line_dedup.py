@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, input_bytes
+from .common import documents, input_bytes, small_batches
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _BYTES_A_LINE = 128  # for sizing the filters only
@@ -102,6 +102,7 @@ def dedup_lines(
     Shuffled: digests of suspects, and the texts of documents that have one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
 
     def hashes(pdf: pd.DataFrame) -> np.ndarray:
         return _as_hashes([d for t in pdf["t"] for d in key_digests(t, min_chars)])

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, input_bytes, materialise
+from .common import documents, input_bytes, materialise, small_batches
 
 _BLOCK_BYTES = 6 << 20
 _PART_BYTES = 8 << 20
@@ -124,6 +124,7 @@ def _ngrams(block: pd.Series, order: int) -> tuple[np.ndarray, list[np.ndarray],
 
 def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, n_words and score."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     build, schema = _blocks(id_type)
     blocks, _ = materialise(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(build, schema), "lm-blocks")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, input_bytes, materialise
+from .common import documents, input_bytes, materialise, small_batches
 
 UNIT = 64
 LEAST, MEAN_BITS, MOST = 512, 11, 16_384
@@ -182,6 +182,7 @@ def _hashes(digests: list[bytes]) -> np.ndarray:
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store the payloads of ``docs`` as chunks, read them back, and give each row's sizes, digests and features."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
 
     def digests(pdf: pd.DataFrame) -> np.ndarray:

@@ -29,18 +29,19 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import candidate_groups, components, links, similar, verified_links
 from . import bloom
-from .common import discard, documents, materialise
+from .common import discard, documents, materialise, small_batches
 
 WORDS, PERCENT, BANDS, ROWS = 5, 85, 60, 9
-_CACHE_LIMIT, _CACHED_BYTES = 400_000, 64
+_CACHE_LIMIT, _CACHED_BYTES = 200_000, 64
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 32) - 1)
 
@@ -131,115 +132,6 @@ def _describe(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("id", describe("text").alias("__d")).select("id", "__d.*")
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
-def links(sets: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs of sets: pairs of places in the list.
-
-    With ``left``, only pairs of one of the first ``left`` sets and one of the others.
-    """
-    n = len(sets)
-    if n == 2:
-        return [(0, 1)] if similar(sets[0], sets[1], percent) else []
-    sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(n), sizes)
-    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[element] > 1
-    owner, element = owner[shared], element[shared]
-    order = np.argsort(element, kind="stable")
-    posting, ends = owner[order], np.cumsum(np.bincount(element, minlength=len(times)))
-    begins = np.searchsorted(owner, np.arange(n + 1))
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    out = []
-    for i in range(n if left is None else left):
-        own = element[begins[i] : begins[i + 1]]
-        if not len(own):
-            continue
-        stop = ends[own]
-        start = np.where(own > 0, ends[own - 1], 0)
-        lengths = stop - start
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        common = np.bincount(posting[at], minlength=n)
-        hit = 100 * common >= percent * (sizes[i] + sizes - common)
-        hit[: i + 1 if left is None else left] = False
-        for j in np.flatnonzero(hit).tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[b] = a
-                out.append((i, j))
-    return out
-
-
-def _verified(groups: DataFrame, stored: DataFrame, percent: int, id_type: str, block: int) -> DataFrame:
-    """Links (a, b) inside the candidate groups (id, component); stored: id and the compressed text.
-
-    Groups of up to ``block`` documents share tasks; of larger ones each pair of
-    blocks is a task, which a block of rows reaches once for every other block.
-    """
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
-    parts = max(1, groups.count() // block)
-    known = groups.join(sizes, "component").join(stored, "id")
-    small = known.where(F.col("k") <= block).select(
-        F.pmod(F.xxhash64("component"), F.lit(parts)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "component", "id", "z"
-    )
-    blocks = F.ceil(F.col("k") / block).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
-    large = known.where(F.col("k") > block).withColumn("__m", mine).withColumn("__o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.select(
-        F.xxhash64("component").alias("g"), F.least("__m", "__o").alias("i"), F.greatest("__m", "__o").alias("j"),
-        F.when(F.col("__m") <= F.col("__o"), 0).otherwise(1).alias("side"), "component", "id", "z",
-    )
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = _WordHashes()
-        found = []
-        crossing = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        for _, group in pdf.sort_values(["component", "side", "id"]).groupby("component", sort=False):
-            if len(group) < 2:
-                continue
-            ids = group["id"].tolist()
-            sets = [shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"), hashes) for z in group["z"]]
-            found += [(ids[x], ids[y]) for x, y in links(sets, percent, int((group["side"] == 0).sum()) if crossing else None)]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return small.unionByName(large).groupBy("g", "i", "j").applyInPandas(verify, f"a {id_type}, b {id_type}")
-
-
-def components(edges: DataFrame) -> tuple[DataFrame, str]:
-    """(id, component): the smallest id reachable over ``edges`` (a, b), for ids that have an edge.
-
-    Large-star and small-star steps in turn until nothing changes; each round is
-    a written table, so a lost executor never goes back further than that.
-    """
-    spark = edges.sparkSession
-    current, path = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    state = None
-    while True:
-        both = current.union(current.select("v", "u"))
-        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        small = small.where("u <> v").distinct()
-        after, new_path = materialise(small, "cc")
-        now = tuple(after.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
-        discard(spark, path)
-        current, path = after, new_path
-        if now == state:
-            return current.select(F.col("u").alias("id"), F.col("v").alias("component")), path
-        state = now
-
-
 def near_duplicates(
     docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -249,18 +141,20 @@ def near_duplicates(
     have, and the compressed texts of documents with a candidate.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets, sets_path = materialise(_describe(texts, bands, rows), "nd-sets")
+    n_rows = sets.count()
     classed = sets.where("digest is not null and id is not null")
     # n and bands follow from the set, so the least struct is that of the smallest id
     reps, reps_path = materialise(
-        classed.groupBy("digest").agg(F.min(F.struct("id", "n", "bands")).alias("r")).select("r.*", "digest"), "nd-reps"
+        classed.groupBy("digest").agg(F.min(F.struct("id", "n", "bands")).alias("r")).select("r.*", "digest"), "nd-reps", n_rows
     )
 
     def keys(pdf: pd.DataFrame) -> np.ndarray:
         return np.concatenate([np.asarray(b, np.int64) for b in pdf["bands"]] or [np.zeros(0, np.int64)]).view(np.uint64)
 
-    _, twice = bloom.once_and_twice(reps.select("bands"), keys, bloom.bits_for(reps.count() * bands))
+    _, twice = bloom.once_and_twice(reps.select("bands"), keys, bloom.bits_for(n_rows * bands))
     shared = spark.sparkContext.broadcast(twice)
 
     @F.pandas_udf("array<long>")
@@ -276,43 +170,40 @@ def near_duplicates(
     wanted, _ = bloom.once_and_twice(
         several.join(members, "bucket").select(F.xxhash64("id").alias("h")).distinct(),
         lambda pdf: pdf["h"].to_numpy(np.int64).view(np.uint64),
-        bloom.bits_for(reps.count()),
+        bloom.bits_for(n_rows),
     )
     has = spark.sparkContext.broadcast(wanted)
 
-    @F.pandas_udf("boolean")
-    def candidate(h: pd.Series) -> pd.Series:
-        return pd.Series(has.value.has(h.to_numpy(np.int64).view(np.uint64)))
-
     @F.pandas_udf("binary")
-    def compressed(column: pd.Series) -> pd.Series:
-        return pd.Series([zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in column], dtype=object)
+    def compressed(hashed: pd.Series, column: pd.Series) -> pd.Series:
+        """The text of a candidate, null for others."""
+        chosen = has.value.has(hashed.to_numpy(np.int64).view(np.uint64))
+        return pd.Series([zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) if c else None for t, c in zip(column, chosen)], dtype=object)
 
     stored, stored_path = materialise(
-        texts.where(F.col("id").isNotNull()).where(candidate(F.xxhash64("id"))).select("id", compressed("text").alias("z")), "nd-texts"
+        texts.where(F.col("id").isNotNull()).select("id", compressed(F.xxhash64("id"), "text").alias("z")).where("z is not null"), "nd-texts"
     )
-    stored = stored.dropDuplicates(["id"])  # rows that repeat an id
+    stored = stored.groupBy("id").agg(F.min("z").alias("z"))  # rows that repeat an id
     paths.append(stored_path)
 
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("a"))
-    candidates, candidates_path = components(members.join(leaders, "bucket").select("a", F.col("id").alias("b")).where("a <> b").distinct())
-    # a component's own smallest id has no row of its own
-    candidates = candidates.unionByName(candidates.select(F.col("component").alias("id"), "component").distinct())
+    def sets_of() -> Callable[[list], list[np.ndarray]]:
+        hashes = _WordHashes()
+        return lambda column: [shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"), hashes) for z in column]
+
+    candidates, candidates_path = candidate_groups(members, members.count())
     id_type = docs.schema[id_col].dataType.simpleString()
-    found, found_path = materialise(_verified(candidates, stored, percent, id_type, block), "nd-links")
-    labels, labels_path = components(found)
+    found, found_path = materialise(verified_links(candidates, stored, percent, id_type, block, sets_of), "nd-links")
+    labels, labels_path = components(found, found.count())
     paths += [candidates_path, found_path, labels_path]
 
-    joined = classed.select("id", "digest").join(reps.select("digest", F.col("id").alias("rep")), "digest")
-    joined = joined.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    joined = joined.select("id", F.coalesce("component", "rep").alias("component_id"))
-    linked = classed.select("id", F.col("n")).join(joined.select("id", "component_id").distinct(), "id")
+    linked = classed.select("id", "n", "digest").join(reps.select("digest", F.col("id").alias("rep")), "digest")
+    linked = linked.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    linked = linked.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = sets.where("digest is null or id is null").select("id", "n", F.col("id").alias("component_id"))
-    out = linked.select("id", "n", "component_id").unionByName(alone)
-    out = out.select(
+    out = linked.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
-    done, _ = materialise(out, "nd-result")
+    done, _ = materialise(out, "nd-result", n_rows)
     discard(spark, sets_path, reps_path, *paths)
     return done
 

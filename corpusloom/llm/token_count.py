@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, tokenizer_path
+from .common import documents, small_batches, tokenizer_path
 
 # Characters whose class (letter, digit, space, other) is the same in every
 # Unicode version; texts with others are cut by the library's own pre-tokenizer.
@@ -32,7 +32,7 @@ _LETTER = r"A-Za-zÀ-ÖØ-öø-įı-ſ"
 _OTHER = r"!-/:-@\[-`{-~«»¿¡‘’“”–—…€°"
 UNUSUAL = re.compile(rf"[^ \t\n\r0-9{_LETTER}{_OTHER}]")
 _PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[{_OTHER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
-_CACHE_LIMIT, _CACHED_CHARS = 400_000, 64
+_CACHE_LIMIT, _CACHED_CHARS = 200_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -161,6 +161,7 @@ def count_tokens(
                 "n_tokens": [counter.count(t) for t in values],
             }, dtype="int64")
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), counts(F.col(text_col)).alias("__c")).select(
         F.col(id_col),
         F.col("__c.n_bytes").alias("n_bytes"),

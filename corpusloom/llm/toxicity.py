@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, hash_share
+from .common import documents, fold, hash_share, small_batches
 
 _SENTENCE = re.compile(r"[^.!?…\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 150_000
 
 
 @dataclass(frozen=True)
@@ -138,6 +138,7 @@ def score_text(text: str | None, model: ToxicityModel, weights: _Weights | None
 
 def toxicity_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
     """struct(score, spans array<struct(start, end, score)>); the broadcast model is at most 2**bits weights."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,score:double>>")
