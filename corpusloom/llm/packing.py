@@ -32,13 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, ranked, tokenizer_path
+from .common import documents, materialise, ranked, small_batches, tokenizer_path
 
 _LETTER = r"A-Za-zÀ-ÖØ-öø-įı-ſ"
 _OTHER = r"!-/:-@\[-`{-~«»¿¡‘’“”–—…€°"
 _UNUSUAL = re.compile(rf"[^ \t\n\r0-9{_LETTER}{_OTHER}]|<\|(?:startoftext|endoftext)\|>")
 _PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[0-9]|[{_OTHER}]+")
-_CACHE_LIMIT, _CACHED_CHARS, _GROUP_CHARS = 400_000, 64, 1 << 20
+_CACHE_LIMIT, _CACHED_CHARS, _GROUP_CHARS = 200_000, 64, 1 << 20
 
 
 class WordTokenizer:
@@ -55,11 +55,27 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """One call for many words with blanks between them, cut after the ids that end a word."""
+        if not self.last.any():
+            return self._encode(words)
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self._encode(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         group, size = [], 0
         for text in texts:
@@ -77,7 +93,7 @@ class WordTokenizer:
         cut = [None if _UNUSUAL.search(t) else _PIECES.findall(t.lower()) for t in texts]
         new = list({w for ws in cut if ws is not None for w in ws if w not in known})
         extra = {}
-        for word, ids in zip(new, self._encode(new)):
+        for word, ids in zip(new, self._encode_words(new)):
             (known if len(word) <= _CACHED_CHARS else extra)[word] = ids
         of = known.__getitem__ if not extra else lambda w: known[w] if w in known else extra[w]
         for text, ws in zip(texts, cut):
@@ -112,7 +128,9 @@ def cut_documents(
                     for s in range(0, n, capacity)
                 ])
             yield pd.DataFrame({"doc_tokens": np.array(tokens, np.int64), "pieces": pieces})
+        tokenizer.words.clear()  # the worker lives on for other tasks
 
+    small_batches(docs.sparkSession)
     found = docs.select(F.col(id_col), cut(F.col(text_col)).alias("__c"))
     found = found.select(id_col, F.col("__c.doc_tokens").alias("doc_tokens"), F.explode("__c.pieces").alias("__p"))
     return found.select(
