@@ -55,6 +55,7 @@ def split_by_word(df: DataFrame, column: str, word_per_chunk: int = 300, index:
 
 # ---------------------------------------------------------------- section trimming
 
+#: The headings that bound an article's body.
 _ABSTRACT = r"(?md)^(?:Abstract|ABSTRACT)"
 _CLOSING = r"(?is)\A(.*\n|)(Conclusions|Summary)\b"
 _BACK_MATTER = r"(?i)(?<=\n)(?:References?|Bibliography|Acknowledgements?|Data availability|Supplemental material)\b"
