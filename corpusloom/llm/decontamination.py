@@ -12,12 +12,16 @@ each value of the item's placeholders must map to one value in the document, as
 when a question is asked again with other numbers or names. Windows of
 inconsistent alignments only count if they have no placeholder.
 
-An item is found in a document if half of its windows are, or ``run`` of them.
-Windows with fewer than ``literals`` plain words are not used; an item shorter
-than a window is one window of its own length, if it has enough words. Null and
-empty texts match nothing. Repeated rows and items give the same row once each
-per (id, item). Long texts are read whole; other columns are not read. With no
-benchmark rows nothing is found.
+Templates take capitals for names, so text in upper case has few plain words.
+Therefore windows of the words themselves, without case and placeholders, are
+matched as well, in the same filter and join; each verbatim copy is found.
+
+An item is found in a document if half of its windows are, or ``run`` of them,
+by templates or else by words. Template windows with fewer than ``literals``
+plain words are not used; an item shorter than a window is one window of its own
+length. Null and empty texts match nothing. Repeated rows and items give the
+same row once each per (id, item). Long texts are read whole; other columns are
+not read. With no benchmark rows nothing is found.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Codes(dict):
-    """token -> 61 bits of its lower-case hash, then 3 bits of its kind."""
+    """token -> 61 bits of the hash of its case-folded form, then 3 bits of its kind."""
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -59,15 +63,15 @@ class _Codes(dict):
             kind = _UNIT
         else:
             kind = _CAPITAL if token[0].isupper() else _WORD
-        data = low.encode("utf-8", "surrogatepass")
+        data = token.casefold().encode("utf-8", "surrogatepass")
         code = ((zlib.crc32(data) << 29 ^ zlib.crc32(data, 0x5BD1E995)) & ((1 << 61) - 1)) << 3 | kind
         if len(self) < _CACHE_LIMIT:
             self[token] = code
         return code
 
 
-def _template(tokens: list[str], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, whether each is a placeholder, and the number of the token it comes from."""
+def _template(tokens: list[str], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hashes, word hashes, whether each is a placeholder, and the number of the token it comes from."""
     code = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
     kind = (code & np.uint64(7)).astype(np.uint8)
     before = np.concatenate([[_END], kind[:-1]]) if len(kind) else kind
@@ -75,9 +79,10 @@ def _template(tokens: list[str], codes: _Codes) -> tuple[np.ndarray, np.ndarray,
     name = (kind == _CAPITAL) & (before != _END)
     unit = (kind == _UNIT) & (before == _NUMBER)
     hashed = code >> np.uint64(3)
+    exact = hashed.copy()
     hashed[number], hashed[name], hashed[unit] = 1, 2, 3
     words = np.flatnonzero(kind != _END)
-    return hashed[words], (number | name | unit)[words], words
+    return hashed[words], exact[words], (number | name | unit)[words], words
 
 
 def _windows(hashed: np.ndarray, width: int) -> np.ndarray:
@@ -91,34 +96,48 @@ def _windows(hashed: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def _window_rows(text: str | None, width: int, literals: int, codes: _Codes, has=None) -> list[tuple[int, int, list[str]]]:
-    """(hash, place, slots) of a text's windows that are used and pass ``has``; a slot is '' or the placeholder's token."""
+def _window_rows(text: str | None, width: int, literals: int, codes: _Codes, has=None) -> list[tuple[int, bool, int, list[str]]]:
+    """(hash, exact, place, slots) of a text's windows that are used and pass ``has``.
+
+    A slot is '' or the placeholder's token. Exact windows, those of the words
+    themselves, come once each and without place and slots; where a window has no
+    placeholder, both kinds have the same hash.
+    """
     tokens = _TOKEN.findall(text or "")
-    hashed, slot, at = _template(tokens, codes)
+    hashed, exact, slot, at = _template(tokens, codes)
     h = _windows(hashed, width)
     if not len(h):
         return []
     size = min(width, len(hashed))
-    sums = np.concatenate([[0], np.cumsum(~slot)])
-    use = sums[size:] - sums[:-size] >= literals
-    if has is not None and use.any():
-        use[use] = has(h[use])
-    return [
-        (int(h[i].view(np.int64)), int(i), [tokens[at[j]].lower() if slot[j] else "" for j in range(i, i + size)])
+    sums = np.concatenate([[0], np.cumsum(slot)])
+    slots = sums[size:] - sums[:-size]
+    use = size - slots >= literals
+    words = _windows(exact, width) if slots.any() else h
+    same, use_words = slots == 0, np.ones(len(h), bool)
+    if has is not None:
+        tested = use | same
+        tested[tested] = has(h[tested])
+        use &= tested
+        use_words = tested & same
+        if not same.all():
+            use_words[~same] = has(words[~same])
+    rows = [
+        (int(h[i].view(np.int64)), False, int(i), [tokens[at[j]].casefold() if slot[j] else "" for j in range(i, i + size)])
         for i in np.flatnonzero(use)
     ]
+    return rows + [(int(w), True, 0, []) for w in np.unique(words[use_words]).view(np.int64)]
 
 
 def _exploded(df: DataFrame, key: str, text: str, width: int, literals: int, has=None) -> DataFrame:
-    schema = f"k {df.schema[key].dataType.simpleString()}, h long, p int, slots array<string>"
+    schema = f"k {df.schema[key].dataType.simpleString()}, h long, exact boolean, p int, slots array<string>"
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = _Codes()
         for pdf in batches:
             rows = [
-                (None if pd.isna(k) else k, h, p, s) for k, t in zip(pdf["k"], pdf["t"]) for h, p, s in _window_rows(t, width, literals, codes, has and has.value.has)
+                (None if pd.isna(k) else k, *row) for k, t in zip(pdf["k"], pdf["t"]) for row in _window_rows(t, width, literals, codes, has and has.value.has)
             ]
-            yield pd.DataFrame(rows, columns=["k", "h", "p", "slots"])
+            yield pd.DataFrame(rows, columns=["k", "h", "exact", "p", "slots"])
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(explode, schema)
 
@@ -137,6 +156,7 @@ def find_contamination(
 ) -> DataFrame:
     """A row for each document and item that is in it: the ids, windows, item_windows and reparameterised.
 
+    The counts are of template windows; of exact ones where only these find the item.
     The Bloom filter is at most 16 MB, however large the benchmark; only windows
     that pass it are shuffled. Reads both tables twice at most.
     """
@@ -146,19 +166,19 @@ def find_contamination(
 
     def hashes(pdf: pd.DataFrame) -> np.ndarray:
         codes = _Codes()
-        return np.array([h for t in pdf["t"] for h, _, _ in _window_rows(t, width, literals, codes)], np.int64).view(np.uint64)
+        return np.array([h for t in pdf["t"] for h, *_ in _window_rows(t, width, literals, codes)], np.int64).view(np.uint64)
 
     bits = bloom.bits_for(input_bytes(benchmark, item_text))
     seen, _ = bloom.once_and_twice(benchmark.select(F.col(item_text).alias("t")), hashes, bits)
     found = _exploded(docs, id_col, text_col, width, literals, spark.sparkContext.broadcast(seen))
 
-    items = items.select(F.col("k").alias("item"), "h", F.col("p").alias("item_p"), F.col("slots").alias("item_slots"))
-    totals = items.groupBy("item").agg(F.countDistinct("h").alias("item_windows"))
-    pairs = found.join(items, "h")
+    items = items.select(F.col("k").alias("item"), "h", "exact", F.col("p").alias("item_p"), F.col("slots").alias("item_slots"))
+    totals = items.groupBy("item", "exact").agg(F.countDistinct("h").alias("item_windows"))
+    pairs = found.join(items, ["h", "exact"])
     changed = F.zip_with("item_slots", "slots", lambda a, b: F.when(a != "", F.struct(a.alias("a"), b.alias("b"))))
-    pairs = pairs.select("k", "item", "h", (F.col("p") - F.col("item_p")).alias("shift"), F.filter(changed, lambda s: s.isNotNull()).alias("slots"))
+    pairs = pairs.select("k", "item", "exact", "h", (F.col("p") - F.col("item_p")).alias("shift"), F.filter(changed, lambda s: s.isNotNull()).alias("slots"))
     # of one alignment: at most as many windows as the item has
-    aligned = pairs.groupBy("k", "item", "shift").agg(
+    aligned = pairs.groupBy("k", "item", "exact", "shift").agg(
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
         F.collect_set("h").alias("all"),
         F.collect_set(F.when(F.size("slots") == 0, F.col("h"))).alias("plain"),
@@ -166,14 +186,14 @@ def find_contamination(
     sources = F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
     consistent = sources == F.size("slots")
     aligned = aligned.select(
-        "k", "item", F.explode(F.when(consistent, F.col("all")).otherwise(F.col("plain"))).alias("h"),
+        "k", "item", "exact", F.explode(F.when(consistent, F.col("all")).otherwise(F.col("plain"))).alias("h"),
         (consistent & F.exists("slots", lambda s: s["a"] != s["b"])).alias("other"),
     )
-    matched = aligned.groupBy("k", "item").agg(F.countDistinct("h").alias("windows"), F.max("other").alias("reparameterised"))
-    matched = matched.join(totals, "item").where((F.col("windows") >= share * F.col("item_windows")) | (F.col("windows") >= run))
-    return matched.select(
-        F.col("k").alias(id_col), F.col("item").alias(item_col), "windows", "item_windows", "reparameterised"
-    )
+    matched = aligned.groupBy("k", "item", "exact").agg(F.countDistinct("h").alias("windows"), F.max("other").alias("reparameterised"))
+    matched = matched.join(totals, ["item", "exact"]).where((F.col("windows") >= share * F.col("item_windows")) | (F.col("windows") >= run))
+    counts = F.struct("exact", "windows", "item_windows", "reparameterised")
+    first = matched.groupBy("k", "item").agg(F.min(counts).alias("r"))  # the templates' counts before the words'
+    return first.select(F.col("k").alias(id_col), F.col("item").alias(item_col), "r.windows", "r.item_windows", "r.reparameterised")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

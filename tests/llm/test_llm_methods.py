@@ -149,6 +149,16 @@ def test_templates_catch_changed_numbers_and_names(spark):
     assert 4 not in got or got[4] is False
 
 
+def test_verbatim_copies_in_upper_case_are_found(spark):
+    item = "The die Straße runs past the old mill and the bridge, where nobody has lived since the river rose"
+    docs = spark.createDataFrame(
+        [(1, "NEWS OF THE DAY " + item.upper() + " AND MORE"), (2, item), (3, "ALL OF THIS IS IN UPPER CASE BUT NOT ONE PASSAGE OF IT IS COPIED")], "doc_id long, text string"
+    )
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.find_contamination(docs, bench).collect()}
+    assert set(got) == {1, 2} and all(r["windows"] == r["item_windows"] and not r["reparameterised"] for r in got.values())
+
+
 def test_shards_are_near_equal_and_keep_groups(spark):
     rng = random.Random(1)
     texts = [(i, "x" * rng.randrange(1, 400)) for i in range(3000)] + [(5000 + i, "same text " * 9) for i in range(1500)]
