@@ -18,17 +18,21 @@ matched as well, in the same filter and join; each verbatim copy is found.
 
 An item is found in a document if half of its windows are, or ``run`` of them,
 by templates or else by words. Template windows with fewer than ``literals``
-plain words are not used; an item shorter than a window is one window of its own
-length. Null and empty texts match nothing. Repeated rows and items give the
-same row once each per (id, item). Long texts are read whole; other columns are
-not read. With no benchmark rows nothing is found.
+plain words are not used, and are left to the words' windows, which have no such
+bound. An item shorter than a window is one window of its own length; documents
+are also cut into windows of each such length that the benchmark has, so an item
+of one word is found in each document with that word. Punctuation and signs are
+not compared; null and empty texts and texts without words match nothing.
+Repeated rows and items give the same row once each per (id, item). Long texts
+are read whole; other columns are not read. With no benchmark rows nothing is
+found.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -86,9 +90,8 @@ def _template(tokens: list[str], codes: _Codes) -> tuple[np.ndarray, np.ndarray,
 
 
 def _windows(hashed: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each window; of all tokens if there are fewer than ``width``."""
-    width = min(width, len(hashed))
-    n = len(hashed) - width + 1 if width else 0
+    """The hash of each window."""
+    n = len(hashed) - width + 1
     h = np.full(n, np.uint64(width + 1))
     for k in range(width):
         h = (h ^ hashed[k : k + n]) * _MIX
@@ -96,8 +99,11 @@ def _windows(hashed: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def _window_rows(text: str | None, width: int, literals: int, codes: _Codes, has=None) -> list[tuple[int, bool, int, list[str]]]:
-    """(hash, exact, place, slots) of a text's windows that are used and pass ``has``.
+_Row = tuple[int, bool, int, list[str]]
+
+
+def _window_rows(text: str | None, widths: Sequence[int], literals: int, codes: _Codes, has=None) -> list[_Row]:
+    """(hash, exact, place, slots) of a text's windows of each width that are used and pass ``has``.
 
     A slot is '' or the placeholder's token. Exact windows, those of the words
     themselves, come once each and without place and slots; where a window has no
@@ -105,38 +111,59 @@ def _window_rows(text: str | None, width: int, literals: int, codes: _Codes, has
     """
     tokens = _TOKEN.findall(text or "")
     hashed, exact, slot, at = _template(tokens, codes)
-    h = _windows(hashed, width)
-    if not len(h):
-        return []
-    size = min(width, len(hashed))
     sums = np.concatenate([[0], np.cumsum(slot)])
-    slots = sums[size:] - sums[:-size]
-    use = size - slots >= literals
-    words = _windows(exact, width) if slots.any() else h
-    same, use_words = slots == 0, np.ones(len(h), bool)
-    if has is not None:
-        tested = use | same
-        tested[tested] = has(h[tested])
-        use &= tested
-        use_words = tested & same
-        if not same.all():
-            use_words[~same] = has(words[~same])
-    rows = [
-        (int(h[i].view(np.int64)), False, int(i), [tokens[at[j]].casefold() if slot[j] else "" for j in range(i, i + size)])
-        for i in np.flatnonzero(use)
-    ]
-    return rows + [(int(w), True, 0, []) for w in np.unique(words[use_words]).view(np.int64)]
-
-
-def _exploded(df: DataFrame, key: str, text: str, width: int, literals: int, has=None) -> DataFrame:
+    rows: list[_Row] = []
+    for width in widths:
+        if width > len(hashed):
+            continue
+        h = _windows(hashed, width)
+        slots = sums[width:] - sums[:-width]
+        use = width - slots >= literals
+        words = _windows(exact, width) if slots.any() else h
+        same, use_words = slots == 0, np.ones(len(h), bool)
+        if has is not None:
+            tested = use | same
+            tested[tested] = has(h[tested])
+            use &= tested
+            use_words = tested & same
+            if not same.all():
+                use_words[~same] = has(words[~same])
+        rows += [
+            (int(h[i].view(np.int64)), False, int(i), [tokens[at[j]].casefold() if slot[j] else "" for j in range(i, i + width)])
+            for i in np.flatnonzero(use)
+        ]
+        rows += [(int(w), True, 0, []) for w in np.unique(words[use_words]).view(np.int64)]
+    return rows
+
+
+def _item_width(text: str | None, width: int) -> int:
+    """The length of an item's windows: its number of words, ``width`` at most; 0 without words."""
+    return min(width, sum(t[0].isdigit() or t[0].isalpha() for t in _TOKEN.findall(text or "")))
+
+
+def _item_rows(text: str | None, width: int, literals: int, codes: _Codes) -> list[_Row]:
+    own = _item_width(text, width)
+    return _window_rows(text, [own] if own else [], literals, codes)
+
+
+def _short_widths(benchmark: DataFrame, text: str, width: int) -> list[int]:
+    """The lengths below ``width`` that items have: fewer than ``width`` rows come to the driver."""
+
+    @F.pandas_udf("int")
+    def own(column: pd.Series) -> pd.Series:
+        return pd.Series([_item_width(t, width) for t in column], dtype="int32")
+
+    widths = benchmark.select(own(text).alias("w")).distinct().collect()
+    return sorted(r["w"] for r in widths if 0 < r["w"] < width)
+
+
+def _exploded(df: DataFrame, key: str, text: str, rows_of: Callable[[str | None, _Codes], list[_Row]]) -> DataFrame:
     schema = f"k {df.schema[key].dataType.simpleString()}, h long, exact boolean, p int, slots array<string>"
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = _Codes()
         for pdf in batches:
-            rows = [
-                (None if pd.isna(k) else k, *row) for k, t in zip(pdf["k"], pdf["t"]) for row in _window_rows(t, width, literals, codes, has and has.value.has)
-            ]
+            rows = [(None if pd.isna(k) else k, *row) for k, t in zip(pdf["k"], pdf["t"]) for row in rows_of(t, codes)]
             yield pd.DataFrame(rows, columns=["k", "h", "exact", "p", "slots"])
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(explode, schema)
@@ -158,19 +185,21 @@ def find_contamination(
 
     The counts are of template windows; of exact ones where only these find the item.
     The Bloom filter is at most 16 MB, however large the benchmark; only windows
-    that pass it are shuffled. Reads both tables twice at most.
+    that pass it are shuffled. Reads the documents once and the benchmark four
+    times at most.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = _exploded(benchmark, item_col, item_text, width, literals)
+    items = _exploded(benchmark, item_col, item_text, lambda t, codes: _item_rows(t, width, literals, codes))
 
     def hashes(pdf: pd.DataFrame) -> np.ndarray:
         codes = _Codes()
-        return np.array([h for t in pdf["t"] for h, *_ in _window_rows(t, width, literals, codes)], np.int64).view(np.uint64)
+        return np.array([h for t in pdf["t"] for h, *_ in _item_rows(t, width, literals, codes)], np.int64).view(np.uint64)
 
     bits = bloom.bits_for(input_bytes(benchmark, item_text))
     seen, _ = bloom.once_and_twice(benchmark.select(F.col(item_text).alias("t")), hashes, bits)
-    found = _exploded(docs, id_col, text_col, width, literals, spark.sparkContext.broadcast(seen))
+    shared, widths = spark.sparkContext.broadcast(seen), [*_short_widths(benchmark, item_text, width), width]
+    found = _exploded(docs, id_col, text_col, lambda t, codes: _window_rows(t, widths, literals, codes, shared.value.has))
 
     items = items.select(F.col("k").alias("item"), "h", "exact", F.col("p").alias("item_p"), F.col("slots").alias("item_slots"))
     totals = items.groupBy("item", "exact").agg(F.countDistinct("h").alias("item_windows"))

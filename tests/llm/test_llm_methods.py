@@ -159,6 +159,20 @@ def test_verbatim_copies_in_upper_case_are_found(spark):
     assert set(got) == {1, 2} and all(r["windows"] == r["item_windows"] and not r["reparameterised"] for r in got.values())
 
 
+def test_short_items_and_items_of_few_words_are_found(spark):
+    items = {
+        1: "What is the capital of France?", 2: "Who wrote Pride and Prejudice?", 3: "Compute 3 + 5 * 7 - 12 / 4 + 8 * 2 - 6 / 3 + 1.",
+        4: "Evaluate 45 km / 3 h + 60 km / 4 h in km per hour.", 5: "how far is it to Boston", 6: "Photosynthesis", 7: "...", 8: "", 9: None,
+    }
+    filler = "a sentence that is long enough to have a number of windows of its own."
+    texts = {k: f"Here is {filler} {t} And so on, {filler}" for k, t in items.items() if k < 7}
+    texts |= {10: filler, 11: f"So {filler} how far is it to Denver, they asked.", 12: "Paris", 13: "", 14: "PHOTOSYNTHESIS", 15: f"What is the capital of all, {filler}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = decontamination.find_contamination(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (11, 5), (14, 6)]
+    assert [r["doc_id"] for r in got if r["reparameterised"]] == [11]
+
+
 def test_shards_are_near_equal_and_keep_groups(spark):
     rng = random.Random(1)
     texts = [(i, "x" * rng.randrange(1, 400)) for i in range(3000)] + [(5000 + i, "same text " * 9) for i in range(1500)]
