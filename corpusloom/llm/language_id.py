@@ -193,8 +193,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def _has_letter(text: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def has(column: pd.Series) -> pd.Series:
+        return pd.Series([_LETTER.search(t or "") is not None for t in column], dtype=bool)
+
+    return has(text)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; those without any letter go."""
     model = fit_language_model(training_rows(docs))
+    if not model.languages:  # no labelled row to learn from: every text would be unknown
+        return docs.where(_has_letter(F.col("text")))
     kept = docs.withColumn("__lang_pred", predict_language(spark, model, F.col("text"))["lang_pred"])
     return kept.where(F.col("__lang_pred") != UNKNOWN).drop("__lang_pred")

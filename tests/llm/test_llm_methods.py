@@ -204,6 +204,14 @@ def test_query_matches_sql(spark, name):
     assert got == want
 
 
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_language_stage_keeps_letters_without_labels(spark, lang):
+    ids = [i for i in range(60) if lang is None or zlib.crc32(str(i).encode()) % 5 == 0]  # all held out where they are labelled
+    docs = spark.createDataFrame([(i, t, lang) for i, t in zip(ids, ["some text", "12 34", "", None, "ü"])], "doc_id long, text string, lang string")
+    kept = language_id.stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == ["some text", "ü"]
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
