@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import TRIPLE
 from ..functions.text import strip
-from .graph import candidate_groups, components, verified_links
+from .graph import similarity_components
 from .lineage import cut
 
 
-
 def exact_triples(df: DataFrame, order: Sequence[str], dedup: bool = True) -> DataFrame:
     """Valid triples, stripped; of equal ones the first by ``order`` if ``dedup``."""
     bare = df.select(*order, *[strip(F.col(c)).alias(c) for c in TRIPLE]).where(" and ".join(f"length({c}) > 0" for c in TRIPLE))
@@ -81,18 +80,19 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: f
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75, ngram: int = 5, hashes: int = 128, rows: int = 4, block: int = 1000) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.75, ngram: int = 5, hashes: int = 128, rows: int = 4) -> DataFrame:
     """The id, its component (the smallest id of its group) and kept, for each row; null texts are alone.
 
-    Works through candidate groups, so a large group of near copies never makes
-    its pairs: a task emits one link per document at most.
+    Links are found bucket by bucket, so a large group of near copies never makes
+    its pairs; see :func:`corpusloom.operators.graph.similarity_components`.
     """
     reps = df.where(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("h")).agg(F.min(F.struct(id_col, text_col)).alias("r"))
     described = cut(reps.select("h", F.col(f"r.{id_col}").alias("id"), _signatures(ngram, hashes, rows)(F.col(f"r.{text_col}")).alias("d")).select("h", "id", "d.*"))
-    groups, _ = candidate_groups(described.select("id", F.explode("bands").alias("bucket")))
+    members = cut(described.select("id", F.size("shingles").alias("n"), F.explode("bands").alias("bucket")))
     id_type = df.schema[id_col].dataType.simpleString()
-    links = verified_links(groups, described.select("id", F.col("shingles").alias("z")), round(100 * threshold), id_type, block, lambda: lambda column: [np.asarray(z, np.int64) for z in column])
-    found, _ = components(links)
+    found, _ = similarity_components(
+        members, described.select("id", F.col("shingles").alias("z")), round(100 * threshold), id_type, lambda: lambda column: [np.asarray(z, np.int64).view(np.uint64) for z in column]
+    )
     each = df.select(id_col, F.sha2(text_col, 256).alias("h")).join(described.select("h", F.col("id").alias("rep")), "h", "left")
     each = each.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", id_col)

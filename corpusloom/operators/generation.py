@@ -13,11 +13,16 @@ from . import sampling
 from .lineage import cut
 
 
+#: The names of a record's category fields, in the order in which they are asked.
+MAJOR_KEYS = ("major_category", "major categories", "major_category_name")
+SUB_KEYS = ("sub_category", "sub-categories", "sub_category_name")
+
+
 def category_groups(records: DataFrame, record: str = "record") -> DataFrame:
     """major, sub, text and source of variant records: blank texts go, unknown categories are "unknown"."""
     r = F.col(record)
     out = records.withColumns({
-        "major": P.nested_value(r, ("major categories", "major_category")), "sub": P.nested_value(r, ("sub-categories", "sub_category")),
+        "major": P.nested_value(r, MAJOR_KEYS), "sub": P.nested_value(r, SUB_KEYS),
         "text": P.blank_to_null(F.try_variant_get(r, "$.text", "string")),
     })
     return out.where(F.col("text").isNotNull())
