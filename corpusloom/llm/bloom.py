@@ -1,8 +1,15 @@
-"""Bloom filters that tasks build, executors merge and the driver broadcasts.
-
-A filter has a power of two of bits, at most 2**MOST_BITS (16 MB), whatever the
-corpus: past that it lets more keys pass, which costs its users work, never
-results.
+"""Bloom filters of keys, and of those that occur more than once.
+
+Repeated keys are found by pairs of filters, "once" and "twice", that follow the
+keys: keys travel as 64-bit hashes, at most once for each batch that has them, to
+the task that owns their range of hashes, and there pass that range's own two
+filters as a stream. What comes out are the suspects, which make one filter for
+broadcasting. Its bits thus follow the repeated keys, not all keys.
+
+A broadcast filter has a power of two of bits, at most 2**MOST_BITS (16 MB): at
+sixteen bits a key up to 8 million repeated keys, at four bits, where a seventh
+of the other keys pass, 33 million. Past that it lets more keys pass, which costs
+its users shuffling, never results.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ MOST_BITS = 27
 _HASHES = 3
 _SLICE = 1 << 19  # bits that are merged together
 _FAN_IN = 256
+_RANGE_KEYS = 1 << 21  # keys of a range of hashes
 
 
 def bits_for(keys: int) -> int:
@@ -53,49 +61,102 @@ class Bits:
         return found
 
 
-def once_and_twice(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bits: int) -> tuple[Bits, Bits]:
-    """The filters of keys that rows of ``df`` hold, and hold at least twice.
+def filter_of(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bits: int) -> Bits:
+    """The filter of the 64-bit hashes that ``hashes`` gives for batches of rows of ``df``.
 
-    ``hashes`` gives the 64-bit key hashes of a batch of rows. Each task sets
-    every key's bits in a filter "once", and those of keys that its filter
-    already has in a filter "twice". Merging two pairs carries: bits that both
-    "once" filters have go to "twice". A key that is seen twice is therefore
-    always in the merged "twice"; other keys rarely are.
+    Each task fills one; non-empty slices are merged in two steps, and the merged
+    ones come to the driver, 2**bits bits at most.
     """
     n_bytes = _SLICE // 8
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        once, twice = Bits(bits), Bits(bits)
+        own = Bits(bits)
         for batch in batches:
-            keys, counts = np.unique(hashes(batch), return_counts=True)
-            twice.add(keys[once.has(keys) | (counts > 1)])
-            once.add(keys)
+            own.add(hashes(batch))
         part = TaskContext.get().partitionId()
-        for k in range(0, len(once.data), n_bytes):
-            if once.data[k : k + n_bytes].any():
-                yield pd.DataFrame({
-                    "slice": [k // n_bytes], "part": [part],
-                    "once": [zlib.compress(once.data[k : k + n_bytes].tobytes(), 1)],
-                    "twice": [zlib.compress(twice.data[k : k + n_bytes].tobytes(), 1)],
-                })
+        for k in range(0, len(own.data), n_bytes):
+            if own.data[k : k + n_bytes].any():
+                yield pd.DataFrame({"slice": [k // n_bytes], "part": [part], "bits": [zlib.compress(own.data[k : k + n_bytes].tobytes(), 1)]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = twice = None
-        for o, t in zip(pdf["once"], pdf["twice"]):
-            o, t = np.frombuffer(zlib.decompress(o), np.uint8), np.frombuffer(zlib.decompress(t), np.uint8)
-            once, twice = (o, t) if once is None else (once | o, twice | t | (once & o))
+        merged = np.zeros(n_bytes, np.uint8)
+        for data in pdf["bits"]:
+            merged |= np.frombuffer(zlib.decompress(data), np.uint8)
         first = pdf.iloc[:1]
-        return first.assign(part=first["part"] // _FAN_IN, once=zlib.compress(once.tobytes(), 1), twice=zlib.compress(twice.tobytes(), 1))
+        return first.assign(part=first["part"] // _FAN_IN, bits=zlib.compress(merged.tobytes(), 1))
 
-    schema = "slice int, part int, once binary, twice binary"
+    schema = "slice int, part int, bits binary"
     made = df.mapInPandas(build, schema)
     made = made.groupBy("slice", F.floor(F.col("part") / _FAN_IN).cast("int").alias("__g")).applyInPandas(merge, schema)
     made = made.groupBy("slice").applyInPandas(merge, schema)
-    once, twice = Bits(bits), Bits(bits)
+    out = Bits(bits)
     for row in made.toLocalIterator():
-        here = slice(row["slice"] * n_bytes, (row["slice"] + 1) * n_bytes)
-        once.data[here] = np.frombuffer(zlib.decompress(row["once"]), np.uint8)
-        twice.data[here] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
-    return once, twice
+        out.data[row["slice"] * n_bytes : (row["slice"] + 1) * n_bytes] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return out
+
+
+class Repeats:
+    """The "twice" filters of all ranges of hashes, with membership tests for arrays of hashes."""
+
+    def __init__(self, range_bits: int, filters: dict[int, np.ndarray]):
+        """Bytes of a power of two of bits for each range that has repeated keys."""
+        self.range_bits = range_bits
+        empty = np.zeros(1, np.uint8)
+        parts = [filters.get(r, empty) for r in range(1 << range_bits)]
+        sizes = np.array([len(p) for p in parts], np.uint64) * np.uint64(8)
+        self.data, self.masks, self.starts = np.concatenate(parts), sizes - np.uint64(1), np.cumsum(sizes) - sizes
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        h = hashes.astype(np.uint64)
+        r = _range(h, self.range_bits)
+        step, found = (h >> np.uint64(32)) | np.uint64(1), np.ones(len(h), bool)
+        for k in range(_HASHES):
+            at = self.starts[r] + ((h + np.uint64(k) * step) & self.masks[r])
+            found &= (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return found
+
+
+def _range(h: np.ndarray, range_bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(h), np.int64)
+
+
+def _folded(data: np.ndarray, most_bytes: int) -> np.ndarray:
+    """A filter's bytes, halved as long as that leaves a fifth of the bits set at most, or there are too many."""
+    while len(data) > 1:
+        half = data[: len(data) // 2] | data[len(data) // 2 :]
+        if len(data) <= most_bytes and np.unpackbits(half).sum() > 0.2 * 8 * len(half):
+            return data
+        data = half
+    return data
+
+
+def repeated(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], about: int) -> Repeats:
+    """The filter of the 64-bit hashes that ``hashes`` gives at least twice over all rows of ``df``, which is read once.
+
+    Few other hashes pass it. ``about`` is a guess of the number of keys that sizes ranges and their filters only.
+    """
+    range_bits = max(0, math.ceil(math.log2(max(1, about) / _RANGE_KEYS)))
+    bits, most_bytes = bits_for(2 * about >> range_bits), max(1, 1 << (MOST_BITS - 3) >> range_bits)
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found, times = np.unique(hashes(batch), return_counts=True)
+            yield pd.DataFrame({"r": _range(found, range_bits).astype(np.int32), "h": found.view(np.int64), "again": times > 1})
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs: dict[int, tuple[Bits, Bits]] = {}
+        for batch in batches:
+            for r, part in batch.groupby("r"):
+                once, twice = pairs.setdefault(r, (Bits(bits), Bits(bits)))
+                found, place, times = np.unique(part["h"].to_numpy(np.int64).view(np.uint64), return_inverse=True, return_counts=True)
+                again = np.bincount(place, part["again"], len(found)) > 0
+                twice.add(found[again | (times > 1) | once.has(found)])
+                once.add(found)
+        for r, (_, twice) in pairs.items():
+            if twice.data.any():
+                yield pd.DataFrame({"r": [r], "bits": [zlib.compress(_folded(twice.data, most_bytes).tobytes(), 1)]})
+
+    made = df.mapInPandas(keys, "r int, h long, again boolean").repartition(1 << range_bits, "r").mapInPandas(fill, "r int, bits binary")
+    return Repeats(range_bits, {row["r"]: np.frombuffer(zlib.decompress(row["bits"]), np.uint8) for row in made.toLocalIterator()})

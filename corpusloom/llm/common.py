@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.lineage import discard, materialise, shared_dir  # noqa: F401  for the operators
+from ..operators.lineage import discard, materialise, scratch, shared_dir  # noqa: F401  for the operators
+from . import bloom
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -18,7 +22,11 @@ _BATCH, _USUAL, _SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20,
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of 4 MB, unless the session asks for a size of its own."""
+    """Hand texts to Python in batches of 4 MB, unless the session asks for a size of its own.
+
+    Set-up of the session, made by each operator of this subpackage and left so:
+    plans read it when they run, which is after an operator has returned.
+    """
     said = spark.conf.get(_BATCH, None)
     if said is not None and said.rstrip("b") in (str(_USUAL), "64m"):
         spark.conf.set(_BATCH, f"{_SMALL}b")
@@ -65,6 +73,33 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str,
     )
 
 
+def marked(docs: DataFrame, keys: DataFrame, *on: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose values ``on`` may be a row of ``keys``, and the others.
+
+    A broadcast filter of the keys' hashes tells, so rows need no shuffle for it.
+    ``keys`` is read twice; ``docs`` is read by each of the two frames.
+    """
+    hashed = keys.select(F.xxhash64(*keys.columns).alias("h"))
+    found = bloom.filter_of(hashed, lambda pdf: pdf["h"].to_numpy(np.int64).view(np.uint64), bloom.bits_for(hashed.count()))
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf("boolean")
+    def has(column: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(column.to_numpy(np.int64).view(np.uint64)))
+
+    test = has(F.xxhash64(*on))
+    return docs.where(test), docs.where(~test)
+
+
+def without(docs: DataFrame, keys: DataFrame, *on: Column) -> DataFrame:
+    """The rows of ``docs`` whose values ``on`` are no row of ``keys``; only rows that may be one are shuffled."""
+    keys, _ = materialise(keys.distinct(), "gone")
+    some, others = marked(docs, keys, *on)
+    names = [f"__on_{k}" for k in range(len(on))]
+    left = some.withColumns(dict(zip(names, on))).join(keys.toDF(*names), names, "left_anti")
+    return left.select(*docs.columns).unionByName(others)
+
+
 def tokenizer_path(name: str) -> str:
     """Where the vocabulary file ``name`` lies; a path is passed through."""
     if os.path.sep in name:

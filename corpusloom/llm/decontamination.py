@@ -36,11 +36,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, input_bytes, small_batches
+from .common import documents, input_bytes, small_batches, without
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?…:;\n\"“”|]")
 _WORD, _CAPITAL, _NUMBER, _END, _UNIT = range(5)
@@ -158,15 +159,21 @@ def _short_widths(benchmark: DataFrame, text: str, width: int) -> list[int]:
 
 
 def _exploded(df: DataFrame, key: str, text: str, rows_of: Callable[[str | None, _Codes], list[_Row]]) -> DataFrame:
+    """A row (k, h, exact, p, slots) for each window; ids of any type, also null ones, stay as they are."""
     schema = f"k {df.schema[key].dataType.simpleString()}, h long, exact boolean, p int, slots array<string>"
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
-        for pdf in batches:
-            rows = [(None if pd.isna(k) else k, *row) for k, t in zip(pdf["k"], pdf["t"]) for row in rows_of(t, codes)]
-            yield pd.DataFrame(rows, columns=["k", "h", "exact", "p", "slots"])
+        for batch in batches:
+            at, rows = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                found = rows_of(text, codes)
+                at += [k] * len(found)
+                rows += found
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["k", "h", "exact", "p", "slots"])
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(explode, schema)
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(explode, schema)
 
 
 def find_contamination(
@@ -197,7 +204,7 @@ def find_contamination(
         return np.array([h for t in pdf["t"] for h, *_ in _item_rows(t, width, literals, codes)], np.int64).view(np.uint64)
 
     bits = bloom.bits_for(input_bytes(benchmark, item_text))
-    seen, _ = bloom.once_and_twice(benchmark.select(F.col(item_text).alias("t")), hashes, bits)
+    seen = bloom.filter_of(benchmark.select(F.col(item_text).alias("t")), hashes, bits)
     shared, widths = spark.sparkContext.broadcast(seen), [*_short_widths(benchmark, item_text, width), width]
     found = _exploded(docs, id_col, text_col, lambda t, codes: _window_rows(t, widths, literals, codes, shared.value.has))
 
@@ -232,4 +239,4 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark item; rows without an id always stay."""
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, found.select("doc_id").where("doc_id is not null"), F.col("doc_id"))

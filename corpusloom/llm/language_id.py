@@ -14,7 +14,7 @@ with clashing names, pass through untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +42,7 @@ class LanguageModel:
 
 
 def _code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def _hashed(points: np.ndarray, order: int, slot: int, bits: int) -> np.ndarray:
@@ -55,42 +55,44 @@ def _hashed(points: np.ndarray, order: int, slot: int, bits: int) -> np.ndarray:
     return (h >> np.uint32(32 - bits)).astype(np.int32) + np.int32(slot << bits)
 
 
-def _blocks(texts: list[str], orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Code points of about _BLOCK characters, each text's first place there and its number.
+def _blocks(texts: list[str], orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points of about _BLOCK characters, the first place and the end of each text there, and its number.
 
-    Texts are parted by as many line ends as the longest n-gram needs; a longer
-    text is cut into blocks that overlap by one character less than that.
+    n-grams start inside a text; behind it stand as many line ends as the longest
+    of them needs, so none reaches the next text. A longer text is cut into
+    blocks behind which its own next characters stand.
     """
     reach = max(orders) - 1
-    held, starts, owners, size = [], [], [], 0
+    held, starts, ends, owners, size = [], [], [], [], 0
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return _code_points("".join(held)), np.array(starts), np.array(ends), np.array(owners)
+
     for number, text in enumerate(texts):
-        for at in range(0, max(len(text), 1), _BLOCK):
-            part = text[at : at + _BLOCK + reach]
-            if at and len(part) <= reach:
-                continue
+        for at in range(0, len(text), _BLOCK):
+            part = text[at : at + _BLOCK].lower()
             starts.append(size)
+            ends.append(size + len(part))
             owners.append(number)
-            held.append(part.lower() + "\n")
-            size += len(held[-1])
+            held.append(part + (text[at + _BLOCK : at + _BLOCK + reach].lower() + "\n" * reach)[:reach])
+            size += len(part) + reach
             if size >= _BLOCK:
-                yield _code_points("".join(held)), np.array(starts), np.array(owners)
-                held, starts, owners, size = [], [], [], 0
+                yield block()
+                held, starts, ends, owners, size = [], [], [], [], 0
     if held:
-        yield _code_points("".join(held)), np.array(starts), np.array(owners)
+        yield block()
 
 
 def score_texts(texts: list[str], model: LanguageModel) -> np.ndarray:
-    """Log likelihoods, (texts, languages)."""
+    """Log likelihoods, (texts, languages); a row depends on its text alone."""
     out = np.tile(model.prior, (len(texts), 1))
-    for points, starts, owners in _blocks(texts, ORDERS):
+    for points, starts, ends, owners in _blocks(texts, ORDERS):
+        edges = np.stack([starts, ends], axis=1).ravel()
         for slot, order in enumerate(ORDERS):
             at = _hashed(points, order, slot, model.bits)
-            inside = starts < len(at)
-            if not inside.any():
-                continue
             for k in range(len(model.languages)):
-                sums = np.add.reduceat(model.log_prob[k][at], starts[inside], dtype=np.float64)
-                np.add.at(out[:, k], owners[inside], sums)
+                sums = np.add.reduceat(np.append(model.log_prob[k][at], np.float32(0)), edges, dtype=np.float64)[::2]
+                np.add.at(out[:, k], owners, sums)
     return out
 
 
@@ -102,9 +104,14 @@ def fit_language_model(
     sample_bytes: int = 16 << 20,
     bits: int = 16,
     smoothing: float = 0.1,
+    most_languages: int = 128,
 ) -> LanguageModel:
     """Fit on the rows that have a label.
 
+    ``most_languages`` bounds the model: where there are more labels, those with
+    the most text are learned (ties by name) and the others are never predicted.
+    The driver's table takes 1 MB a language at 16 bits and the broadcast 0.5 MB.
+
     ``sample_bytes`` bounds the text that is used for each language: where a
     language has more, a share of its rows by a hash of ``key`` is taken, whole
     texts, and rows longer than an eighth of the bound are left out. What
@@ -116,7 +123,8 @@ def fit_language_model(
         F.col(key).cast("string").alias("k"), F.col(label).alias("l"), F.col(text).alias("t"),
         F.octet_length(text).alias("b"),
     ).where(F.col("b") <= sample_bytes // 8)
-    sizes = {r.l: r.b for r in usable.groupBy("l").agg(F.sum("b").alias("b")).collect()}
+    largest = usable.groupBy("l").agg(F.sum("b").alias("b")).orderBy(F.desc("b"), "l").limit(most_languages)
+    sizes = {r.l: r.b for r in largest.collect()}
     languages = tuple(sorted(sizes))
     width = len(ORDERS) << bits
     if not languages:
@@ -124,16 +132,21 @@ def fit_language_model(
     share = F.element_at(
         F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, sample_bytes / max(1, sizes[l])))]), F.col("l")
     )
-    sample = usable.where(hash_share(F.col("k"), share))
+    sample = usable.where(F.col("l").isin(*languages) & hash_share(F.col("k"), share))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, texts in pdf.groupby("l")["t"]:
                 have = totals.setdefault(lang, np.zeros(width, np.int64))
-                for points, _, _ in _blocks(list(texts), ORDERS):
+                for points, starts, ends, _ in _blocks(list(texts), ORDERS):
+                    inside = np.zeros(len(points) + 1, np.int8)
+                    inside[starts] += 1
+                    inside[ends] -= 1
+                    inside = np.cumsum(inside, dtype=np.int8) > 0
                     for slot, order in enumerate(ORDERS):
-                        have += np.bincount(_hashed(points, order, slot, bits), minlength=width)
+                        at = _hashed(points, order, slot, bits)
+                        have += np.bincount(at[inside[: len(at)]], minlength=width)
         for lang, have in totals.items():
             at = np.flatnonzero(have)
             yield pd.DataFrame({"l": lang, "i": at.astype(np.int32), "n": have[at]})
@@ -201,10 +214,15 @@ def _has_letter(text: Column) -> Column:
     return has(text)
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; those without any letter go."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: Sequence[str] | None = None) -> DataFrame:
+    """Documents that have a language, of those in ``languages`` if given; those without any letter go.
+
+    The prediction decides, and names the language of documents without one; a
+    given ``lang`` stays as it is.
+    """
     model = fit_language_model(training_rows(docs))
     if not model.languages:  # no labelled row to learn from: every text would be unknown
         return docs.where(_has_letter(F.col("text")))
-    kept = docs.withColumn("__lang_pred", predict_language(spark, model, F.col("text"))["lang_pred"])
-    return kept.where(F.col("__lang_pred") != UNKNOWN).drop("__lang_pred")
+    found = docs.withColumn("__lang_pred", predict_language(spark, model, F.col("text"))["lang_pred"])
+    found = found.where(F.col("__lang_pred") != UNKNOWN if languages is None else F.col("__lang_pred").isin(*languages))
+    return found.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)

@@ -1,11 +1,11 @@
 """Line dedup with two Bloom filters.
 
 A line's key is the line without ASCII white space at both ends and with A-Z in
-lower case. The first pass fills two filters, keys seen once and keys seen
-twice; only keys in the second are suspects. Suspects alone are shuffled, as
-(128-bit key digest, document) pairs, counted exactly, and those in enough
-documents are confirmed. Confirmed keys go back to the documents that have them;
-documents without any suspect never leave their map task.
+lower case. The first pass runs the keys' hashes through two filters, keys seen
+once and keys seen twice; only keys in the second are suspects. Suspects alone
+are shuffled, as (128-bit key digest, document) pairs, counted exactly, and those
+in enough documents are confirmed. Confirmed keys go back to the documents that
+have them; other documents never leave their map task.
 
 Two choices: ``keep_first=False`` drops every line with a confirmed key,
 ``keep_first=True`` leaves the first of them, in the document with the smallest
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, input_bytes, small_batches
+from .common import documents, input_bytes, marked, materialise, small_batches
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _BYTES_A_LINE = 128  # for sizing the filters only
@@ -78,7 +78,7 @@ def drop_keys(text: str | None, drop: set[bytes], min_chars: int, keep: set[byte
     return b"\n".join(left).decode("utf-8", "surrogatepass"), len(lines), len(lines) - len(left)
 
 
-def _suspects(spark: SparkSession, twice: bloom.Bits, min_chars: int, text: Column) -> Column:
+def _suspects(spark: SparkSession, twice: bloom.Repeats, min_chars: int, text: Column) -> Column:
     """The digests of a text's keys that are in the filter."""
     shared = spark.sparkContext.broadcast(twice)
 
@@ -93,13 +93,22 @@ def _suspects(spark: SparkSession, twice: bloom.Bits, min_chars: int, text: Colu
     return find(text)
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """``name`` with as many _ as no column of ``columns`` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def dedup_lines(
     docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with the text after dropping, and n_lines and n_dropped.
+    """All rows and columns of ``docs`` with the text after dropping, then n_lines and n_dropped.
 
-    The added columns replace ones of these names. Reads ``docs`` three times.
-    Shuffled: digests of suspects, and the texts of documents that have one.
+    A caller's columns of these names stay; the added ones then end in _. Reads
+    ``docs`` four times. Shuffled: hashes of keys, digests of suspects, and the
+    texts of documents that lose a line.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -107,17 +116,16 @@ def dedup_lines(
     def hashes(pdf: pd.DataFrame) -> np.ndarray:
         return _as_hashes([d for t in pdf["t"] for d in key_digests(t, min_chars)])
 
-    bits = bloom.bits_for(input_bytes(docs, text_col) // _BYTES_A_LINE)
-    _, twice = bloom.once_and_twice(docs.select(F.col(text_col).alias("t")), hashes, bits)
-
-    marked = docs.drop("n_lines", "n_dropped").withColumn("__suspects", _suspects(spark, twice, min_chars, F.col(text_col)))
-    some = F.size("__suspects") > 0
-    pairs = marked.where(some).select(F.col(id_col).alias("__id"), F.explode("__suspects").alias("__key")).distinct()
-    counted = pairs.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
-    confirmed = counted.where(F.col("__n") >= min_docs).select("__key", "__first")
-    found = pairs.join(confirmed, "__key")
-    first = F.when(F.col("__id") == F.col("__first"), F.col("__key")) if keep_first else F.lit(None).cast("binary")
-    drops = found.groupBy("__id").agg(F.collect_list("__key").alias("__drop"), F.collect_list(first).alias("__keep"))
+    twice = bloom.repeated(docs.select(F.col(text_col).alias("t")), hashes, input_bytes(docs, text_col) // _BYTES_A_LINE)
+    row = (F.col(id_col), F.xxhash64(text_col))
+    pairs = docs.select(row[0].alias("id"), row[1].alias("h"), F.explode(_suspects(spark, twice, min_chars, F.col(text_col))).alias("key")).distinct()
+    pairs, _ = materialise(pairs, "ld-suspects")
+    # written, as is each side of the next join: a key that a third of all rows have can then be split
+    counted = pairs.groupBy("key").agg(F.count_distinct(F.struct("id")).alias("n"), F.min("id").alias("first"))
+    confirmed, _ = materialise(counted.where(F.col("n") >= min_docs).select("key", "first"), "ld-confirmed")
+    first = F.when(F.col("id") == F.col("first"), F.col("key")) if keep_first else F.lit(None).cast("binary")
+    drops = pairs.join(confirmed, "key").groupBy("id", "h").agg(F.collect_list("key").alias("drop"), F.collect_list(first).alias("keep"))
+    drops, _ = materialise(drops, "ld-drops")
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -128,19 +136,21 @@ def dedup_lines(
             ]
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
-    columns = [c for c in marked.columns if c != "__suspects"]
-    suspected = marked.where(some).drop("__suspects")
-    suspected = suspected.join(drops, suspected[id_col].eqNullSafe(drops["__id"]), "left")
-    suspected = suspected.withColumn("__out", apply(F.col(text_col), F.col("__drop"), F.col("__keep")))
-    changed = suspected.select(
-        *[F.col("__out.text").alias(c) if c == text_col else F.col(c) for c in columns],
-        F.col("__out.n_lines").alias("n_lines"), F.col("__out.n_dropped").alias("n_dropped"),
+    names = [_free("n_lines", docs.columns), _free("n_dropped", docs.columns)]
+    some, others = marked(docs, drops.select("id", "h"), *row)
+    drops = drops.select(F.struct("id", "h").alias("__ld_row"), F.struct("drop", "keep").alias("__ld"))
+    some = some.withColumn("__ld_key", F.struct(row[0].alias("id"), row[1].alias("h")))
+    some = some.join(drops, F.col("__ld_key") == F.col("__ld_row"), "left")
+    some = some.withColumn("__ld_out", apply(F.col(text_col), F.col("__ld.drop"), F.col("__ld.keep")))
+    changed = some.select(
+        *[F.col("__ld_out.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        F.col("__ld_out.n_lines").alias(names[0]), F.col("__ld_out.n_dropped").alias(names[1]),
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    same = marked.where(~some).select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in columns],
-        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.lit(0).cast("long").alias("n_dropped"),
+    same = others.select(
+        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(names[0]),
+        F.lit(0).cast("long").alias(names[1]),
     )
     return changed.unionByName(same)
 

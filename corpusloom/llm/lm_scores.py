@@ -5,24 +5,27 @@ n-gram was counted at least ``min_count`` times, else ``alpha`` times the score
 after the shorter context, and c(word) / N at the end. A document's score is the
 mean natural logarithm over its words; counts are of all documents.
 
-Relations, all keyed by 64-bit hashes:
-
-* blocks: a few megabytes of documents as lists of local word numbers and the
-  words' hashes, written once;
-* requests: each block's distinct n-grams with their counts there, exploded by
-  order and by the part of the hash space, packed one row for each part;
-* count tables: requests of one order and part are summed where they meet, which
-  is the count table of that part, and joined back to the requests at once;
-* answers return to their block, where each document's words are summed.
-
-Counts are thus partitioned by hash and never gathered; the number of parts
-follows the input. A very frequent n-gram is one entry of each block's request,
-so it makes no part larger than others.
+Relations, with n-grams as 64-bit hashes:
+
+* blocks: a few megabytes of documents, as lists of local word numbers and the
+  words' hashes; they go to the place of their key once;
+* n-grams: a row (order, hash, block, times) for each distinct n-gram of a block,
+  partitioned by hash. A block holds an n-gram once, so the most frequent n-gram
+  has as many rows as there are blocks, however often it occurs;
+* count tables: n-grams summed by hash, where they lie. The counts that a score
+  can use (all of single words, those of at least ``min_count`` of others) are
+  joined to the n-grams by hash;
+* counted n-grams go to their block, where each document's words are summed.
+
+Nothing is gathered: blocks, rows and partitions follow the input, and all
+groups are bounded by a block. n-grams are shuffled by hash once and counted ones
+by block once; the sum of the documents' words, N, enters last.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. Null
 texts and texts without words have 0 words and a null score. A document is never
 split over blocks, so a block can be as large as the longest text. Repeated rows
-are counted and scored each. Other columns are not read.
+are counted and scored each; ids of any type, also null ones, come back as they
+are. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,14 +35,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, input_bytes, materialise, small_batches
+from .common import documents, input_bytes, materialise, scratch, small_batches
 
 _BLOCK_BYTES = 6 << 20
-_PART_BYTES = 8 << 20
+_PART_BYTES, _MOST_PARTS = 8 << 20, 1 << 16  # of input for each partition of n-grams; larger ones are sorted on disk
+_CHUNK = 1 << 18  # n-gram rows that a task hands on at once
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -53,57 +57,57 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _pack_sorted(hashes: np.ndarray) -> bytes:
-    return _pack(np.diff(hashes, prepend=np.uint64(0)))
-
-
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
-
-
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _blocks(id_type: str):
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, number = TaskContext.get().partitionId(), 0
-        ids, lengths, tokens, size, local = [], [], [], 0, {}
-
-        def flush() -> pd.DataFrame:
-            nonlocal ids, lengths, tokens, size, local, number
-            hashes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in local), np.uint64)
-            numbers = np.concatenate(tokens) if tokens else np.zeros(0, np.uint32)
-            often = np.argsort(-np.bincount(numbers, minlength=len(hashes)), kind="stable")
-            place = np.empty(len(often), np.uint32)
-            place[often] = np.arange(len(often), dtype=np.uint32)
-            row = pd.DataFrame({
-                "block": [f"{part}-{number}"], "ids": [ids], "n_words": [int(len(numbers))],
-                "lengths": [_pack(np.array(lengths, np.uint32))], "words": [_pack(place[numbers] if len(numbers) else numbers)],
-                "vocabulary": [hashes[often].tobytes()],
-            })
-            ids, lengths, tokens, size, local, number = [], [], [], 0, {}, number + 1
-            return row
-
-        for pdf in batches:
-            for key, text in zip(pdf["i"], pdf["t"]):
-                ws = words(text)
-                ids.append(None if pd.isna(key) else key)
-                lengths.append(len(ws))
-                tokens.append(np.fromiter((local.setdefault(w, len(local)) for w in ws), np.uint32, len(ws)))
-                size += 64 + (len(text) if text else 0)
-                if size >= _BLOCK_BYTES:
-                    yield flush()
-        if ids:
-            yield flush()
-
-    schema = f"block string, ids array<{id_type}>, n_words long, lengths binary, words binary, vocabulary binary"
-    return build, schema
-
-
-def _ngrams(block: pd.Series, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+_BLOCK = "block long, ids array<{}>, n_words long, lengths binary, words binary, vocabulary binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the documents (i, t)."""
+    from pyspark import TaskContext
+
+    part, number = TaskContext.get().partitionId(), 0
+    ids, lengths, tokens, size, local = [], [], [], 0, {}
+
+    def flush() -> pa.RecordBatch:
+        nonlocal ids, lengths, tokens, size, local, number
+        hashes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in local), np.uint64)
+        numbers = np.concatenate(tokens) if tokens else np.zeros(0, np.uint32)
+        often = np.argsort(-np.bincount(numbers, minlength=len(hashes)), kind="stable")
+        place = np.empty(len(often), np.uint32)
+        place[often] = np.arange(len(often), dtype=np.uint32)
+        keys = pa.concat_arrays(ids)
+        row = pa.RecordBatch.from_arrays(
+            [
+                pa.array([(part << 32) + number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([len(numbers)], pa.int64()),
+                pa.array([_pack(np.array(lengths, np.uint32))], pa.binary()), pa.array([_pack(place[numbers] if len(numbers) else numbers)], pa.binary()),
+                pa.array([hashes[often].tobytes()], pa.binary()),
+            ],
+            ["block", "ids", "n_words", "lengths", "words", "vocabulary"],
+        )
+        ids, lengths, tokens, size, local, number = [], [], [], 0, {}, number + 1
+        return row
+
+    for batch in batches:
+        at = 0
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            ws = words(text)
+            lengths.append(len(ws))
+            tokens.append(np.fromiter((local.setdefault(w, len(local)) for w in ws), np.uint32, len(ws)))
+            size += 64 + (len(text) if text else 0)
+            if size >= _BLOCK_BYTES:
+                ids.append(batch.column(0).slice(at, k + 1 - at))
+                at = k + 1
+                yield flush()
+        if at < len(batch):
+            ids.append(batch.column(0).slice(at))
+    if lengths:
+        yield flush()
+
+
+def _ngrams(block: dict, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Document lengths; for each order the hash at each word; for each order where its context is inside the document."""
     lengths = _unpack(block["lengths"], np.uint32).astype(np.int64)
     vocabulary = np.frombuffer(block["vocabulary"], np.uint64)
@@ -122,62 +126,72 @@ def _ngrams(block: pd.Series, order: int) -> tuple[np.ndarray, list[np.ndarray],
     return lengths, hashes, valid
 
 
-def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, n_words and score."""
-    small_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    build, schema = _blocks(id_type)
-    blocks, _ = materialise(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(build, schema), "lm-blocks")
-    n_total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    part_bits = int(np.clip(np.ceil(np.log2(max(1, input_bytes(docs, text_col) / _PART_BYTES))), 4, 16))
-
-    def request(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, block in pdf.iterrows():
+def _explode(order: int):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n-gram rows (n, h, block, times) of blocks."""
+        for batch in batches:
+            for block in batch.to_pylist():
                 _, hashes, valid = _ngrams(block, order)
-                rows = []
                 for n, (h, ok) in enumerate(zip(hashes, valid), 1):
-                    keys, counts = np.unique(h[ok], return_counts=True)
-                    edges = np.searchsorted(keys >> np.uint64(64 - part_bits), np.arange((1 << part_bits) + 1, dtype=np.uint64))
-                    for p in np.flatnonzero(np.diff(edges)):
-                        here = slice(edges[p], edges[p + 1])
-                        rows.append((n, int(p), block["block"], _pack_sorted(keys[here]), _pack(counts[here].astype(np.uint32))))
-                yield pd.DataFrame(rows, columns=["n", "part", "block", "keys", "counts"])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        each = [_unpack_sorted(k) for k in pdf["keys"]]
-        table, place = np.unique(np.concatenate(each), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([_unpack(c, np.uint32) for c in pdf["counts"]]), len(table)).astype(np.uint64)[place]
-        ends = np.cumsum([len(k) for k in each])
-        return pdf[["block", "n", "part"]].assign(counts=[_pack(c) for c in np.split(counts, ends[:-1])])
-
-    def score(key: tuple, block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        row = block.iloc[0]
-        lengths, hashes, valid = _ngrams(row, order)
-        logs = below = None
-        for n, (h, ok) in enumerate(zip(hashes, valid), 1):
-            at = np.zeros(len(h), np.float64)
-            parts = answers[answers["n"] == n].sort_values("part")["counts"]
-            if len(parts):
-                keys, place = np.unique(h[ok], return_inverse=True)
-                at[ok] = np.concatenate([_unpack(c, np.uint64) for c in parts])[place]
+                    keys, times = np.unique(h[ok], return_counts=True)
+                    for at in range(0, len(keys), _CHUNK):
+                        part, count = keys[at : at + _CHUNK].view(np.int64), times[at : at + _CHUNK]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(part), n, np.int32)), pa.array(part), pa.array(np.full(len(part), block["block"], np.int64)), pa.array(count.astype(np.int64))],
+                            ["n", "h", "block", "times"],
+                        )
+
+    return explode
+
+
+def _summed(order: int, min_count: int, alpha: float):
+    def score(blocks: pa.Table, counted: pa.Table) -> pa.Table:
+        """i, n_words, the sum of the logarithms of words without N, and how many words were scored by c(word) / N."""
+        block = {name: blocks.column(name)[0].as_py() for name in ("n_words", "lengths", "words", "vocabulary")}
+        ids = blocks.column("ids").chunk(0).flatten()
+        lengths, hashes, valid = _ngrams(block, order)
+        orders, h = counted.column("n").to_numpy(), counted.column("h").to_numpy().view(np.uint64)
+        total = counted.column("total").to_numpy()
+        logs = singles = below = None
+        for n, (own, ok) in enumerate(zip(hashes, valid), 1):
+            here = orders == n
+            by = np.argsort(h[here], kind="stable")
+            keys, totals = h[here][by], total[here][by]
+            place = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+            at = np.where(ok & (keys[place] == own), totals[place], 0) if len(keys) else np.zeros(len(own), np.int64)
             if n == 1:
-                logs = np.log(np.maximum(at, 1) / max(1, n_total))
+                logs, singles = np.log(np.maximum(at, 1)), np.ones(len(own))
             else:
-                context = np.concatenate([[1.0], below[:-1]])[: len(at)]
+                context = np.concatenate([[1], below[:-1]])[: len(at)]
                 seen = ok & (at >= min_count)
                 logs = np.where(seen, np.log(np.maximum(at, 1) / np.maximum(context, 1)), np.where(ok, np.log(alpha) + logs, logs))
+                singles = np.where(seen, 0.0, singles)
             below = at
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        sums = np.bincount(doc, logs, len(lengths))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mean = sums / lengths
-        return pd.DataFrame({"i": list(row["ids"]), "n_words": lengths, "score": [None if k == 0 else float(v) for k, v in zip(lengths, mean)]})
-
-    requests = blocks.select("block", "n_words", "lengths", "words", "vocabulary").mapInPandas(request, "n int, part int, block string, keys binary, counts binary")
-    answers = requests.groupBy("n", "part").applyInPandas(answer, "block string, n int, part int, counts binary")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, f"i {id_type}, n_words long, score double")
-    return scored.select(F.col("i").alias(id_col), "n_words", "score")
+        sums = [pa.array(np.bincount(doc, values, len(lengths)).astype(np.float64)) for values in (logs, singles)]
+        return pa.Table.from_arrays([ids, pa.array(lengths), *sums], ["i", "n_words", "logs", "singles"])
+
+    return score
+
+
+def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: the id, n_words and score."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    parts = int(min(_MOST_PARTS, max(spark.sparkContext.defaultParallelism, input_bytes(docs, text_col) // _PART_BYTES)))
+    with scratch(spark) as keep:
+        blocks, _ = materialise(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(_blocks, _BLOCK.format(id_type)), "lm-blocks")
+        ngrams = blocks.select("block", "n_words", "lengths", "words", "vocabulary").mapInArrow(_explode(order), "n int, h long, block long, times long").repartition(parts, "h")
+        tables = ngrams.groupBy("h", "n").agg(F.sum("times").alias("total")).where((F.col("n") == 1) | (F.col("total") >= min_count))
+        counted = ngrams.select("h", "n", "block").join(tables, ["h", "n"]).select("block", "n", "h", "total")
+        score = _summed(order, min_count, alpha)
+        summed = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, f"i {id_type}, n_words long, logs double, singles double")
+        summed, path = materialise(summed, "lm-sums")
+        keep(path)
+    total = summed.agg(F.sum("n_words")).first()[0] or 1
+    mean = (F.col("logs") - F.col("singles") * F.log(F.lit(float(total)))) / F.col("n_words")
+    return summed.select(F.col("i").alias(id_col), "n_words", F.when(F.col("n_words") > 0, mean).alias("score"))
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

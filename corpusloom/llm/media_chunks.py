@@ -5,8 +5,8 @@ rolling gear hash of the last 32 bytes has its upper bits zero, so equal
 passages give equal chunks wherever they stand. Chunks are known by SHA-256; a
 file is an ordered list of digests.
 
-1. A pass over the payloads fills two Bloom filters of digests; a digest that is
-   not in the second occurs once.
+1. A pass over the payloads finds a filter of repeated digests; a digest that is
+   not in it occurs once.
 2. Files all of whose chunks occur once, and such chunks of other files, are
    written to the store by the task that cuts them: nothing is shuffled.
 3. Other chunks go by their digest to one place, where one copy is kept.
@@ -134,7 +134,7 @@ def verified_features(key: str, chunks: str) -> Column:
     return verify(F.col(key), F.col(chunks))
 
 
-def _stored(spark: SparkSession, repeated: bloom.Bits, text: Column) -> Column:
+def _stored(spark: SparkSession, repeated: bloom.Repeats, text: Column) -> Column:
     """struct(n_bytes, key, clean, chunks array<struct(pos, digest, bytes)>); bytes are null for chunks that may repeat."""
     shared = spark.sparkContext.broadcast(repeated)
 
@@ -153,7 +153,7 @@ def _stored(spark: SparkSession, repeated: bloom.Bits, text: Column) -> Column:
     return store(text)
 
 
-def _repeated(spark: SparkSession, repeated: bloom.Bits, text: Column) -> Column:
+def _repeated(spark: SparkSession, repeated: bloom.Repeats, text: Column) -> Column:
     """array<struct(digest, bytes)> of the chunks that may repeat, each once a batch."""
     shared = spark.sparkContext.broadcast(repeated)
 
@@ -188,9 +188,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def digests(pdf: pd.DataFrame) -> np.ndarray:
         return _hashes([_digest(c) for chunks in chunk_all([_media(t) for t in pdf["t"]]) for c in chunks])
 
-    bits = bloom.bits_for(input_bytes(docs, text_col) // LEAST)
-    _, twice = bloom.once_and_twice(texts.select(F.col("__text").alias("t")), digests, bits)
-
+    twice = bloom.repeated(texts.select(F.col("__text").alias("t")), digests, input_bytes(docs, text_col) >> MEAN_BITS)
     lists, _ = materialise(texts.select("__id", _stored(spark, twice, F.col("__text")).alias("__s")).select("__id", "__s.*"), "media-files")
     kept, _ = materialise(
         texts.select(F.explode(_repeated(spark, twice, F.col("__text"))).alias("__c"))

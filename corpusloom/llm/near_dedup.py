@@ -10,19 +10,20 @@
    concentrated around the Jaccard similarity.
 3. t = bands x rows coordinates make bands. With 60 bands of 9 rows a pair of
    similarity 0.85 shares no band with probability 1.4e-7, one of 0.9 with 2e-13.
-4. A Bloom filter drops bands that one representative alone has; the others are
-   buckets. Members of a bucket are joined to its leader, which gives candidate
-   groups: every candidate pair lies inside one, and no pair is written out.
-5. Documents of a group meet in a task, or by pairs of blocks where a group is
-   larger than a block, and are verified on their full sets through posting lists
-   (element -> documents), so work follows the overlaps that there are. Each task
-   emits links between documents that it has not connected yet: at most one per
-   document, however many pairs are similar. Links make the components.
+4. Filters of repeated hashes drop bands that one representative alone has; the
+   others are buckets.
+5. Members of a bucket are verified on their full sets against the bucket's
+   leader; what that leaves unconnected meets by blocks of bounded size, through
+   posting lists (element -> documents), so work follows the overlaps that there
+   are (see :func:`corpusloom.operators.graph.similarity_components`). A group of
+   k near copies takes about k checks. Links make the components.
 
 Null and empty texts and texts without words have the empty set, link with
 nothing and are kept. Rows without an id are their own component (null) and are
-kept. Rows that repeat an id with an equal set are one document. Very long texts
-are whole sets. Other columns pass through the pipeline stage untouched.
+kept. A row is linked by its own text: rows that repeat an id with equal sets are
+one document; rows that repeat it with unequal sets are linked each by its set,
+and their components may differ. Very long texts are whole sets. Other columns
+pass through the pipeline stage untouched.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import candidate_groups, components, links, similar, verified_links
+from ..operators.graph import similarity_components
 from . import bloom
-from .common import discard, documents, materialise, small_batches
+from .common import discard, documents, materialise, small_batches, without
 
 WORDS, PERCENT, BANDS, ROWS = 5, 85, 60, 9
 _CACHE_LIMIT, _CACHED_BYTES = 200_000, 64
@@ -115,8 +116,13 @@ def band_hashes(elements: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def _digest(elements: np.ndarray) -> bytes | None:
+    """What tells unequal sets apart; None for the empty set."""
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
+
+
 def _describe(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """id, n, digest (null for the empty set) and the bands' hashes of each row."""
+    """id, text_hash, n, digest (null for the empty set) and the bands' hashes of each row."""
 
     @F.pandas_udf("n long, digest binary, bands array<long>")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -125,20 +131,18 @@ def _describe(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             out = []
             for text in texts:
                 s = shingles(text, hashes)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                out.append((len(s), digest, band_hashes(s, bands, rows).view(np.int64)))
+                out.append((len(s), _digest(s), band_hashes(s, bands, rows).view(np.int64)))
             yield pd.DataFrame(out, columns=["n", "digest", "bands"])
 
-    return docs.select("id", describe("text").alias("__d")).select("id", "__d.*")
+    return docs.select("id", F.xxhash64("text").alias("text_hash"), describe("text").alias("__d")).select("id", "text_hash", "__d.*")
 
 
-def near_duplicates(
-    docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = 1000, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """The id, n_shingles, component_id and kept of each row.
+def _classified(docs: DataFrame, percent: int, bands: int, rows: int, most: int, id_col: str, text_col: str) -> DataFrame:
+    """id, text_hash, n_shingles, component_id and kept of each row.
 
-    Shuffled: 16-byte digests of all rows, bands that several representatives
-    have, and the compressed texts of documents with a candidate.
+    Shuffled: 16-byte digests and the bands' hashes of all rows, bands that
+    several representatives have, and the compressed texts of documents that
+    have a candidate.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -154,8 +158,7 @@ def near_duplicates(
     def keys(pdf: pd.DataFrame) -> np.ndarray:
         return np.concatenate([np.asarray(b, np.int64) for b in pdf["bands"]] or [np.zeros(0, np.int64)]).view(np.uint64)
 
-    _, twice = bloom.once_and_twice(reps.select("bands"), keys, bloom.bits_for(n_rows * bands))
-    shared = spark.sparkContext.broadcast(twice)
+    shared = spark.sparkContext.broadcast(bloom.repeated(reps.select("bands"), keys, n_rows * bands))
 
     @F.pandas_udf("array<long>")
     def repeated(column: pd.Series) -> pd.Series:
@@ -163,51 +166,55 @@ def near_duplicates(
         hit = shared.value.has(np.concatenate(each).view(np.uint64)) if each else np.zeros(0, bool)
         return pd.Series([b[h] for b, h in zip(each, np.split(hit, np.cumsum([len(b) for b in each])[:-1]))], dtype=object)
 
-    members, members_path = materialise(reps.select("id", F.explode(repeated("bands")).alias("bucket")), "nd-buckets")
-    paths = [members_path]
+    members, members_path = materialise(reps.select("id", F.col("digest").alias("node"), "n", F.explode(repeated("bands")).alias("bucket")), "nd-buckets")
+    several = members.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("bucket")
+    wanted, wanted_path = materialise(several.join(members, "bucket").select(F.xxhash64("id").alias("h")).distinct(), "nd-wanted", n_rows // 8)
+    found = bloom.filter_of(wanted, lambda pdf: pdf["h"].to_numpy(np.int64).view(np.uint64), bloom.bits_for(wanted.count()))
+    has = spark.sparkContext.broadcast(found)
 
-    several = members.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("bucket")
-    wanted, _ = bloom.once_and_twice(
-        several.join(members, "bucket").select(F.xxhash64("id").alias("h")).distinct(),
-        lambda pdf: pdf["h"].to_numpy(np.int64).view(np.uint64),
-        bloom.bits_for(n_rows),
-    )
-    has = spark.sparkContext.broadcast(wanted)
+    @F.pandas_udf("id binary, z binary")
+    def compressed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        """The set's digest and the text of a candidate, nulls for others."""
+        hashes = _WordHashes()
+        for hashed, column in batches:
+            chosen = has.value.has(hashed.to_numpy(np.int64).view(np.uint64))
+            out = [(_digest(shingles(t, hashes)), zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1)) if c else (None, None) for t, c in zip(column, chosen)]
+            yield pd.DataFrame(out, columns=["id", "z"])
 
-    @F.pandas_udf("binary")
-    def compressed(hashed: pd.Series, column: pd.Series) -> pd.Series:
-        """The text of a candidate, null for others."""
-        chosen = has.value.has(hashed.to_numpy(np.int64).view(np.uint64))
-        return pd.Series([zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) if c else None for t, c in zip(column, chosen)], dtype=object)
-
-    stored, stored_path = materialise(
-        texts.where(F.col("id").isNotNull()).select("id", compressed(F.xxhash64("id"), "text").alias("z")).where("z is not null"), "nd-texts"
-    )
-    stored = stored.groupBy("id").agg(F.min("z").alias("z"))  # rows that repeat an id
-    paths.append(stored_path)
+    stored = texts.where(F.col("id").isNotNull()).select(compressed(F.xxhash64("id"), "text").alias("s")).select("s.*").where("id is not null")
+    stored, stored_path = materialise(stored.groupBy("id").agg(F.first("z").alias("z")), "nd-texts")
 
     def sets_of() -> Callable[[list], list[np.ndarray]]:
         hashes = _WordHashes()
         return lambda column: [shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"), hashes) for z in column]
 
-    candidates, candidates_path = candidate_groups(members, members.count())
-    id_type = docs.schema[id_col].dataType.simpleString()
-    found, found_path = materialise(verified_links(candidates, stored, percent, id_type, block, sets_of), "nd-links")
-    labels, labels_path = components(found, found.count())
-    paths += [candidates_path, found_path, labels_path]
-
-    linked = classed.select("id", "n", "digest").join(reps.select("digest", F.col("id").alias("rep")), "digest")
-    linked = linked.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    linked = linked.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    alone = sets.where("digest is null or id is null").select("id", "n", F.col("id").alias("component_id"))
+    labels, label_paths = similarity_components(members.select(F.col("node").alias("id"), "n", "bucket"), stored, percent, "binary", sets_of, most)
+    # documents of components: written before their least ids are joined back, so a large component's rows can be split
+    heads = labels.select(F.col("component").alias("id"), "component").distinct()
+    grouped = labels.unionByName(heads).withColumnRenamed("id", "digest").join(reps.select("digest", "id"), "digest")
+    grouped, grouped_path = materialise(grouped, "nd-grouped")
+    least, least_path = materialise(grouped.groupBy("component").agg(F.min("id").alias("component_id")), "nd-least")
+    named = grouped.join(least, "component").select("digest", "component_id")
+    classes = reps.select("digest", "id").join(named, "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    classes, classes_path = materialise(classes, "nd-classes", n_rows)
+    linked = classed.select("id", "text_hash", "n", "digest").join(classes, "digest").drop("digest")
+    alone = sets.where("digest is null or id is null").select("id", "text_hash", "n", F.col("id").alias("component_id"))
     out = linked.unionByName(alone).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+        "id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
     done, _ = materialise(out, "nd-result", n_rows)
-    discard(spark, sets_path, reps_path, *paths)
+    discard(spark, sets_path, reps_path, members_path, wanted_path, stored_path, grouped_path, least_path, classes_path, *label_paths)
     return done
 
 
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, most: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The id, n_shingles, component_id and kept of each row; ``most`` bounds the shingles that a task compares at once."""
+    found = _classified(docs, percent, bands, rows, most, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -236,5 +243,5 @@ select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    found = near_duplicates(docs)
-    return docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = _classified(docs, PERCENT, BANDS, ROWS, 1 << 20, "doc_id", "text").where(~F.col("kept")).select("id", "text_hash")
+    return without(docs, gone, F.col("doc_id"), F.xxhash64("text"))

@@ -6,6 +6,13 @@ offending sentence is enough and clean ones don't hide it. Only documents have
 labels; the gradient of the document loss reaches the sentences through the
 noisy-or, which is what lets the model point at the sentences to blame.
 
+A noisy-or of very many sentences would add up the small probabilities that clean
+ones have. Therefore the logistic function is made as steep as it takes for all
+sentences of the clean training documents, multiplied to LONG sentences (about
+16 MB of text), to leave a document clean; where a sentence's probability is 0.5
+doesn't move. The worst sentence's probability before that adds 0.05 at most, so
+documents without an offending sentence are ranked by it, whatever their length.
+
 Null and empty texts have no sentence and score 0 (predicted 0). Repeated rows
 and ties are scored alike, by their text alone. Very long texts are read whole,
 sentence by sentence; other columns are not read. Without labels of both kinds
@@ -14,6 +21,7 @@ the model has no words and every document scores near 0.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -30,15 +38,18 @@ from .common import documents, fold, hash_share, small_batches
 _SENTENCE = re.compile(r"[^.!?…\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE_LIMIT = 150_000
+LONG, LEAK = 200_000, 0.05  # sentences of a clean text, and the noisy-or that they may have together
+_TAIL = 0.1
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """weights by hashed word (only those that training kept) and the bias of a sentence."""
+    """weights by hashed word (only those that training kept), and the bias and steepness of a sentence's logit."""
 
     weights: dict[int, float] = field(default_factory=dict)
     bias: float = -20.0
     bits: int = 20
+    slope: float = 1.0
 
 
 def word_features(word: str, bits: int) -> tuple[int, ...]:
@@ -78,7 +89,18 @@ def fit_noisy_or(texts: list[str], labels: list[int], bits: int = 20, least_shar
         w, b = _fit(features, sentence_of, bag_of, y, keep, bits, times * rounds)
         if times == 1:
             keep = keep[w >= 1.0]
-    return ToxicityModel(dict(zip(keep.tolist(), w.tolist())), b, bits)
+    weight = np.zeros(1 << bits)
+    weight[keep] = w
+    z = np.bincount(sentence_of, weight[features], len(bag_of)) + b
+    return ToxicityModel(dict(zip(keep.tolist(), w.tolist())), b, bits, _steepness(z[y[bag_of] == 0]))
+
+
+def _steepness(clean: np.ndarray, most: float = 64.0) -> float:
+    """The least power of two, ``most`` at most, with which LONG sentences of these logits have a noisy-or of LEAK at most."""
+    below, slope = clean[clean < 0], 1.0
+    while slope < most and len(below) and np.exp(slope * below).mean() * LONG > LEAK:  # a bound of the sum of probabilities
+        slope *= 2
+    return slope
 
 
 def _fit(
@@ -124,16 +146,23 @@ class _Weights(dict):
 def score_text(text: str | None, model: ToxicityModel, weights: _Weights | None = None) -> tuple[float, list[tuple[int, int, float]]]:
     """The noisy-or, and the sentences (start, end, score) of 0.5 or more, or else the worst one."""
     weights = _Weights(model) if weights is None else weights
-    of, clean, found, worst = weights.__getitem__, 0.0, [], (0, 0, 0.0)
+    of, clean, found, worst, at = weights.__getitem__, 0.0, [], -np.inf, (0, 0, 0.0)
     for start, end, words in sentences(text or ""):
         z = model.bias + sum(map(of, set(words)))
-        p = 1.0 / (1.0 + np.exp(-z)) if -30 < z < 30 else float(z > 0) * (1 - 1e-12) + 1e-13
+        p = _probability(model.slope * z)
         clean += np.log1p(-p)
         if p >= 0.5:
-            found.append((start, end, float(p)))
-        if p > worst[2]:
-            worst = (start, end, float(p))
-    return float(-np.expm1(clean)), found or ([worst] if worst[2] > 0 else [])
+            found.append((start, end, p))
+        if z > worst:
+            worst, at = z, (start, end, p)
+    if worst == -np.inf:
+        return 0.0, []
+    clean += np.log1p(-_TAIL * min(0.5, _probability(worst)))
+    return float(-np.expm1(clean)), found or [at]
+
+
+def _probability(z: float) -> float:
+    return math.exp(max(z, -700.0)) if z < -30 else 1.0 / (1.0 + math.exp(-z)) if z < 27 else 1.0 - 1e-12
 
 
 def toxicity_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusloom.llm import bloom, decontamination, language_id, line_dedup, media_chunks, near_dedup, packing, queries, sharding, token_count, toxicity
+from corpusloom.operators.graph import links, similar
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -86,9 +87,9 @@ def test_twice_filter_has_all_repeats(spark):
     keys = [rng.getrandbits(63) for _ in range(4000)]
     rows = [(k,) for k in keys + keys[:500]]
     df = spark.createDataFrame(rows, "k long").repartition(7)
-    once, twice = bloom.once_and_twice(df, lambda p: p["k"].to_numpy(np.int64).view(np.uint64), 20)
+    twice = bloom.repeated(df, lambda p: p["k"].to_numpy(np.int64).view(np.uint64), 4000)
     arr = np.array(keys, np.int64).view(np.uint64)
-    assert once.has(arr).all() and twice.has(arr[:500]).all() and twice.has(arr[500:]).mean() < 0.05
+    assert twice.has(arr[:500]).all() and twice.has(arr[500:]).mean() < 0.05
 
 
 def test_links_span_the_similar_pairs():
@@ -100,10 +101,10 @@ def test_links_span_the_similar_pairs():
         for k in rng.sample(range(80), rng.randrange(25)):
             s[k] = rng.getrandbits(60)
         sets.append(np.unique(np.array(s, np.uint64)))
-    full = [(i, j) for i in range(120) for j in range(i + 1, 120) if near_dedup.similar(sets[i], sets[j], 85)]
-    assert _groups(near_dedup.links(sets, 85), 120) == _groups(full, 120) and set(near_dedup.links(sets, 85)) <= set(full)
+    full = [(i, j) for i in range(120) for j in range(i + 1, 120) if similar(sets[i], sets[j], 85)]
+    assert _groups(links(sets, 85), 120) == _groups(full, 120) and set(links(sets, 85)) <= set(full)
     cross = [p for p in full if p[0] < 50 <= p[1]]
-    assert _groups(near_dedup.links(sets, 85, 50), 120) == _groups(cross, 120)
+    assert _groups(links(sets, 85, 50, cross=True), 120) == _groups(cross, 120)
 
 
 def _groups(pairs, n):
@@ -120,8 +121,8 @@ def _groups(pairs, n):
     return [root(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_near_dedup_against_brute_force(spark, block):
+@pytest.mark.parametrize("most", [1 << 20, 700])
+def test_near_dedup_against_brute_force(spark, most):
     rng = random.Random(8)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -132,8 +133,8 @@ def test_near_dedup_against_brute_force(spark, block):
         texts.append((i, " ".join(ws)))
     hashes = near_dedup._WordHashes()
     sets = [near_dedup.shingles(t, hashes) for _, t in texts]
-    want = _groups([(i, j) for i in range(60) for j in range(i + 1, 60) if near_dedup.similar(sets[i], sets[j], 85)], 60)
-    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), block=block).collect()
+    want = _groups([(i, j) for i in range(60) for j in range(i + 1, 60) if similar(sets[i], sets[j], 85)], 60)
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), most=most).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
 
 
