@@ -140,7 +140,7 @@ def dedup_lines(
     some, others = marked(docs, drops.select("id", "h"), *row)
     drops = drops.select(F.struct("id", "h").alias("__ld_row"), F.struct("drop", "keep").alias("__ld"))
     some = some.withColumn("__ld_key", F.struct(row[0].alias("id"), row[1].alias("h")))
-    some = some.join(drops, F.col("__ld_key") == F.col("__ld_row"), "left")
+    some = some.join(drops.hint("merge"), F.col("__ld_key") == F.col("__ld_row"), "left")
     some = some.withColumn("__ld_out", apply(F.col(text_col), F.col("__ld.drop"), F.col("__ld.keep")))
     changed = some.select(
         *[F.col("__ld_out.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
