@@ -8,18 +8,18 @@ mean natural logarithm over its words; counts are of all documents.
 Relations, with n-grams as 64-bit hashes:
 
 * blocks: a few megabytes of documents, as lists of local word numbers and the
-  words' hashes; they go to the place of their key once;
-* n-grams: a row (order, hash, block, times) for each distinct n-gram of a block,
-  partitioned by hash. A block holds an n-gram once, so the most frequent n-gram
-  has as many rows as there are blocks, however often it occurs;
+  words' hashes; they go to the place of their key, where both later uses find them;
+* n-grams: a row (hash and order, block and times) for each distinct n-gram of a
+  block, partitioned by hash. A block holds an n-gram once, so the most frequent
+  n-gram has as many rows as there are blocks, however often it occurs;
 * count tables: n-grams summed by hash, where they lie. The counts that a score
   can use (all of single words, those of at least ``min_count`` of others) are
-  joined to the n-grams by hash;
+  joined to the n-grams by hash, which are read a second time, not shuffled again;
 * counted n-grams go to their block, where each document's words are summed.
 
 Nothing is gathered: blocks, rows and partitions follow the input, and all
-groups are bounded by a block. n-grams are shuffled by hash once and counted ones
-by block once; the sum of the documents' words, N, enters last.
+groups are bounded by a block. Blocks and n-grams are shuffled once, and counted
+n-grams once; the sum of the documents' words, N, enters last.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. Null
 texts and texts without words have 0 words and a null score. A document is never
@@ -39,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, input_bytes, materialise, scratch, small_batches
+from .common import documents, input_bytes, materialise, small_batches
 
 _BLOCK_BYTES = 6 << 20
 _PART_BYTES, _MOST_PARTS = 8 << 20, 1 << 16  # of input for each partition of n-grams; larger ones are sorted on disk
 _CHUNK = 1 << 18  # n-gram rows that a task hands on at once
+_ORDER_BITS, _TIMES_BITS = 3, 20  # of a hash, and of a block's number
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -81,7 +82,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = pa.concat_arrays(ids)
         row = pa.RecordBatch.from_arrays(
             [
-                pa.array([(part << 32) + number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([len(numbers)], pa.int64()),
+                pa.array([(part << _TIMES_BITS) + number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([len(numbers)], pa.int64()),
                 pa.array([_pack(np.array(lengths, np.uint32))], pa.binary()), pa.array([_pack(place[numbers] if len(numbers) else numbers)], pa.binary()),
                 pa.array([hashes[often].tobytes()], pa.binary()),
             ],
@@ -126,20 +127,28 @@ def _ngrams(block: dict, order: int) -> tuple[np.ndarray, list[np.ndarray], list
     return lengths, hashes, valid
 
 
+def _with_order(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hashes with the n-grams' order in their last bits."""
+    return hashes >> np.uint64(_ORDER_BITS) << np.uint64(_ORDER_BITS) | np.uint64(n - 1)
+
+
 def _explode(order: int):
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The n-gram rows (n, h, block, times) of blocks."""
+        """The n-gram rows (h, v) of blocks; v is the block's number and how often it has the n-gram, in one value."""
         for batch in batches:
-            for block in batch.to_pylist():
+            for block in batch.select(["block", "n_words", "lengths", "words", "vocabulary"]).to_pylist():
                 _, hashes, valid = _ngrams(block, order)
                 for n, (h, ok) in enumerate(zip(hashes, valid), 1):
-                    keys, times = np.unique(h[ok], return_counts=True)
+                    keys, times = np.unique(_with_order(h[ok], n), return_counts=True)
+                    most = (1 << _TIMES_BITS) - 1
+                    if len(times) and times.max() > most:  # several rows for an n-gram that a very long text has that often
+                        rows = -(-times // most)
+                        last = times - (rows - 1) * most
+                        at = np.repeat(np.arange(len(keys)), rows)
+                        keys, times = keys[at], np.where(np.append(at[1:] != at[:-1], True), last[at], most)
+                    value = (np.int64(block["block"]) << np.int64(_TIMES_BITS)) + times
                     for at in range(0, len(keys), _CHUNK):
-                        part, count = keys[at : at + _CHUNK].view(np.int64), times[at : at + _CHUNK]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(part), n, np.int32)), pa.array(part), pa.array(np.full(len(part), block["block"], np.int64)), pa.array(count.astype(np.int64))],
-                            ["n", "h", "block", "times"],
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + _CHUNK].view(np.int64)), pa.array(value[at : at + _CHUNK])], ["h", "v"])
 
     return explode
 
@@ -150,13 +159,12 @@ def _summed(order: int, min_count: int, alpha: float):
         block = {name: blocks.column(name)[0].as_py() for name in ("n_words", "lengths", "words", "vocabulary")}
         ids = blocks.column("ids").chunk(0).flatten()
         lengths, hashes, valid = _ngrams(block, order)
-        orders, h = counted.column("n").to_numpy(), counted.column("h").to_numpy().view(np.uint64)
-        total = counted.column("total").to_numpy()
+        h, total = counted.column("h").to_numpy().view(np.uint64), counted.column("total").to_numpy()
+        by = np.argsort(h, kind="stable")
+        keys, totals = h[by], total[by]
         logs = singles = below = None
         for n, (own, ok) in enumerate(zip(hashes, valid), 1):
-            here = orders == n
-            by = np.argsort(h[here], kind="stable")
-            keys, totals = h[here][by], total[here][by]
+            own = _with_order(own, n)
             place = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
             at = np.where(ok & (keys[place] == own), totals[place], 0) if len(keys) else np.zeros(len(own), np.int64)
             if n == 1:
@@ -180,15 +188,15 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, alpha:
     small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = int(min(_MOST_PARTS, max(spark.sparkContext.defaultParallelism, input_bytes(docs, text_col) // _PART_BYTES)))
-    with scratch(spark) as keep:
-        blocks, _ = materialise(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(_blocks, _BLOCK.format(id_type)), "lm-blocks")
-        ngrams = blocks.select("block", "n_words", "lengths", "words", "vocabulary").mapInArrow(_explode(order), "n int, h long, block long, times long").repartition(parts, "h")
-        tables = ngrams.groupBy("h", "n").agg(F.sum("times").alias("total")).where((F.col("n") == 1) | (F.col("total") >= min_count))
-        counted = ngrams.select("h", "n", "block").join(tables, ["h", "n"]).select("block", "n", "h", "total")
-        score = _summed(order, min_count, alpha)
-        summed = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, f"i {id_type}, n_words long, logs double, singles double")
-        summed, path = materialise(summed, "lm-sums")
-        keep(path)
+    if not 1 <= order <= 1 << _ORDER_BITS:
+        raise ValueError(f"order must be within 1 and {1 << _ORDER_BITS}")
+    blocks = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(_blocks, _BLOCK.format(id_type)).repartition(parts, "block")
+    ngrams = blocks.mapInArrow(_explode(order), "h long, v long").repartition(parts, "h")
+    tables = ngrams.groupBy("h").agg(F.sum(F.col("v").bitwiseAND(F.lit((1 << _TIMES_BITS) - 1))).alias("total"))
+    tables = tables.where((F.col("h").bitwiseAND(F.lit((1 << _ORDER_BITS) - 1)) == 0) | (F.col("total") >= min_count))
+    counted = ngrams.join(tables, "h").select(F.shiftright("v", _TIMES_BITS).alias("block"), "h", "total")
+    scored = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_summed(order, min_count, alpha), f"i {id_type}, n_words long, logs double, singles double")
+    summed, _ = materialise(scored, "lm-sums")
     total = summed.agg(F.sum("n_words")).first()[0] or 1
     mean = (F.col("logs") - F.col("singles") * F.log(F.lit(float(total)))) / F.col("n_words")
     return summed.select(F.col("i").alias(id_col), "n_words", F.when(F.col("n_words") > 0, mean).alias("score"))
