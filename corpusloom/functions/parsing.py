@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 TRIPLE = ("instruction", "input", "output")
 NO_ANSWER = "NO_ANSWER_FOUND"
@@ -15,42 +15,47 @@ NO_ANSWER = "NO_ANSWER_FOUND"
 
 def blank_to_null(text: Column) -> Column:
     """The stripped text, null if nothing is left."""
-    return F.nullif(strip(text), F.lit(""))
+    return let(strip(text), lambda bare: F.when(bare != "", bare))
 
 
 def string_field(value: Column, name: str) -> Column:
     """A field of a variant if it is a string; numbers aren't turned into text."""
-    path = f"$['{name}']"
-    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    return F.when(kind == "STRING", F.try_variant_get(value, path, "string"))
+    return let(F.try_variant_get(value, f"$['{name}']", "variant"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def valid_triple(value: Column) -> Column:
     """struct(instruction, input, output), stripped, or null unless all three are non-blank strings."""
-    fields = [blank_to_null(string_field(value, name)).alias(name) for name in TRIPLE]
-    present = fields[0].isNotNull() & fields[1].isNotNull() & fields[2].isNotNull()
-    return F.when(present, F.struct(*fields))
+    fields = lambda v: F.struct(*[blank_to_null(string_field(v, name)).alias(name) for name in TRIPLE])
+    whole = lambda t: F.when(t["instruction"].isNotNull() & t["input"].isNotNull() & t["output"].isNotNull(), t)
+    return let(value, lambda v: let(fields(v), whole))
 
 
 def _object_from_brace(text: Column) -> Column:
     """The variant that starts at the first brace; text after it is ignored, malformed text is null."""
-    return F.when(F.locate("{", text) > 0, F.try_parse_json(F.substring(text, F.locate("{", text), F.length(text))))
+    return let(F.locate("{", text), lambda at: F.when(at > 0, F.try_parse_json(F.substring(text, at, F.length(text)))))
+
+
+def _fenced(text: Column) -> Column:
+    """What the first fence holds, without the word json at its beginning; null if no fence is closed."""
+    mark, size = F.lit("```"), F.length(text)
+
+    def held(rest: Column) -> Column:
+        inner = let(F.locate("```", rest), lambda end: F.when(end > 0, F.substring(rest, F.lit(1), end - 1)))
+        return let(inner, lambda t: strip(F.when(F.lower(F.substring(t, 1, 4)) == "json", F.substring(t, F.lit(5), F.length(t))).otherwise(t)))
+
+    return let(F.locate("```", text), lambda at: F.when(at > 0, held(F.substring(text, at + F.length(mark), size))))
 
 
 def parse_response(response: Column) -> Column:
     """The triple in a response: in the first fenced block if there is one, else in the whole; what follows it is ignored."""
-    bare = strip(response)
-    fence = r"(?is)```(?:json)?\s*(.*?)```"
-    text = F.when(bare.rlike(fence), strip(F.regexp_extract(bare, fence, 1))).otherwise(bare)
-    return valid_triple(_object_from_brace(text))
+    return valid_triple(let(strip(response), lambda bare: let(F.coalesce(_fenced(bare), bare), _object_from_brace)))
 
 
 def parse_fenced_response(response: Column) -> Column:
     """As :func:`parse_response`, but the text must start with the object, or with the fence around it."""
-    bare = strip(response)
-    fence = r"(?is)^```(?:json)?\s*(.*?)```"
-    text = F.when(bare.rlike(fence), strip(F.regexp_extract(bare, fence, 1))).otherwise(bare)
-    return valid_triple(F.when(text.startswith("{"), _object_from_brace(text)))
+    within = lambda bare: F.when(bare.startswith("```"), F.coalesce(_fenced(bare), bare)).otherwise(bare)
+    start = lambda text: F.when(text.startswith("{"), _object_from_brace(text))
+    return valid_triple(let(strip(response), lambda bare: let(within(bare), start)))
 
 
 def nested_value(record: Column, keys: Sequence[str], default: str = "unknown") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,15 +26,19 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_text(text: Column, min_chars: int = 10) -> Column:
     """The stripped text, or null if it is shorter than ``min_chars`` code points."""
-    bare = strip(text)
-    return F.when(F.length(bare) >= min_chars, bare)
+    return let(strip(text), lambda bare: F.when(F.length(bare) >= min_chars, bare))
 
 
 def normalize_whitespace(text: Column) -> Column:
     """Runs of blanks and tabs become one blank; line ends stay, as later steps need them."""
-    return F.regexp_replace(text, r"[ \t]+", " ")
+    return F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
 
 
 def remove_unprintable(text: Column) -> Column:
@@ -42,19 +47,19 @@ def remove_unprintable(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(strip(text), r"(?U)\s+"), lambda w: w != "")
+    return let(strip(text), lambda bare: F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"(?U)\s+")))
 
 
 def split_by_word(df: DataFrame, column: str, word_per_chunk: int = 300, index: str = "chunk_index") -> DataFrame:
     """One row for each run of ``word_per_chunk`` words; texts without words give none."""
     n = word_per_chunk
-    cut = df.withColumn("__words", words(F.col(column))).where(F.size("__words") > 0)
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("__words") - 1) / n).cast("int")),
-        lambda i: F.array_join(F.slice(F.col("__words"), i * n + 1, F.lit(n)), " "),
-    )
+
+    def chunks(ws: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / n).cast("int"))
+        return F.when(F.size(ws) > 0, F.transform(places, lambda i: F.array_join(F.slice(ws, i * n + 1, F.lit(n)), " ")))
+
     keep = [c for c in df.columns if c != column]
-    return cut.select(*keep, F.posexplode(chunks).alias(index, column))
+    return df.select(*keep, F.posexplode(let(words(F.col(column)), chunks)).alias(index, column))
 
 
 # ---------------------------------------------------------------- section trimming
@@ -87,25 +92,42 @@ def trim_sections(text: Column) -> Column:
 # ---------------------------------------------------------------- sentences
 
 
+#: What a dot inside does not end a sentence: links, addresses, decimals and numbers in brackets or at the start.
+_LINK = r"(?U)https?://[^\s]+|doi\.org/[^\s]+"
+_ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_DECIMAL = r"(?U)(\d)\.(\d)"
+_NUMBERING = r"(?U)(\[\d+\]|\(\d+\)|^\d+)\."
+
+#: The address pattern without retries inside a run of its characters, which would make it quadratic in the run.
+_ADDRESS_ONCE = r"(?:(?<![A-Za-z0-9._%+-])|\G)" + _ADDRESS.replace("+@", "++@")
+
+
+def _dots_inside(text: Column, pattern: str, hint: Column) -> Column:
+    """Every dot inside a match is written [DOT]; a match is fenced by two control characters while its dots change."""
+    fenced = F.regexp_replace(text, f"({pattern})", "\u0001$1\u0002")
+    part = lambda p: F.when(p.startswith("\u0001"), F.replace(F.translate(p, "\u0001\u0002", ""), F.lit("."), F.lit(_DOT))).otherwise(p)
+    return F.when(hint, F.array_join(F.transform(F.split(fenced, "(?=\u0001)|(?<=\u0002)"), part), "")).otherwise(text)
+
+
+def _abbreviations(text: Column) -> Column:
+    """Abbreviations' dots are written [DOT]; those in other than their own case, which are few, get it, one after another."""
+    names = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+
+    def others(t: Column) -> Column:
+        out = t
+        for short in ABBREVIATIONS:
+            out = F.regexp_replace(out, rf"(?iU)\b{short.replace('.', chr(92) + '.')}\.", f"{short}\\[DOT]")
+        return F.when(t.rlike(rf"(?iU)\b(?:{names})\."), out).otherwise(t)
+
+    return let(F.regexp_replace(text, rf"(?U)\b({names})\.", r"$1\[DOT]"), others)
+
+
 def _protected(text: Column) -> Column:
     """Dots that end no sentence are written [DOT]."""
-    def mark(text: Column, token: str) -> Column:
-        """Every dot inside a match of ``token``; a match is fenced by two control characters while its dots change."""
-        fenced = F.regexp_replace(text, f"({token})", "\u0001$1\u0002")
-        return F.array_join(
-            F.transform(
-                F.split(fenced, "(?=\u0001)|(?<=\u0002)"),
-                lambda part: F.when(part.startswith("\u0001"), F.replace(F.translate(part, "\u0001\u0002", ""), F.lit("."), F.lit(_DOT))).otherwise(part),
-            ),
-            "",
-        )
-
-    text = mark(text, r"(?U)https?://[^\s]+|doi\.org/[^\s]+")
-    text = mark(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
-    text = F.regexp_replace(text, r"(?U)(\d)\.(\d)", r"$1\[DOT]$2")
-    for short in ABBREVIATIONS:
-        text = F.regexp_replace(text, rf"(?iU)\b{short.replace('.', chr(92) + '.')}\.", f"{short}\\[DOT]")
-    return F.regexp_replace(text, r"(?U)(\[\d+\]|\(\d+\)|^\d+)\.", r"$1\[DOT]")
+    text = let(text, lambda t: _dots_inside(t, _LINK, t.contains("://") | t.contains("doi.org/")))
+    text = let(text, lambda t: _dots_inside(t, _ADDRESS_ONCE, t.contains("@")))
+    text = _abbreviations(F.regexp_replace(text, _DECIMAL, r"$1\[DOT]$2"))
+    return F.regexp_replace(text, _NUMBERING, r"$1\[DOT]")
 
 
 def sentences(text: Column) -> Column:
@@ -115,27 +137,16 @@ def sentences(text: Column) -> Column:
 
 
 def sentence_blocks(text: Column, min_words: int = 10) -> Column:
-    """Sentences packed in order until a block has ``min_words`` words; blocks not starting with an ASCII letter go."""
-    count = lambda s: F.size(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != ""))
-    nothing = F.struct(
-        F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n")
-    )
-
-    def add(state: Column, sentence: Column) -> Column:
-        block = F.concat(state["open"], F.array(sentence))
-        n = state["n"] + count(sentence)
-        full = n >= min_words
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(F.array_join(block, " ")))).otherwise(state["done"]).alias("done"),
-            F.when(full, F.array().cast("array<string>")).otherwise(block).alias("open"),
-            F.when(full, 0).otherwise(n).alias("n"),
-        )
-
-    def finish(state: Column) -> Column:
-        blocks = F.when(F.size(state["open"]) > 0, F.concat(state["done"], F.array(F.array_join(state["open"], " ")))).otherwise(state["done"])
-        return F.filter(blocks, lambda b: b.rlike("^[A-Za-z]"))
-
-    return F.aggregate(sentences(text), nothing, add, finish)
+    """Sentences packed in order until a block has ``min_words`` words; blocks not starting with an ASCII letter go.
+
+    A block is the first ``min_words`` words and the rest of the last one's
+    sentence, or all that is left: one pass over the joined sentences.
+    """
+    word, space = r"[^\s\x01]++", r"[\s\x01]++"
+    block = rf"(?sU)\x01?((?:{word}{space}){{{max(0, min_words - 1)}}}{word}[^\x01]*+|.+)"
+    joined = F.array_join(F.transform(sentences(text), lambda s: F.translate(s, "\u0001", "")), "\u0001")
+    blocks = F.transform(F.regexp_extract_all(joined, F.lit(block), F.lit(1)), lambda b: F.translate(b, "\u0001", " "))
+    return F.filter(blocks, lambda b: b.rlike("^[A-Za-z]"))
 
 
 def split_by_sentence_block(df: DataFrame, column: str, min_words: int = 10) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
@@ -28,61 +33,134 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * common_subsequence(a, b) / both if both else 100.0
 
 
+_RESERVED = frozenset("\0\1")
+
+
+def ratios(left: Sequence[str], right: Sequence[str], at_once: int = 4096) -> np.ndarray:
+    """:func:`ratio` of each pair; where the shorter text has 64 characters at most, many pairs a step."""
+    out = np.zeros(len(left))
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(left, right)]
+    short = [i for i, (a, b) in enumerate(pairs) if 0 < len(a) <= 64 and not _RESERVED.intersection(a, b)]
+    for i in set(range(len(pairs))) - set(short):
+        out[i] = ratio(*pairs[i])
+    short.sort(key=lambda i: len(pairs[i][1]))
+    for at in range(0, len(short), at_once):
+        here = short[at : at + at_once]
+        a, b = [pairs[i][0] for i in here], [pairs[i][1] for i in here]
+        table, wide = (np.array(t, f"U{w}").view(np.uint32).reshape(len(t), w) for t, w in ((a, 64), (b, len(b[-1]))))
+        wide[wide == 0] = 1  # behind the longer text; 0 is behind the shorter one
+        if max(table.max(), wide.max()) < 256:
+            table, wide = table.astype(np.uint8), wide.astype(np.uint8)
+        n, m = np.array([len(x) for x in a]), np.array([len(y) for y in b])
+        rows = np.full(len(here), np.iinfo(np.uint64).max)
+        for j in range(wide.shape[1]):
+            masks = np.packbits(table == wide[:, j, None], axis=1, bitorder="little").view(np.uint64).ravel()
+            hit = rows & masks
+            rows = (rows + hit) | (rows - hit)
+        unset = np.bitwise_count(~rows & (np.iinfo(np.uint64).max >> (64 - n).astype(np.uint64)))
+        out[here] = 200.0 * unset / (n + m)
+    return out
+
+
 def first_by_title(metadata: DataFrame, title: str, order: str) -> DataFrame:
     w = Window.partitionBy(title).orderBy(order)
     return metadata.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
+def _most_edits(n: int, m: int, threshold: float) -> int:
+    """Insertions and deletions between texts of these lengths that the threshold allows."""
+    return int((n + m) * (100.0 - threshold) / 100.0 + 1e-9)
+
+
+@lru_cache(maxsize=65536)
+def _needed(n: int, q: int, threshold: float) -> int:
+    """The least number of q-grams that a text of ``n`` characters shares with any text that matches it; 0 or less if maybe none.
+
+    An insertion or deletion changes q grams at most.
+    """
+    slack = (200.0 - threshold) / threshold
+    lengths = range(max(1, math.ceil(n / slack - 1e-9)), int(n * slack + 1e-9) + 1)
+    return min(max(n, m) - q + 1 - q * _most_edits(n, m, threshold) for m in lengths)
+
+
+def _gram_length(threshold: float) -> int:
+    return 3 if threshold >= 90 else 2 if threshold >= 80 else 1
+
+
+def _gram_sets(text: str, threshold: float) -> list[tuple[list[str], int]]:
+    """(grams, size of the prefix) for each gram length that the text is compared by.
+
+    Long texts are compared by q-grams, short ones, which could match without a
+    common q-gram, by characters; near the border a text has both. Repeats of a
+    gram are numbered, so the lists are sets.
+    """
+    n, q = len(text), _gram_length(threshold)
+    slack = (200.0 - threshold) / threshold
+    border = _border(q, threshold)
+    lengths = ([q] if n * slack >= border else []) + ([1] if q > 1 and n / slack < border else [])
+    out = []
+    for k in lengths:
+        seen: dict[str, int] = {}
+        grams = []
+        for i in range(n - k + 1):
+            gram = text[i : i + k]
+            seen[gram] = seen.get(gram, 0) + 1
+            grams.append(f"{k}:{seen[gram]}:{gram}")
+        if grams:
+            out.append((grams, max(1, min(len(grams), len(grams) - max(1, _needed(n, k, threshold)) + 1))))
+    return out
+
+
+@lru_cache(maxsize=64)
+def _border(q: int, threshold: float) -> int:
+    """The least length from which on texts that match always share a q-gram."""
+    return next((n for n in range(1, 10_000) if all(_needed(m, q, threshold) >= 1 for m in range(n, n + 40))), 10_000)
+
+
 def near_titles(left: DataFrame, titles: DataFrame, threshold: float = 95.0) -> DataFrame:
     """(stem, title, score): the best title of each stem with at least ``threshold``, ties to the smaller ``pos``.
 
-    ``titles`` has title and pos. Two texts of that ratio have lengths within the
-    factor (200 - t) / t, and share a block of characters: with e edits at most,
-    one of e + 1 equal slices of the shorter text stands unchanged in the longer
-    one, near its own place. Slices are equi-joined, so no cross join is made.
+    ``titles`` has title and pos; ``threshold`` is above 50. Two texts of that
+    ratio share most of their q-grams. With each text's grams in one order, rare
+    ones first, they have one in common among the first few of both: only these
+    prefixes are joined. Candidates whose lengths can't match are left out before
+    they are scored. Empty texts match each other.
     """
     slack = (200.0 - threshold) / threshold
 
-    @F.pandas_udf("array<string>")
-    def slices(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<struct<prefix:int,grams:array<string>>>")
+    def gram_sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in texts:
-            yield pd.Series([_slices(t or "", slack, threshold, False) for t in column], dtype=object)
-
-    @F.pandas_udf("array<string>")
-    def places(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in texts:
-            yield pd.Series([_slices(t or "", slack, threshold, True) for t in column], dtype=object)
+            yield pd.Series([[{"prefix": p, "grams": g} for g, p in _gram_sets(t or "", threshold)] for t in column], dtype=object)
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x, y) for x, y in zip(a, b)])
-
-    stems = left.select("stem").distinct().select("stem", F.explode(slices("stem")).alias("slice"))
-    known = titles.select("title", "pos", F.explode(places("title")).alias("slice"))
-    pairs = stems.join(known, "slice").select("stem", "title", "pos").distinct()
-    scored = pairs.withColumn("score", score("stem", "title")).where(F.col("score") >= threshold)
+        return pd.Series(ratios(a.to_list(), b.to_list()), dtype="float64")
+
+    def exploded(df: DataFrame, name: str) -> DataFrame:
+        sets = df.select(name, F.explode(gram_sets(name)).alias("s")).withColumn("k", F.substring(F.col("s.grams")[0], 1, 1))
+        return sets.select(name, "k", "s.prefix", F.explode("s.grams").alias("gram"))
+
+    stems, known = left.select("stem").distinct(), titles.select("title").distinct()
+    stem_grams, title_grams = cut(exploded(stems, "stem")), cut(exploded(known, "title"))
+    often = cut(title_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))
+
+    def prefixes(grams: DataFrame, name: str) -> DataFrame:
+        rated = grams.join(often, "gram", "left").groupBy(name, "k", "prefix").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), "gram"))).alias("g"))
+        return rated.select(name, F.explode(F.transform(F.slice("g", F.lit(1), F.col("prefix")), lambda g: g["gram"])).alias("gram"))
+
+    pairs = prefixes(stem_grams, "stem").join(prefixes(title_grams, "title"), "gram")
+    near = (F.length("stem") <= F.length("title") * slack) & (F.length("title") <= F.length("stem") * slack)
+    # as many tasks as a shuffle has: a pair is few bytes and much work
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.where(near).select("stem", "title").repartition(parts, "stem", "title").distinct()
+    empty = stems.where("stem = ''").join(known.where("title = ''"))  # one row each at most
+    scored = pairs.unionByName(empty).withColumn("score", score("stem", "title")).where(F.col("score") >= threshold)
+    scored = scored.join(titles.select("title", "pos"), "title")
     best = scored.groupBy("stem").agg(F.max(F.struct("score", (-F.col("pos")).alias("turn"), "title")).alias("b"))
     return best.select("stem", "b.title", "b.score")
 
 
-def _slices(text: str, slack: float, threshold: float, every_place: bool) -> list[str]:
-    """Keys "length of the stem:slice number:slice" of a stem, or of all stems that a title could match."""
-    out = set()
-    lengths = range(int(len(text) / slack), int(len(text) * slack) + 2) if every_place else [len(text)]
-    for n in lengths:
-        edits = int((n + n * slack) * (100.0 - threshold) / 100.0) + 1  # insertions and deletions that the threshold allows
-        size = n // (edits + 1)
-        if size == 0:
-            out.add(f"{n}:")  # too short to slice: all of that length meet
-            continue
-        for k in range(edits + 1):
-            at = k * size
-            for shift in range(-edits, edits + 1) if every_place else (0,):
-                if 0 <= at + shift and at + shift + size <= len(text):
-                    out.add(f"{n}:{k}:{text[at + shift : at + shift + size]}")
-    return sorted(out)
-
-
 def attach_metadata(texts: DataFrame, metadata: DataFrame, title: str = "Article Title", order: str = "pos", threshold: float = 95.0) -> DataFrame:
     """Texts (stem, full_text) with ``matched_title`` and ``match_score``: exact first, then near, else nulls."""
     known = metadata.where(F.col(title).isNotNull()).select(F.col(title).alias("title"), F.col(order).alias("pos"))

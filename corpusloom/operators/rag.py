@@ -49,12 +49,22 @@ class SplitPlan:
 
 
 def split_text(text: str, count: Callable[[str], int], plan: SplitPlan) -> list[tuple[int, int]]:
-    """Ranges of a text that fit, each as long as possible, ending after a line in its second half if one ends there."""
+    """Ranges of a text that fit, each as long as possible, ending after a line in its second half if one ends there.
+
+    A part's end is sought from the size of the part before it, first by doubling,
+    so a search counts a few parts' length, however long the text is.
+    """
     if count(text) <= plan.most_tokens:
         return [(0, len(text))]
-    parts, at = [], 0
+    parts, at, size = [], 0, 4 * plan.most_tokens
     while True:
         fits, fails = at, len(text) + 1
+        probe = min(len(text), at + size)
+        while fails > len(text) and probe > fits:  # upwards to an end that fails, or the text's
+            if count(text[at:probe]) <= plan.most_tokens:
+                fits, probe = probe, min(len(text), at + 2 * (probe - at))
+            else:
+                fails = probe
         while fails - fits > 1:
             probe = (fits + fails) // 2
             if count(text[at:probe]) <= plan.most_tokens:
@@ -68,6 +78,7 @@ def split_text(text: str, count: Callable[[str], int], plan: SplitPlan) -> list[
             if line > 0 and count(text[at:line]) <= plan.most_tokens:
                 fits = line
         parts.append((at, fits))
+        size = fits - at
         if fits >= len(text):
             return parts
         at = max(at + 1, fits - min(plan.overlap, (fits - at) // 2))

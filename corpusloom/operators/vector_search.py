@@ -1,9 +1,9 @@
 """Exact vector search, ranking and reranking.
 
-An index is a table (id, vector, ...). Batches of queries are multiplied with
-the index block by block: a block is at most ``block_bytes`` of vectors, which is
-what a broadcast ever holds, and an index of several blocks is searched in as
-many passes whose best hits are merged. There is no pair table.
+An index is a table (id, vector, ...). Queries and index are packed into blocks
+of bounded size, numbered where they are made; each pair of a query block and an
+index block meets in a task, which multiplies them and keeps the best of each
+query. There is no pair table, and no vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -11,66 +11,98 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _blocks(index: DataFrame, id_col: str, vector_col: str, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, float64 matrix) of the index, a bounded number of vectors at a time."""
-    ids, rows, size = [], [], 0
-    for r in index.select(id_col, F.col(vector_col).cast("array<double>").alias("__v")).toLocalIterator(prefetchPartitions=True):
-        ids.append(r[0])
-        rows.append(np.array(r[1]))
-        size += rows[-1].nbytes
-        if size >= block_bytes:
-            yield np.array(ids), np.stack(rows)
-            ids, rows, size = [], [], 0
-    if ids:
-        yield np.array(ids), np.stack(rows)
+def _blocks(df: DataFrame, id_col: str, vector_col: str, name: str, block_bytes: int) -> DataFrame:
+    """{name}, ids and vectors (float64, row after row) of blocks of about ``block_bytes``; ids of any type stay as they are."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, ids, rows, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, ids, rows, size
+            keys = pa.concat_arrays(ids)
+            columns = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([np.concatenate(rows).tobytes()], pa.binary())]
+            number, ids, rows, size = number + 1, [], [], 0
+            return pa.RecordBatch.from_arrays(columns, [name, "ids", "vectors"])
+
+        for batch in batches:
+            width = len(batch.column(1)[0]) if len(batch) else 0
+            step = max(1, block_bytes // max(1, 8 * width))
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                ids.append(part.column(0))
+                rows.append(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+                size += rows[-1].nbytes
+                if size >= block_bytes:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    vectors = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
+    return vectors.mapInArrow(build, f"{name} long, ids array<{id_type}>, vectors binary")
 
 
 def top_k(
     queries: DataFrame, index: DataFrame, k: int, query_id: str = "id", query_vector: str = "vector", index_id: str = "id", index_vector: str = "vector",
-    block_bytes: int = 64 << 20, digits: int | None = None,
+    block_bytes: int = 16 << 20, digits: int | None = None,
 ) -> DataFrame:
     """(query_id, match_id, score, rank): the ``k`` largest inner products of each query, ranks from 1, ties by match id.
 
-    ``digits`` rounds scores before they are compared.
+    ``digits`` rounds scores before they are compared. Rows without a vector are
+    left out. Query blocks are a quarter of the index blocks in size; both travel
+    once for each block that they meet, which are the rows of a nested loop over
+    blocks, not over vectors.
     """
-    spark = queries.sparkSession
-    id_type = queries.schema[query_id].dataType.simpleString()
-    match_type = index.schema[index_id].dataType.simpleString()
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"))
-    found = None
-    for ids, matrix in _blocks(index, index_id, index_vector, block_bytes):
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            order = np.argsort(ids, kind="stable")
-            ids, matrix = ids[order], matrix[order]
-            most = min(k, len(ids))
-            for pdf in batches:
-                for at in range(0, len(pdf), 256):
-                    part = pdf.iloc[at : at + 256]
-                    scores = np.stack(part["v"].to_list()) @ matrix.T
+    match_type, id_type = (df.schema[c].dataType.simpleString() for df, c in ((index, index_id), (queries, query_id)))
+    left = _blocks(queries, query_id, query_vector, "qb", max(1, block_bytes // 4))
+    right = _blocks(index, index_id, index_vector, "ib", block_bytes).withColumnsRenamed({"ids": "match_ids", "vectors": "match_vectors"})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                ids, match_ids = (batch.column(c)[row].values for c in ("ids", "match_ids"))
+                order = pa.compute.sort_indices(match_ids)
+                match_ids = match_ids.take(order)
+                mine = np.frombuffer(batch.column("vectors")[row].as_buffer(), np.float64).reshape(len(ids), -1)
+                other = np.frombuffer(batch.column("match_vectors")[row].as_buffer(), np.float64).reshape(len(match_ids), -1)[order.to_numpy()]
+                most = min(k, len(match_ids))
+                for at in range(0, len(ids), 256):
+                    scores = mine[at : at + 256] @ other.T
                     scores = scores if digits is None else np.round(scores, digits)
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                    yield pd.DataFrame({
-                        "query_id": np.repeat(part["query_id"].to_numpy(), most),
-                        "match_id": ids[best].ravel(),
-                        "score": np.take_along_axis(scores, best, axis=1).ravel(),
-                    })
-
-        here = wanted.mapInPandas(search, f"query_id {id_type}, match_id {match_type}, score double")
-        found = here if found is None else found.unionByName(here)
-    if found is None:
-        return spark.createDataFrame([], f"query_id {id_type}, match_id {match_type}, score double, rank int")
+                    best = _best(scores, most)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array(np.repeat(np.arange(at, at + len(scores)), most))), match_ids.take(pa.array(best.ravel())),
+                            pa.array(np.take_along_axis(scores, best, axis=1).ravel()),
+                        ],
+                        ["query_id", "match_id", "score"],
+                    )
+
+    found = left.join(right).mapInArrow(search, f"query_id {id_type}, match_id {match_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _best(scores: np.ndarray, most: int) -> np.ndarray:
+    """The places of the ``most`` largest of each row, ties to the smaller place, largest first."""
+    if 4 * most >= scores.shape[1]:
+        return np.argsort(-scores, axis=1, kind="stable")[:, :most]
+    bound = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
+    out = np.empty((len(scores), most), np.int64)
+    for r, row in enumerate(scores):
+        at = np.flatnonzero(row >= bound[r])
+        out[r] = at[np.argsort(-row[at], kind="stable")[:most]]
+    return out
+
+
 def semantic_filter(queries: DataFrame, seeds: DataFrame, top: int = 140_180, order: str = "id", digits: int | None = None, **names: str) -> DataFrame:
     """The ``top`` queries by the score of their nearest seed: (rank, query_id, match_id, score).
 

@@ -40,8 +40,7 @@ from (select doc_id, ws, unnest(range((len(ws) + 299) // 300)) as i from w where
 def word_chunks_300(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     clean = T.clean_text(T.remove_unprintable(T.normalize_whitespace(F.col("text"))))
-    docs = docs.withColumn("text", clean).where(F.col("text").isNotNull())
-    return T.split_by_word(docs, "text", 300).select("doc_id", "chunk_index", "text")
+    return T.split_by_word(docs.withColumn("text", clean), "text", 300).select("doc_id", "chunk_index", "text")
 
 
 CLEAN_SQL = r"trim(regexp_replace(text, '[ \t]+', ' ', 'g'), E' \n\t\r')"

@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def test_group_cap_takes_experts_first(spark, rows):
 def test_top_k_in_blocks_is_the_same(spark, rows):
     rng = random.Random(0)
     v = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(60)], "id long, vector array<double>")
-    whole, parts = vector_search.top_k(v, v, 5), vector_search.top_k(v, v, 5, block_bytes=200)
+    whole, parts = (vector_search.top_k(v, v, 5, block_bytes=b, digits=9) for b in (1 << 20, 200))
     assert rows(whole) == rows(parts)
     assert sorted(r["rank"] for r in whole.where("query_id = 3").collect()) == [1, 2, 3, 4, 5]
     assert vector_search.top_k(v, v.limit(0), 5).count() == 0
@@ -82,24 +83,29 @@ def test_rerank_and_evidence(spark):
         vector_search.rerank(c, "s", 4, 3)
 
 
-def test_ratio_and_near_titles(spark):
+@pytest.mark.parametrize("threshold, shortest, longest", [(90, 5, 50), (90, 0, 9), (95, 0, 130), (75, 1, 30)])
+def test_ratio_and_near_titles(spark, threshold, shortest, longest):
     rng = random.Random(5)
-    titles = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(5, 50))) for _ in range(60)]
+    titles = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(shortest, longest))) for _ in range(60)]
     stems = []
     for t in titles[:40]:
         s = list(t)
         for _ in range(rng.randrange(3)):
-            s[rng.randrange(len(s))] = rng.choice("xyz")
+            at = rng.randrange(len(s) + 1)
+            s[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
         stems.append("".join(s))
     assert matching.ratio("abc", "abc") == 100 and matching.ratio("", "") == 100 and matching.ratio("abcd", "abxd") == 75
+    pairs = [("".join(rng.choice("abcé ") for _ in range(rng.randrange(n))) for _ in "ab") for n in (3, 20, 70, 200) for _ in range(40)]
+    a, b = zip(*pairs)
+    assert np.allclose(matching.ratios(a, b, 16), [matching.ratio(x, y) for x, y in zip(a, b)])
     known = list(dict.fromkeys(titles))
     want = {}
     for s in set(stems):
         best = max(known, key=lambda t: (matching.ratio(s, t), -known.index(t)))
-        if matching.ratio(s, best) >= 90:
+        if matching.ratio(s, best) >= threshold:
             want[s] = best
     got = matching.near_titles(
-        spark.createDataFrame([(s,) for s in stems], "stem string"), spark.createDataFrame([(t, i) for i, t in enumerate(known)], "title string, pos int"), 90.0
+        spark.createDataFrame([(s,) for s in stems], "stem string"), spark.createDataFrame([(t, i) for i, t in enumerate(known)], "title string, pos int"), float(threshold)
     )
     assert {r["stem"]: r["title"] for r in got.collect()} == want
 
