@@ -27,7 +27,7 @@ MOST_BITS = 27
 _HASHES = 3
 _SLICE = 1 << 19  # bits that are merged together
 _FAN_IN = 256
-_RANGE_KEYS = 1 << 21  # keys of a range of hashes
+_RANGE_KEYS = 1 << 19  # keys of a range of hashes
 
 
 def bits_for(keys: int) -> int:

@@ -13,7 +13,7 @@ Relations, with n-grams as 64-bit hashes:
   block, partitioned by hash. A block holds an n-gram once, so the most frequent
   n-gram has as many rows as there are blocks, however often it occurs;
 * count tables: n-grams summed by hash, where they lie. The counts that a score
-  can use (all of single words, those of at least ``min_count`` of others) are
+  can use (above one of single words, of at least ``min_count`` of others) are
   joined to the n-grams by hash, which are read a second time, not shuffled again;
 * counted n-grams go to their block, where each document's words are summed.
 
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, input_bytes, materialise, small_batches
 
-_BLOCK_BYTES = 6 << 20
+_BLOCK_BYTES = 12 << 20
 _PART_BYTES, _MOST_PARTS = 8 << 20, 1 << 16  # of input for each partition of n-grams; larger ones are sorted on disk
 _CHUNK = 1 << 18  # n-gram rows that a task hands on at once
 _ORDER_BITS, _TIMES_BITS = 3, 20  # of a hash, and of a block's number
@@ -193,7 +193,8 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, alpha:
     blocks = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(_blocks, _BLOCK.format(id_type)).repartition(parts, "block")
     ngrams = blocks.mapInArrow(_explode(order), "h long, v long").repartition(parts, "h")
     tables = ngrams.groupBy("h").agg(F.sum(F.col("v").bitwiseAND(F.lit((1 << _TIMES_BITS) - 1))).alias("total"))
-    tables = tables.where((F.col("h").bitwiseAND(F.lit((1 << _ORDER_BITS) - 1)) == 0) | (F.col("total") >= min_count))
+    single = F.col("h").bitwiseAND(F.lit((1 << _ORDER_BITS) - 1)) == 0
+    tables = tables.where(F.col("total") >= F.when(single, 2).otherwise(min_count))  # a word without a row was counted once
     counted = ngrams.join(tables, "h").select(F.shiftright("v", _TIMES_BITS).alias("block"), "h", "total")
     scored = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_summed(order, min_count, alpha), f"i {id_type}, n_words long, logs double, singles double")
     summed, _ = materialise(scored, "lm-sums")
