@@ -7,13 +7,16 @@ kind; without one the deterministic stand-in is used.
 from __future__ import annotations
 
 import argparse
+import hashlib
 import importlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import parsing, prompts
-from .operators import corpus, dedup, generation, rag, scoring, vector_search
+from .operators import corpus, dedup, generation, inference, matching, rag, scoring, vector_search
+from .operators.lineage import cut
 from .plans import etl, providers
 from .sources import files, sinks
 
@@ -41,7 +44,7 @@ def merge_corpora(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _embedded(df: DataFrame, text: str, a: argparse.Namespace) -> DataFrame:
-    return df.withColumn("vector", providers.embedder(_load(a.embedder, providers.hashed_bag_of_words()))(F.col(text)))
+    return df.withColumn("vector", providers.embedder(_load(a.embedder, providers.hashed_bag_of_words()), tokenizer=_load(a.tokenizer, providers.white_space_tokens))(F.col(text)))
 
 
 def semantic_filter(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -58,15 +61,71 @@ def semantic_filter(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_nonempty(noted.join(texts.withColumnRenamed("id", "query_id"), "query_id").drop("query_id", "match_id").orderBy("rank"), a.output)
 
 
+def find_links(spark: SparkSession, a: argparse.Namespace) -> None:
+    dois = corpus.distinct_dois(files.excel(spark, a.metadata, a.doi_column), a.doi_column).where("doi <> ''")
+    service = _load(a.service, None) or files.open_access_service(a.email, a.service_url)
+    sinks.write_links(cut(files.open_access_links(dois, service)), a.output)
+
+
+def articles(spark: SparkSession, a: argparse.Namespace) -> None:
+    """PDF files that have no text yet become texts; all texts become article records."""
+    pending = [r["source_file"] for r in files.pending_pdfs(spark, a.pdf_dir, a.txt_dir).collect()]  # file names only
+    read = files.text_folder(spark, a.txt_dir).select("stem", F.col("content").alias("full_text"))
+    if pending:
+        texts = cut(files.pdf_texts(spark, pending, _load(a.pages, files.page_texts())))
+        sinks.write_text_files(texts, "stem", "full_text", a.txt_dir)
+        read = read.unionByName(texts)
+    metadata = files.excel(spark, a.metadata, "Article Title")
+    matched = cut(matching.attach_metadata(read, metadata, threshold=float(a.fuzzy_threshold)))
+    sinks.write_lines(matching.unmatched(matched), "stem", a.failed_report)
+    sinks.write_articles(cut(matching.article_records(matched, metadata)), a.output)
+
+
 def generate(spark: SparkSession, a: argparse.Namespace) -> None:
-    records = files.json_records(spark, files.list_files(spark, a.input, [".json"], recursive=True), tolerant=True)
-    items = generation.category_groups(records).select("major", "sub", "text").distinct()
+    seeds = [files.seed_directory(spark, path, source) for path, source in ((a.expert_dir, "expert"), (a.llm_dir, "llm")) if path]
+    found = files.retrieved_file(spark, a.retrieved_file, a.min_retrieval_rank) if a.retrieved_file else None
+    more = files.json_records(spark, files.list_files(spark, a.input, [".json"], recursive=True), tolerant=True) if a.input else None
+    items = generation.seed_groups(*seeds, found, more).select("major", "sub", "text").distinct()
     prompted = generation.with_prompts(items, a.seed)
     keys = ["major", "sub", "text", "question_type"]
-    schema = "major string, sub string, text string, question_type string, triple struct<instruction:string,input:string,output:string>"
-    left = generation.pending(prompted, files.prior_results(spark, a.results, schema), keys)
+    schema = "major string, sub string, text string, question_type string, triple struct<instruction:string,input:string,output:string>, fingerprint string"
+    run = hashlib.sha256(json.dumps([a.seed, a.teacher, a.min_retrieval_rank]).encode()).hexdigest()
+    left = generation.pending(prompted, generation.require_same_run(files.prior_results(spark, a.results, schema), run), keys)
     made = generation.generate(left, providers.generator(_load(a.teacher, providers.echo_teacher)))
-    sinks.append_results(generation.require_complete(made).select(*keys, "triple"), a.results)
+    sinks.append_results(generation.require_complete(made).select(*keys, "triple", F.lit(run).alias("fingerprint")), a.results)
+    if a.output:
+        done = files.prior_results(spark, a.results, schema)
+        sinks.write_by_category(done.select("major", "sub", "question_type", "triple.*"), a.output)
+
+
+def amplify(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Samples are told apart by category, file and the question type that their instruction names."""
+    samples = files.amplifier_samples(spark, a.input).withColumn("t", parsing.valid_triple(F.col("record"))).where("t is not null")
+    kind = prompts.question_type_bucket(F.col("t.instruction"))
+    pool = cut(samples.select(F.col("category").alias("cat"), "sub", kind.alias("kind"), "t.*").where("kind is not null"))
+    provider = providers.generator(_load(a.teacher, providers.echo_teacher))
+    made = generation.amplify(pool.select("cat", "sub", "kind").distinct(), pool, provider, a.samples_per_type, a.seed, a.generated_example_threshold)
+    sinks.write_by_category(made, a.output, ("cat", "sub", "kind"))
+
+
+def infer(spark: SparkSession, a: argparse.Namespace) -> None:
+    """exam, bench or rag: a file of items, or of the records that the stage retrieve has written."""
+    provider = providers.generator(_load(a.model, providers.digest_student))
+    name = a.model or "stand-in"
+    if a.task == "rag":
+        tokens = providers.token_lengths(_load(a.tokenizer, providers.white_space_tokens))
+        rows = spark.read.json(a.input)
+        gold = "correct_answer" if "correct_answer" in rows.columns else None
+        prompt = "query" if a.no_rag else "rag_prompt"
+        out = inference.rag_run(rows, provider, tokens, name, prompt, gold, not a.no_rag, a.max_new_tokens, a.context)
+        sinks.write_nonempty(out, a.output)
+    elif a.task == "bench":
+        out = inference.bench_run(files.exam_items(spark, a.input), provider, a.local)
+        sinks.write_nonempty(out.orderBy("pos").drop("pos"), a.output)
+    else:
+        out = inference.exam_run(files.exam_items(spark, a.input), provider).withColumn("record", F.to_json("record"))
+        written = sinks.write_nonempty(out.orderBy("pos"), a.output, "jsonl")
+        inference.exam_report(out, name).write.mode("errorifexists").json(f"{written}.report")
 
 
 def merge_sft(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -76,7 +135,7 @@ def merge_sft(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def build_index(spark: SparkSession, a: argparse.Namespace) -> None:
     plan = rag.SplitPlan(a.max_chunk_tokens)
-    chunks = rag.split_long_sections(rag.chunk_ids(files.standards(spark, a.input)), _load(a.tokenizer, rag.words_as_tokens), plan)
+    chunks = rag.split_long_sections(rag.chunk_ids(files.standards(spark, a.input)), rag.counted_by(_load(a.tokenizer, providers.white_space_tokens)), plan)
     sinks.write_nonempty(_embedded(rag.require_unique(chunks, "chunk_id"), "content", a), a.output, "parquet")
 
 
@@ -92,7 +151,7 @@ def retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
         _embedded(asked.withColumn("asked", prompts.query_text(a.task, F.col("query"))), "asked", a), index, a.retrieve_k, index_id="chunk_id"
     )
     full = hits.join(asked.withColumnRenamed("id", "query_id"), "query_id").join(index.withColumnRenamed("chunk_id", "match_id"), "match_id")
-    scored = full.withColumn("rerank_score", providers.reranker(_load(a.reranker, providers.word_overlap_logits))(F.col("query"), F.col("content")))
+    scored = full.withColumn("rerank_score", providers.reranker(_load(a.reranker, providers.word_overlap_logits), tokenizer=_load(a.tokenizer, providers.white_space_tokens))(F.col("query"), F.col("content")))
     ranked = vector_search.rerank(scored, "rerank_score", a.rerank_k, a.retrieve_k)
     ranked = ranked.withColumn("section", F.col("match_id"))
     fields = ["match_id", "content", "source_file", "section_id", "distance", "retrieval_rank", "rerank_score", "rerank_rank"]
@@ -128,11 +187,15 @@ def main(argv: list[str] | None = None) -> None:
     stage(run_etl, "input", "output", column="Full Text", language_filter=False, language_model=str)
     stage(build_corpus, "source-dir", "output", web_dir=str, format=str, min_chars=10, max_source_records=int, max_web_records=int, max_web_files=int)
     stage(merge_corpora, "literature", "web", "output")
-    stage(semantic_filter, "expert-dir", "generated-dir", "corpus", "output", cap=205, top_k=140_180, embedder=str)
-    stage(generate, "input", "results", seed=42, teacher=str)
+    stage(semantic_filter, "expert-dir", "generated-dir", "corpus", "output", cap=205, top_k=140_180, embedder=str, tokenizer=str)
+    stage(find_links, "metadata", "email", "output", doi_column="DOI", service=str, service_url="https://api.unpaywall.org/v2")
+    stage(articles, "pdf-dir", "txt-dir", "metadata", "output", "failed-report", fuzzy_threshold=95, pages=str)
+    stage(generate, "results", input=str, expert_dir=str, llm_dir=str, retrieved_file=str, min_retrieval_rank=3, output=str, seed=42, teacher=str)
+    stage(amplify, "input", "output", samples_per_type=10, generated_example_threshold=3, seed=123, teacher=str)
+    stage(infer, "task", "input", "output", model=str, tokenizer=str, max_new_tokens=1024, context=32_768, local=False, no_rag=False)
     stage(merge_sft, "input", "output", dedup=False)
     stage(build_index, "input", "output", max_chunk_tokens=3500, tokenizer=str, embedder=str)
-    stage(retrieve, "input", "index", "output", retrieve_k=30, rerank_k=15, embedder=str, reranker=str, task="Find sections that answer the question")
+    stage(retrieve, "input", "index", "output", retrieve_k=30, rerank_k=15, embedder=str, tokenizer=str, reranker=str, task="Find sections that answer the question")
     stage(score, "input", "output")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"corpusloom {a.stage}").getOrCreate()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-#: The question types of strict generation, and of example-conditioned generation.
+#: The question types of strict generation, and of example-conditioned generation; what stands for no
+#: evidence; the header of a piece of evidence, in :func:`evidence_prompt`.
 QUESTION_TYPES = ("factoid_QA", "open-ended_question", "summary_question", "recommendation_question")
 EXAMPLE_TYPES = ("question & answer", "open-ended question", "summary question", "reasoning question")
 NO_EVIDENCE = "No retrieved evidence was retained."

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,27 @@ def category_groups(records: DataFrame, record: str = "record") -> DataFrame:
     return out.where(F.col("text").isNotNull())
 
 
+def seed_groups(*parts: DataFrame | None) -> DataFrame:
+    """major, sub, text and source of records that may come from several places; blank texts go.
+
+    Seeds (with major, sub and source, as :func:`corpusloom.sources.files.seed_directory`
+    gives them) keep the names of their folder and file; other records, those of a
+    retrieved file, are grouped by their category fields, as source "retrieved".
+    """
+    out = []
+    for part in parts:
+        if part is None:
+            continue
+        if {"major", "sub"} <= set(part.columns):
+            text = P.blank_to_null(F.try_variant_get("record", "$.text", "string"))
+            out.append(part.select("major", "sub", text.alias("text"), "source").where("text is not null"))
+        else:
+            out.append(category_groups(part).select("major", "sub", "text", F.lit("retrieved").alias("source")))
+    if not out:
+        raise ValueError("there are no input records")
+    return reduce(DataFrame.unionByName, out)
+
+
 def at_least_rank(df: DataFrame, rank: str, least: int = 3) -> DataFrame:
     """Rows whose rank is a whole number of at least ``least``; others count as 0."""
     return df.where(F.coalesce(F.try_to_number(F.col(rank), F.lit("999999999")).cast("int"), F.lit(0)) >= least)
@@ -63,20 +85,20 @@ def require_complete(df: DataFrame) -> DataFrame:
     return df.where(F.when(failed, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
-def amplify(cells: DataFrame, pool: DataFrame, provider: Callable[[Column], Column], per_cell: int = 10, seed: int = 42, rounds: int = 50) -> DataFrame:
+def amplify(cells: DataFrame, pool: DataFrame, provider: Callable[[Column], Column], per_cell: int = 10, seed: int = 42, enough: int = 3) -> DataFrame:
     """Generate until each cell (cat, sub, kind) has ``per_cell`` samples; a failure or a lack of examples ends its cell.
 
-    Each round writes one sample for every open cell at once; rows are
-    checkpointed, so a round is never generated twice.
+    Each round writes one sample for every open cell at once, so there are
+    ``per_cell`` rounds; rows are written down, so a round is never generated twice.
     """
     spark = cells.sparkSession
     sample = ("instruction", "input", "output")
     made = spark.createDataFrame([], pool.select("cat", "sub", "kind", *sample).schema)
     open_cells = cells
-    for n in range(rounds):
+    for n in range(per_cell):
         have = made.groupBy("cat", "sub", "kind").agg(F.count(F.lit(1)).alias("have"))
         open_cells = open_cells.join(have, ["cat", "sub", "kind"], "left").where(F.coalesce("have", F.lit(0)) < per_cell).drop("have")
-        examples = sampling.pick_examples(open_cells, pool, made, seed + n).groupBy("cat", "sub", "kind").agg(F.collect_list(F.struct(*sample)).alias("examples"))
+        examples = sampling.pick_examples(open_cells, pool, made, seed + n, enough).groupBy("cat", "sub", "kind").agg(F.collect_list(F.struct(*sample)).alias("examples"))
         prompted = examples.withColumn("prompt", T.example_prompt(F.col("kind"), F.col("cat"), F.col("sub"), F.col("examples")))
         said = prompted.withColumn("triple", P.parse_fenced_response(provider(F.col("prompt"))["response"])).where("triple is not null")
         new = cut(said.select("cat", "sub", "kind", "triple.*"))

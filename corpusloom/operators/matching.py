@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parsing import scalar_or_empty
 from .lineage import cut
 
 
@@ -172,5 +173,23 @@ def attach_metadata(texts: DataFrame, metadata: DataFrame, title: str = "Article
     return out.unionByName(rest.join(near.select("stem", F.col("title").alias("matched_title"), F.col("score").alias("match_score")), "stem", "left"))
 
 
+#: The fields of an article record, in its order.
+ARTICLE_FIELDS = (
+    "Full Text", "Article Title", "Source Title", "Keywords Plus", "Abstract", "Publisher", "Publication Year", "DOI", "Open Access Designations",
+)
+
+
+def article_records(matched: DataFrame, metadata: DataFrame, title: str = "Article Title", order: str = "pos") -> DataFrame:
+    """stem and the nine fields of each matched text: the metadata of its title's first row, and the text itself.
+
+    Missing fields and values are empty. ``matched`` is what :func:`attach_metadata` gives.
+    """
+    first = first_by_title(metadata.where(F.col(title).isNotNull()), title, order)
+    value = lambda name: scalar_or_empty(F.col(f"`{name}`")) if name in first.columns else F.lit("")
+    known = first.select(F.col(title).alias("matched_title"), *[value(name).alias(name) for name in ARTICLE_FIELDS[1:]])
+    found = matched.where(F.col("matched_title").isNotNull()).join(known, "matched_title")
+    return found.select("stem", F.col("full_text").alias("Full Text"), *ARTICLE_FIELDS[1:])
+
+
 def unmatched(matched: DataFrame) -> DataFrame:
     return matched.where(F.col("matched_title").isNull()).select("stem")

@@ -89,6 +89,16 @@ def words_as_tokens() -> Callable[[str], int]:
     return lambda text: len(text.split())
 
 
+def counted_by(load: Callable[[], Callable[[list], list]]) -> Callable[[], Callable[[str], int]]:
+    """A counter of a tokenizer's tokens; ``load`` gives a function from texts to lists of tokens."""
+
+    def start() -> Callable[[str], int]:
+        tokenize = load()
+        return lambda text: len(tokenize([text])[0])
+
+    return start
+
+
 def split_long_sections(chunks: DataFrame, load: Callable[[], Callable[[str], int]] = words_as_tokens, plan: SplitPlan = SplitPlan(), content: str = "content") -> DataFrame:
     """chunk_id, content, parent_chunk_id, part_index, char_start and char_end; the last four are null for sections that fit."""
     columns = [c for c in chunks.columns if c not in ("chunk_id", content)]

@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,13 +34,65 @@ def batched(load: Load, returns: str, batch: int = 64) -> Callable[[Column], Col
     return call
 
 
-def embedder(load: Load, batch: int = 64) -> Callable[[Column], Column]:
-    """texts -> L2-normalised vectors."""
+def token_lengths(load: Load, batch: int = 64) -> Callable[[Column], Column]:
+    """texts -> how many tokens a model's tokenizer makes of them; ``load`` gives a function from texts to lists of tokens."""
 
-    def normalised() -> Callable[[list], list]:
+    def lengths() -> Callable[[list], list]:
+        tokenize = load()
+        return lambda texts: [len(tokens) for tokens in tokenize([t or "" for t in texts])]
+
+    return batched(lengths, "long", batch)
+
+
+def white_space_tokens() -> Callable[[list], list]:
+    """Stand-in tokenizer."""
+    return lambda texts: [(t or "").split() for t in texts]
+
+
+def vocabulary_tokens(path: str) -> Load:
+    """The tokenizer of a vocabulary file, with its special tokens."""
+
+    def load() -> Callable[[list], list]:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        return lambda texts: [e.ids for e in model.encode_batch([t or "" for t in texts])]
+
+    return load
+
+
+def last_token_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The state (texts, dim) of each text's last real token, of states (texts, tokens, dim) and mask (texts, tokens).
+
+    If every text's last place is a real token, the padding is on the left.
+    """
+    if mask[:, -1].all():
+        return states[:, -1]
+    return states[np.arange(len(states)), mask.sum(axis=1) - 1]
+
+
+def pooled(load: Callable[[], Callable[[list], tuple[np.ndarray, np.ndarray]]]) -> Load:
+    """An embedder of a model that gives (hidden states, attention mask) for texts: the last token's state stands for a text."""
+
+    def start() -> Callable[[list], list]:
         model = load()
+        return lambda texts: last_token_pool(*model(texts)).tolist()
+
+    return start
+
+
+def embedder(load: Load, batch: int = 64, tokenizer: Load | None = None, most_tokens: int = 4096) -> Callable[[Column], Column]:
+    """texts -> L2-normalised vectors.
+
+    With the model's ``tokenizer``, a text of more than ``most_tokens`` tokens is an error, never cut.
+    """
+
+    def normalised() -> Callable[[list], list]:
+        model, tokenize = load(), tokenizer() if tokenizer is not None else None
 
         def run(texts: list) -> list:
+            if tokenize is not None and (longest := max(map(len, tokenize([t or "" for t in texts])), default=0)) > most_tokens:
+                raise ValueError(f"a text has {longest} tokens, more than {most_tokens}: split it first")
             out = []
             for v in model(texts):
                 size = math.sqrt(sum(x * x for x in v)) or 1.0
@@ -70,20 +123,28 @@ def hashed_bag_of_words(dim: int = 64) -> Load:
     return load
 
 
-def reranker(load: Callable[[], Callable[[list[tuple[str, str]]], list[tuple[float, float]]]], most_tokens: int = 8192, batch: int = 16):
+def pair_text(query: str | None, document: str | None) -> str:
+    """What a reranker reads of a pair; its tokens are what counts against the limit."""
+    return f"<Query>: {query or ''}\n<Document>: {document or ''}"
+
+
+def reranker(
+    load: Callable[[], Callable[[list[tuple[str, str]]], list[tuple[float, float]]]], most_tokens: int = 8192, batch: int = 16,
+    tokenizer: Load = white_space_tokens, render: Callable[[str | None, str | None], str] = pair_text,
+):
     """(query, document) columns -> the probability of yes, from the model's (no, yes) logits.
 
-    ``load`` gives a function from pairs to logits; pairs of more than
-    ``most_tokens`` words are an error, never cut.
+    ``load`` gives a function from pairs to logits; pairs whose rendered text has
+    more than ``most_tokens`` tokens of ``tokenizer`` are an error, never cut.
     """
 
     @F.pandas_udf("double")
     def call(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = load()
+        model, tokenize = load(), tokenizer()
         for queries, docs in parts:
             pairs = list(zip(queries, docs))
-            if any(len((q or "").split()) + len((d or "").split()) > most_tokens for q, d in pairs):
-                raise ValueError(f"a pair has more than {most_tokens} tokens")
+            if (longest := max(map(len, tokenize([render(q, d) for q, d in pairs])), default=0)) > most_tokens:
+                raise ValueError(f"a pair has {longest} tokens, more than {most_tokens}")
             logits = [x for at in range(0, len(pairs), batch) for x in model(pairs[at : at + batch])]
             yield pd.Series([1.0 / (1.0 + math.exp(no - yes)) for no, yes in logits])
 
@@ -146,6 +207,16 @@ def echo_teacher() -> Callable[[list], list]:
     return run
 
 
+def digest_student() -> Callable[[list], list]:
+    """Stand-in model for exams: a letter that follows from the digest of the prompt, and a reason."""
+
+    def run(prompts: list) -> list:
+        letter = ["ABCD"[int(hashlib.sha256((p or "").encode()).hexdigest()[0], 16) % 4] for p in prompts]
+        return [f"答案：{x}\n\n解析：it is {x}. Answer: {x}" for x in letter]
+
+    return run
+
+
 def chat_client(base_url: str, model: str, key_variable: str, timeout: float = 120.0, **options: Any) -> Load:
     """A client of a chat-completion endpoint; cut-off and empty responses are errors. The key is read on the worker."""
 
