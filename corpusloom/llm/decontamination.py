@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import documents, input_bytes, small_batches, without
+from .common import documents, input_bytes, materialise, small_batches, without
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?…:;\n\"“”|]")
 _WORD, _CAPITAL, _NUMBER, _END, _UNIT = range(5)
@@ -176,6 +176,30 @@ def _exploded(df: DataFrame, key: str, text: str, rows_of: Callable[[str | None,
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(explode, schema)
 
 
+def _met(found: DataFrame, items: DataFrame, totals: DataFrame, share: float, run: int, common: int) -> DataFrame:
+    """The documents' windows joined to the items': k, p, slots, item, exact, h, item_p and item_slots.
+
+    A window that many items have, such as a benchmark's own boilerplate, would
+    join all of them to each document that has it. An item needs some number of
+    windows, so if fewer of its windows are common, a document must have one of
+    the others: those are joined first, and common windows only for the pairs that
+    this finds. Nothing is left out of these pairs.
+    """
+    often = items.groupBy("h", "exact").agg((F.countDistinct("item") > common).alias("common"))
+    rated = items.join(often, ["h", "exact"])
+    of_item = rated.groupBy("item", "exact").agg(F.countDistinct(F.when(F.col("common"), F.col("h"))).alias("c"))
+    need = F.least(F.ceil(share * F.col("item_windows")), F.lit(run))
+    of_item = of_item.join(totals, ["item", "exact"]).select("item", "exact", (F.col("c") < need).alias("has_rare"))
+    rated = rated.join(of_item, ["item", "exact"])
+    later = F.col("common") & F.col("has_rare")
+    columns = ("k", "p", "slots", "item", "exact", "h", "item_p", "item_slots")
+    first = found.join(rated.where(~later), ["h", "exact"]).select(*columns)
+    candidates = first.select(F.struct("k").alias("key"), "item", "exact").distinct()
+    wanted = candidates.join(rated.where(later).drop("common", "has_rare"), ["item", "exact"])
+    second = found.withColumn("key", F.struct("k")).join(wanted, ["key", "h", "exact"]).select(*columns)
+    return first.unionByName(second)
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -187,17 +211,19 @@ def find_contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
+    common: int = 64,
 ) -> DataFrame:
     """A row for each document and item that is in it: the ids, windows, item_windows and reparameterised.
 
     The counts are of template windows; of exact ones where only these find the item.
     The Bloom filter is at most 16 MB, however large the benchmark; only windows
-    that pass it are shuffled. Reads the documents once and the benchmark four
-    times at most.
+    that pass it are shuffled. Reads the documents once and the benchmark three
+    times. Windows of more than ``common`` items join no documents to items by
+    themselves, unless such windows alone would do for an item.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = _exploded(benchmark, item_col, item_text, lambda t, codes: _item_rows(t, width, literals, codes))
+    items, _ = materialise(_exploded(benchmark, item_col, item_text, lambda t, codes: _item_rows(t, width, literals, codes)), "dc-items")
 
     def hashes(pdf: pd.DataFrame) -> np.ndarray:
         codes = _Codes()
@@ -206,11 +232,11 @@ def find_contamination(
     bits = bloom.bits_for(input_bytes(benchmark, item_text))
     seen = bloom.filter_of(benchmark.select(F.col(item_text).alias("t")), hashes, bits)
     shared, widths = spark.sparkContext.broadcast(seen), [*_short_widths(benchmark, item_text, width), width]
-    found = _exploded(docs, id_col, text_col, lambda t, codes: _window_rows(t, widths, literals, codes, shared.value.has))
+    found, _ = materialise(_exploded(docs, id_col, text_col, lambda t, codes: _window_rows(t, widths, literals, codes, shared.value.has)), "dc-windows")
 
     items = items.select(F.col("k").alias("item"), "h", "exact", F.col("p").alias("item_p"), F.col("slots").alias("item_slots"))
     totals = items.groupBy("item", "exact").agg(F.countDistinct("h").alias("item_windows"))
-    pairs = found.join(items, ["h", "exact"])
+    pairs = _met(found, items, totals, share, run, common)
     changed = F.zip_with("item_slots", "slots", lambda a, b: F.when(a != "", F.struct(a.alias("a"), b.alias("b"))))
     pairs = pairs.select("k", "item", "exact", "h", (F.col("p") - F.col("item_p")).alias("shift"), F.filter(changed, lambda s: s.isNotNull()).alias("slots"))
     # of one alignment: at most as many windows as the item has

@@ -71,6 +71,23 @@ def test_ids_beyond_doubles_beside_nulls(spark):
     assert ids(lm_scores.score_documents(named)) == {f"x{BIG}", None, f"x{BIG + 1}", f"x{BIG + 2}"}
 
 
+@pytest.mark.parametrize("common", [2, 64])
+def test_common_windows_change_no_result(spark, common):
+    """Items that share boilerplate, items of boilerplate alone, equal items: the same pairs, however few items make a window common."""
+    rng = random.Random(4)
+    lead = "the following are multiple choice questions with answers about the history of the river"
+    items = {i: f"{lead} {' '.join(''.join(rng.choice('abcdefgh') for _ in range(6)) for _ in range(14))}" for i in range(12)}
+    items |= {20: lead, 21: lead, 22: f"{lead} and more", 23: items[0]}
+    texts = {i: f"Before it. {items[i]} after it" for i in (0, 3, 22)} | {50: f"So {lead}, it says", 51: " ".join(items[5].split()[8:]), None: items[7], 52: "nothing of the kind"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_contamination(docs, bench, common=common).collect()}
+    split = lambda t: t.replace(",", "").replace(".", "").lower().split()
+    windows = lambda t: {tuple(split(t)[i : i + 8]) for i in range(len(split(t)) - 7)}
+    want = {(d, i) for d, t in texts.items() for i, x in items.items() if 2 * len(windows(t) & windows(x)) >= len(windows(x)) or len(windows(t) & windows(x)) >= 13}
+    assert got == want and (0, 23) in got
+
+
 def test_decontamination_stage_keeps_clean_neighbours(spark, tmp_path):
     text = "The quick brown fox jumps over the lazy dog near the old stone bridge at noon"
     spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
