@@ -45,12 +45,18 @@ def materialise(df: DataFrame, name: str, rows: int | None = None, least: int =
     if rows is not None:
         df = df.coalesce(max(least, -(-rows // 50_000)))
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _tables[path] = spark
+    path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted like a table."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and read back from a written table."""
     return materialise(df, "cut")[0]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import parsing, prompts, vectors
 from .functions import text as T
-from .operators import corpus, dedup, generation, matching, rag, sampling, scoring, vector_search
+from .operators import corpus, dedup, generation, inference, lineage, matching, rag, sampling, scoring, vector_search
 from .plans import etl, providers
+from .sources import files, sinks
 from .streaming import ingest
 
 QUERIES: dict = {}
@@ -72,7 +73,18 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
 
 
-@query()
+_WORDS_SQL = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda y: y <> ''))"
+
+
+@query(rf"""
+with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace({_protected_sql()}, '([.!?…])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+    lambda x: replace(trim(x, E' \n\t\r'), '[DOT]', '.')), lambda x: x <> '') as s from documents),
+e as (select doc_id, list_transform(s, lambda x: {{'b': cast([] as varchar[]), 'o': x, 'n': {_WORDS_SQL.format('x')}}}) as e from s where len(s) > 0),
+r as (select doc_id, list_reduce(e, lambda a, x: case when a.n >= 10 then {{'b': list_append(a.b, a.o), 'o': x.o, 'n': x.n}}
+    else {{'b': a.b, 'o': a.o || ' ' || x.o, 'n': a.n + x.n}} end) as r from e),
+k as (select doc_id, list_filter(list_append(r.b, r.o), lambda x: regexp_matches(x, '^[A-Za-z]')) as k from r)
+select doc_id, unnest(range(len(k)))::int as block_index, unnest(k) as text from k
+""")
 def sentence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.split_by_sentence_block(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 10)
 
@@ -267,36 +279,63 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.require_unique(rag.chunk_ids(sections), "chunk_id").select("source_file", "pos", "section_id", "content", "chunk_id")
 
 
-@query()
+@query(r"""
+with recursive p(doc_id, t, a0, fits, k) as (
+  select doc_id, t, 0::bigint, case when line > 0 and cut < length(t) then half + line else cut end, 1 from (
+    select *, cut // 2 as half, coalesce(nullif(cut - cut // 2 - instr(reverse(substr(t, cut // 2 + 1, cut - cut // 2)), chr(10)) + 1, cut - cut // 2 + 1), 0) as line from (
+      select doc_id, text as t, length(regexp_extract(text, '^\s*(?:\S+\s+){0,349}(?:\S+\s*)?')) as cut from documents where text is not null))
+  union all
+  select doc_id, t, a0, case when line > 0 and cut < length(t) then half + line else cut end, k from (
+    select *, coalesce(nullif(cut - half - instr(reverse(substr(t, half + 1, cut - half)), chr(10)) + 1, cut - half + 1), 0) as line from (
+      select *, a0 + (cut - a0) // 2 as half from (
+        select doc_id, t, a0, k, a0 + length(regexp_extract(substr(t, a0 + 1), '^\s*(?:\S+\s+){0,349}(?:\S+\s*)?')) as cut from (
+          select doc_id, t, greatest(a0 + 1, fits - least(200, (fits - a0) // 2)) as a0, k + 1 as k from p where fits < length(t)))))
+), n as (select *, max(k) over (partition by doc_id) as parts from p)
+select case when parts > 1 then 'd.' || doc_id || '::part' || k else 'd.' || doc_id end as chunk_id, substr(t, a0 + 1, fits - a0) as content,
+  case when parts > 1 then 'd.' || doc_id end as parent_chunk_id, case when parts > 1 then k end as part_index,
+  case when parts > 1 then a0::int end as char_start, case when parts > 1 then fits::int end as char_end from n
+""")
 def split_long_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d."), "doc_id").alias("chunk_id"), F.col("text").alias("content"))
     return rag.split_long_sections(docs, plan=rag.SplitPlan(most_tokens=350))
 
 
+#: How a response is made of a turn's text, whether it has one right letter, and the gold answer; dealt out by conv_id + turn.
 _ANSWERS = [
-    (1, "答案：B|A|B\n解析：because", False, "AB"), (2, "答案：B|A|B\n解析：because", True, "B"), (3, "b", True, "B"), (4, "I think A is right", True, "A"),
-    (5, "Final answer: **C", True, "C"), (6, "Answer: A\nAnswer: D", True, "D"), (7, "Answer: Apple", True, "A"), (8, "A, C", False, "CA"), (9, "Answer: [A、C]", False, ""),
+    ("{}\n答案：B|A|B\n解析：{}", False, "AB"), ("{}\n答案：B|A|B\n解析：because", True, "B"), ("b", True, "B"), ("I think {} is right", True, "A"),
+    ("{} Final answer: **C", True, "C"), ("Answer: A {}\nAnswer: D", True, "D"), ("{} Answer: Apple", True, "A"), ("A, C", False, "CA"), ("Answer: [A、C] {}", False, ""),
 ]
-_ANSWERS_SQL = "(values " + ", ".join(f"({i}, '{r}', {str(s).lower()}, '{g}')" for i, r, s, g in _ANSWERS) + ") as t(id, response, single, gold)"
+_ANSWERS_SQL = "(select conv_id, turn, (conv_id + turn) % 9 as k, text from conversations)"
+_CASE_SQL = lambda pick: "case k " + " ".join(f"when {i} then {pick(row)}" for i, row in enumerate(_ANSWERS)) + " end"
+_ANSWERS_SQL = (
+    "(select conv_id, turn, " + _CASE_SQL(lambda r: f"replace('{r[0]}', '{{}}', coalesce(text, ''))") + " as response, "
+    + _CASE_SQL(lambda r: str(r[1]).lower()) + " as single, " + _CASE_SQL(lambda r: f"'{r[2]}'") + f" as gold from {_ANSWERS_SQL})"
+)
 _ANSWER_SQL = rf"""
 with raw as (select * from {_ANSWERS_SQL}),
 m as (select *, regexp_extract_all(response || ' ', '(?i)(?:最终答案|正确答案|答案|final answer|answer)\s*[:：]\s*\**\s*\[?\s*([A-D](?:[\s|、,，]*[A-D])*)(?:[^A-Za-z])', 1) as hits from raw),
 v as (select *, case when len(hits) > 0 then hits[-1] when regexp_matches(response, '(?i)^\s*[A-D](?:[\s|、,，]*[A-D])*\s*$') then response end as chosen from m),
 l as (select *, list_sort(list_distinct(regexp_extract_all(upper(chosen), '[A-D]'))) as letters from v),
-a as (select id, single, gold, case when chosen is null or (single and len(letters) <> 1) then 'NO_ANSWER_FOUND' else array_to_string(letters, '|') end as model_answer from l),
+a as (select conv_id, turn, single, gold, case when chosen is null or (single and len(letters) <> 1) then 'NO_ANSWER_FOUND' else array_to_string(letters, '|') end as model_answer from l),
 s as (select *, array_to_string(list_sort(list_distinct(regexp_extract_all(gold, '[A-D]'))), '|') as g from a),
-scored as (select id, model_answer, g <> '' and g = model_answer as is_correct from s)
+scored as (select conv_id, turn, model_answer, g <> '' and g = model_answer as is_correct from s)
 """
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_ANSWERS, "id int, raw_response string, single boolean, correct_answer string").withColumn("prompt", F.lit(""))
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response for each turn of the conversations."""
+    k = (F.col("conv_id") + F.col("turn")) % 9
+    pick = lambda i, f: F.coalesce(*[F.when(k == n, f(row[i])) for n, row in enumerate(_ANSWERS)])
+    made = lambda template: F.replace(F.lit(template), F.lit("{}"), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", pick(0, made).alias("raw_response"), pick(1, F.lit).alias("single"), pick(2, F.lit).alias("correct_answer"), F.lit("").alias("prompt")
+    )
 
 
-@query(_ANSWER_SQL + "select id, model_answer, is_correct from scored")
+@query(_ANSWER_SQL + "select conv_id, turn, model_answer, is_correct from scored")
 def extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _answers(spark).withColumn("question_type", F.when(F.col("single"), "Select one").otherwise("多选"))
-    return scoring.score_exam(rows).select("id", "model_answer", "is_correct")
+    rows = _answers(spark, sf_dir).withColumn("question_type", F.when(F.col("single"), "Select one").otherwise("多选"))
+    return scoring.score_exam(rows).select("conv_id", "turn", "model_answer", "is_correct")
 
 
 @query(_ANSWER_SQL + "select count(*) as total_questions, sum(is_correct::int)::bigint as correct_answers, avg(is_correct::int) as accuracy from scored")
@@ -305,11 +344,11 @@ def exam_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-with raw as (select * from {_ANSWERS_SQL}), h as (select id, regexp_extract_all(response || ' ', '(?i)(?:Answer|答案)\s*[:：]?\s*\(?\s*([A-D])[^A-Za-z0-9_]', 1) as hits, gold from raw)
-select id, upper(hits[-1]) as predicted, case when gold <> '' then coalesce(upper(hits[-1]) = upper(gold), false) end as is_correct from h
+with raw as (select * from {_ANSWERS_SQL}), h as (select conv_id, turn, regexp_extract_all(response || ' ', '(?i)(?:Answer|答案)\s*[:：]?\s*\(?\s*([A-D])[^A-Za-z0-9_]', 1) as hits, gold from raw)
+select conv_id, turn, upper(hits[-1]) as predicted, case when gold <> '' then coalesce(upper(hits[-1]) = upper(gold), false) end as is_correct from h
 """)
 def extract_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_choice(_answers(spark), "raw_response").select("id", "predicted", "is_correct")
+    return scoring.score_choice(_answers(spark, sf_dir), "raw_response").select("conv_id", "turn", "predicted", "is_correct")
 
 
 @query(r"""
@@ -437,7 +476,7 @@ def amplify_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, prompts.EXAMPLE_TYPES)), (F.col("conv_id") % 4 + 1).cast("int")).alias("kind"), "instruction", "input", "output",
     )
     fenced = providers.generator(providers.echo_teacher)
-    return generation.amplify(pool.select("cat", "sub", "kind").distinct(), pool, fenced, per_cell=3)
+    return generation.amplify(pool.select("cat", "sub", "kind").distinct(), pool, fenced)
 
 
 @query()
@@ -460,3 +499,79 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variant_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.try_parse_json("props")
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), F.try_variant_get(v, "$.missing", "string").alias("missing"))
+
+
+# ---------------------------------------------------------------- written and read back
+
+
+@query("select text from documents where text is not null")
+def source_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of Parquet files whose text column is found by its name."""
+    path = lineage.folder(spark, "io")
+    table(spark, sf_dir, "documents").select(F.col("text").alias("Full Text"), F.lit("x").alias("Abstract"), "doc_id").where("text is not null").write.parquet(f"{path}/books.parquet")
+    return files.parquet_texts(spark, path).select("text")
+
+
+@query("select text from documents where text is not null union all select text from benchmark")
+def source_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of two sinks, read as one folder."""
+    path = lineage.folder(spark, "io")
+    sinks.write_new(table(spark, sf_dir, "documents").select("text").where("text is not null"), f"{path}/a.jsonl")
+    sinks.write_new(table(spark, sf_dir, "benchmark").select("item_id", "text"), f"{path}/b.jsonl", inputs=[sf_dir])
+    return files.jsonl_texts(spark, path).select("text")
+
+
+@query("select text, item_id from benchmark")
+def source_web_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.write_nonempty(table(spark, sf_dir, "benchmark"), f"{lineage.folder(spark, 'io')}.jsonl")
+    return files.web_corpus(spark, path).select("text", "item_id")
+
+
+@query("select role as major, 't' || (turn % 3) as sub, count(*) as n from conversations where text is not null group by all")
+def sink_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = lineage.folder(spark, "io")
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("role").alias("major"), F.concat(F.lit("t"), F.col("turn") % 3).alias("sub"), "text")
+    sinks.write_by_category(rows, path, ("major", "sub"))
+    return sampling.counts(spark.read.json(path), "major", "sub")
+
+
+@query("select doc_id, toxic from labels where doc_id % 2 = 1 union all select doc_id, toxic from labels where doc_id % 2 = 0")
+def sink_append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a resumable sink; the second makes what the first has not made."""
+    path = lineage.folder(spark, "io")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in labels.schema)
+    sinks.append_results(labels.where("doc_id % 2 = 1"), path)
+    sinks.append_results(generation.pending(labels, files.prior_results(spark, path, schema), ["doc_id"]), path)
+    return files.prior_results(spark, path, schema)
+
+
+@query("select 'd' || doc_id as stem, text as full_text from documents where text is not null and length(text) > 0 and doc_id in (select doc_id from labels where toxic = 1)")
+def sink_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each toxic document, read as a folder of texts."""
+    path = lineage.folder(spark, "io")
+    toxic = table(spark, sf_dir, "documents").where("length(text) > 0").join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    sinks.write_text_files(toxic.select(F.concat(F.lit("d"), "doc_id").alias("stem"), "text"), "stem", "text", path)
+    return files.text_folder(spark, path).select("stem", F.col("content").alias("full_text"))
+
+
+@query(r"""
+with i as (select item_id, 1 + item_id % 4 as k, sha256('单选题：' || text || chr(10) || 'A: x' || chr(10) || 'B: y' || chr(10) || '请以“答案：”开头给出选项字母，再以“解析：”说明。') as h from benchmark)
+select item_id as pos, 'ABCD'[1 + ('0x' || h[1])::int % 4] as model_answer, 'ABCD'[1 + ('0x' || h[1])::int % 4] = 'ABCD'[k] as is_correct from i
+""")
+def exam_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as an exam question for the stand-in model."""
+    options, gold = F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.lit("y")), F.substring(F.lit("ABCD"), (F.col("item_id") % 4 + 1).cast("int"), F.lit(1))
+    fields = F.struct(F.col("text").alias("question_content"), F.lit("Select one").alias("question_type"), options.alias("options"), gold.alias("correct_answer"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.parse_json(F.to_json(fields)).alias("record"))
+    return inference.exam_run(items, providers.generator(providers.digest_student)).select("pos", "model_answer", "is_correct")
+
+
+@query(r"""
+with i as (select item_id, 'Question:' || chr(10) || text as p from benchmark), h as (select *, 'ABCD'[1 + ('0x' || sha256(p)[1])::int % 4] as x from i)
+select item_id, x as extracted_answer, len(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')) as input_tokens, 6 as output_tokens from h
+""")
+def rag_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Question:\n"), "text").alias("rag_prompt"))
+    out = inference.rag_run(rows, providers.generator(providers.digest_student), providers.token_lengths(providers.white_space_tokens), "stand-in")
+    return out.select("item_id", "extracted_answer", "input_tokens", F.col("output_tokens").cast("int").alias("output_tokens"))
