@@ -187,7 +187,7 @@ def predict_language(spark: SparkSession, model: LanguageModel, text: Column) ->
                 score[known] = 1.0 / odds.sum(axis=1)
             yield pd.DataFrame({"lang_pred": label, "score": score})
 
-    return predict(text)
+    return predict.asNondeterministic()(text)  # so that a filter of the result doesn't compute it a second time
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
