@@ -15,7 +15,9 @@ Relations, with n-grams as 64-bit hashes:
 * count tables: n-grams summed by hash, where they lie. The counts that a score
   can use (above one of single words, of at least ``min_count`` of others) are
   joined to the n-grams by hash, which are read a second time, not shuffled again;
-* counted n-grams go to their block, where each document's words are summed.
+* counted n-grams go back to their block, where each document's words are summed.
+  A block knows its n-grams, so of those that lie in one partition only the counts
+  travel, in the order of the hashes; their number and a checksum are compared.
 
 Nothing is gathered: blocks, rows and partitions follow the input, and all
 groups are bounded by a block. Blocks and n-grams are shuffled once, and counted
@@ -45,6 +47,8 @@ _BLOCK_BYTES = 12 << 20
 _PART_BYTES, _MOST_PARTS = 8 << 20, 1 << 16  # of input for each partition of n-grams; larger ones are sorted on disk
 _CHUNK = 1 << 18  # n-gram rows that a task hands on at once
 _ORDER_BITS, _TIMES_BITS = 3, 20  # of a hash, and of a block's number
+_AT_ONCE = 1 << 20  # counted n-grams that a task holds
+_COUNTS = "block long, part int, turn int, n long, checksum long, counts binary"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -153,22 +157,88 @@ def _explode(order: int):
     return explode
 
 
-def _summed(order: int, min_count: int, alpha: float):
+def _partition(h: np.ndarray, parts: int) -> np.ndarray:
+    """Where Spark's hash partitioning (32-bit Murmur3, seed 42) puts rows with these long keys."""
+    rotl = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    h1 = np.full(len(h), 42, np.uint32)
+    for half in (h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)):
+        h1 = rotl(h1 ^ rotl(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h1 ^= np.uint32(8)
+    h1 = (h1 ^ (h1 >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h1 = (h1 ^ (h1 >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h1 ^ (h1 >> np.uint32(16))).view(np.int32) % parts
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte a count; those of 255 and more stand behind, in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _unpack_counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
+    return out
+
+
+def _hand_back(parts: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counted n-grams (h, block, total) of one partition, in the order of h, as rows of _COUNTS."""
+        held, size, turn, last = [], 0, 0, {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, turn
+            h, block, total = (np.concatenate([x[k] for x in held]) for k in range(3))
+            part = _partition(h.view(np.uint64), parts)
+            if (part != part[0]).any() or (h[1:] < h[:-1]).any():
+                raise ValueError("n-grams are not partitioned and ordered by their hash")
+            by = np.argsort(block, kind="stable")
+            h, block, total = h[by], block[by], total[by]
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            rows = []
+            for start, stop in zip(edges[:-1], edges[1:]):
+                mine, b = h[start:stop], int(block[start])
+                first = np.concatenate([[mine[0] != last.get(b)], mine[1:] != mine[:-1]])  # several rows of one n-gram
+                last[b] = mine[-1]
+                if first.any():
+                    rows.append((b, int(part[0]), turn, int(first.sum()), int(np.bitwise_xor.reduce(mine[first])), _pack_counts(total[start:stop][first])))
+            held, size, turn = [], 0, turn + 1
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["block", "part", "turn", "n", "checksum", "counts"])
+
+        for batch in batches:
+            if len(batch):
+                held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "block", "total")])
+                size += len(batch)
+            if size >= _AT_ONCE:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return pack
+
+
+def _summed(order: int, min_count: int, alpha: float, parts: int):
     def score(blocks: pa.Table, counted: pa.Table) -> pa.Table:
         """i, n_words, the sum of the logarithms of words without N, and how many words were scored by c(word) / N."""
         block = {name: blocks.column(name)[0].as_py() for name in ("n_words", "lengths", "words", "vocabulary")}
         ids = blocks.column("ids").chunk(0).flatten()
         lengths, hashes, valid = _ngrams(block, order)
-        h, total = counted.column("h").to_numpy().view(np.uint64), counted.column("total").to_numpy()
-        by = np.argsort(h, kind="stable")
-        keys, totals = h[by], total[by]
+        keys = [_with_order(own, n) for n, own in enumerate(hashes, 1)]
+        distinct, place = np.unique(np.concatenate([k[ok] for k, ok in zip(keys, valid)]).view(np.int64), return_inverse=True)
+        rows = sorted(counted.to_pylist(), key=lambda r: (r["part"], r["turn"]))
+        totals = np.concatenate([np.zeros(0, np.int64), *[_unpack_counts(r["counts"], r["n"]) for r in rows]])
+        found = np.bitwise_xor.reduce(np.array([r["checksum"] for r in rows], np.int64))
+        if len(totals) != len(distinct) or found != np.bitwise_xor.reduce(distinct):
+            raise ValueError("a block's n-grams did not all come back")
+        counts = np.empty(len(distinct), np.int64)
+        counts[np.argsort(_partition(distinct.view(np.uint64), parts), kind="stable")] = totals
+        each = np.split(counts[place], np.cumsum([int(ok.sum()) for ok in valid])[:-1])
         logs = singles = below = None
-        for n, (own, ok) in enumerate(zip(hashes, valid), 1):
-            own = _with_order(own, n)
-            place = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-            at = np.where(ok & (keys[place] == own), totals[place], 0) if len(keys) else np.zeros(len(own), np.int64)
+        for n, (ok, have) in enumerate(zip(valid, each), 1):
+            at = np.zeros(len(ok), np.int64)
+            at[ok] = have
             if n == 1:
-                logs, singles = np.log(np.maximum(at, 1)), np.ones(len(own))
+                logs, singles = np.log(np.maximum(at, 1)), np.ones(len(at))
             else:
                 context = np.concatenate([[1], below[:-1]])[: len(at)]
                 seen = ok & (at >= min_count)
@@ -195,8 +265,9 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, alpha:
     tables = ngrams.groupBy("h").agg(F.sum(F.col("v").bitwiseAND(F.lit((1 << _TIMES_BITS) - 1))).alias("total"))
     single = F.col("h").bitwiseAND(F.lit((1 << _ORDER_BITS) - 1)) == 0
     tables = tables.where(F.col("total") >= F.when(single, 2).otherwise(min_count))  # a word without a row was counted once
-    counted = ngrams.join(tables, "h").select(F.shiftright("v", _TIMES_BITS).alias("block"), "h", "total")
-    scored = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_summed(order, min_count, alpha), f"i {id_type}, n_words long, logs double, singles double")
+    counted = ngrams.join(tables.hint("merge"), "h", "left").select("h", F.shiftright("v", _TIMES_BITS).alias("block"), F.coalesce("total", F.lit(0)).alias("total"))
+    counted = counted.sortWithinPartitions("h").mapInArrow(_hand_back(parts), _COUNTS)  # the join's own order: no second sort
+    scored = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_summed(order, min_count, alpha, parts), f"i {id_type}, n_words long, logs double, singles double")
     summed, _ = materialise(scored, "lm-sums")
     total = summed.agg(F.sum("n_words")).first()[0] or 1
     mean = (F.col("logs") - F.col("singles") * F.log(F.lit(float(total)))) / F.col("n_words")
