@@ -261,7 +261,8 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, alpha:
     if not 1 <= order <= 1 << _ORDER_BITS:
         raise ValueError(f"order must be within 1 and {1 << _ORDER_BITS}")
     blocks = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(_blocks, _BLOCK.format(id_type)).repartition(parts, "block")
-    ngrams = blocks.mapInArrow(_explode(order), "h long, v long").repartition(parts, "h")
+    # the filter drops nothing: with it both uses have the same plan below the shuffle, and share it
+    ngrams = blocks.mapInArrow(_explode(order), "h long, v long").where("h is not null").repartition(parts, "h")
     tables = ngrams.groupBy("h").agg(F.sum(F.col("v").bitwiseAND(F.lit((1 << _TIMES_BITS) - 1))).alias("total"))
     single = F.col("h").bitwiseAND(F.lit((1 << _ORDER_BITS) - 1)) == 0
     tables = tables.where(F.col("total") >= F.when(single, 2).otherwise(min_count))  # a word without a row was counted once
