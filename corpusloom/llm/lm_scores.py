@@ -43,11 +43,11 @@ from pyspark.sql import functions as F
 
 from .common import documents, input_bytes, materialise, small_batches
 
-_BLOCK_BYTES = 12 << 20
+_BLOCK_BYTES = 7 << 20
 _PART_BYTES, _MOST_PARTS = 8 << 20, 1 << 16  # of input for each partition of n-grams; larger ones are sorted on disk
 _CHUNK = 1 << 18  # n-gram rows that a task hands on at once
 _ORDER_BITS, _TIMES_BITS = 3, 20  # of a hash, and of a block's number
-_AT_ONCE = 1 << 20  # counted n-grams that a task holds
+_AT_ONCE = 1 << 18  # counted n-grams that a task holds
 _COUNTS = "block long, part int, turn int, n long, checksum long, counts binary"
 
 
@@ -224,7 +224,9 @@ def _summed(order: int, min_count: int, alpha: float, parts: int):
         ids = blocks.column("ids").chunk(0).flatten()
         lengths, hashes, valid = _ngrams(block, order)
         keys = [_with_order(own, n) for n, own in enumerate(hashes, 1)]
+        del hashes
         distinct, place = np.unique(np.concatenate([k[ok] for k, ok in zip(keys, valid)]).view(np.int64), return_inverse=True)
+        del keys
         rows = sorted(counted.to_pylist(), key=lambda r: (r["part"], r["turn"]))
         totals = np.concatenate([np.zeros(0, np.int64), *[_unpack_counts(r["counts"], r["n"]) for r in rows]])
         found = np.bitwise_xor.reduce(np.array([r["checksum"] for r in rows], np.int64))
