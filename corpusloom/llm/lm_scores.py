@@ -48,7 +48,7 @@ _PART_BYTES, _MOST_PARTS = 8 << 20, 1 << 16  # of input for each partition of n-
 _CHUNK = 1 << 18  # n-gram rows that a task hands on at once
 _ORDER_BITS, _TIMES_BITS = 3, 20  # of a hash, and of a block's number
 _AT_ONCE = 1 << 18  # counted n-grams that a task holds
-_COUNTS = "block long, part int, turn int, n long, checksum long, counts binary"
+_COUNTS = "block long, part int, turn int, n long, checksum long, counts binary, hashes binary"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -183,27 +183,33 @@ def _unpack_counts(data: bytes, n: int) -> np.ndarray:
 def _hand_back(parts: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counted n-grams (h, block, total) of one partition, in the order of h, as rows of _COUNTS."""
-        held, size, turn, last = [], 0, 0, {}
+        held, size, turn, last, reached = [], 0, 0, {}, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, turn
+            nonlocal held, size, turn, reached
             h, block, total = (np.concatenate([x[k] for x in held]) for k in range(3))
             part = _partition(h.view(np.uint64), parts)
-            if (part != part[0]).any() or (h[1:] < h[:-1]).any():
-                raise ValueError("n-grams are not partitioned and ordered by their hash")
+            # where a plan deals or orders rows otherwise, the hashes travel with the counts
+            plain = (part == part[0]).all() and (h[1:] >= h[:-1]).all() and (reached is None or reached <= (part[0], h[0]))
+            reached = (part[-1], h[-1]) if plain else reached
             by = np.argsort(block, kind="stable")
             h, block, total = h[by], block[by], total[by]
             edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
             rows = []
             for start, stop in zip(edges[:-1], edges[1:]):
                 mine, b = h[start:stop], int(block[start])
-                first = np.concatenate([[mine[0] != last.get(b)], mine[1:] != mine[:-1]])  # several rows of one n-gram
-                last[b] = mine[-1]
+                if plain:
+                    first = np.concatenate([[mine[0] != last.get(b)], mine[1:] != mine[:-1]])  # several rows of one n-gram
+                    last[b] = mine[-1]
+                else:
+                    first = np.zeros(len(mine), bool)
+                    first[np.unique(mine, return_index=True)[1]] = True
                 if first.any():
-                    rows.append((b, int(part[0]), turn, int(first.sum()), int(np.bitwise_xor.reduce(mine[first])), _pack_counts(total[start:stop][first])))
+                    some = mine[first]
+                    rows.append((b, int(part[0]), turn, len(some), int(np.bitwise_xor.reduce(some)), _pack_counts(total[start:stop][first]), None if plain else some.tobytes()))
             held, size, turn = [], 0, turn + 1
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["block", "part", "turn", "n", "checksum", "counts"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["block", "part", "turn", "n", "checksum", "counts", "hashes"])
 
         for batch in batches:
             if len(batch):
@@ -228,12 +234,18 @@ def _summed(order: int, min_count: int, alpha: float, parts: int):
         distinct, place = np.unique(np.concatenate([k[ok] for k, ok in zip(keys, valid)]).view(np.int64), return_inverse=True)
         del keys
         rows = sorted(counted.to_pylist(), key=lambda r: (r["part"], r["turn"]))
-        totals = np.concatenate([np.zeros(0, np.int64), *[_unpack_counts(r["counts"], r["n"]) for r in rows]])
-        found = np.bitwise_xor.reduce(np.array([r["checksum"] for r in rows], np.int64))
-        if len(totals) != len(distinct) or found != np.bitwise_xor.reduce(distinct):
+        counts, named = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
+        for r in rows:
+            if r["hashes"] is not None:
+                at = np.searchsorted(distinct, np.frombuffer(r["hashes"], np.int64))
+                counts[at], named[at] = _unpack_counts(r["counts"], r["n"]), True
+        plain = [r for r in rows if r["hashes"] is None]
+        totals = np.concatenate([np.zeros(0, np.int64), *[_unpack_counts(r["counts"], r["n"]) for r in plain]])
+        found = np.bitwise_xor.reduce(np.array([r["checksum"] for r in plain], np.int64))
+        if len(totals) != np.count_nonzero(~named) or found != np.bitwise_xor.reduce(distinct[~named]):
             raise ValueError("a block's n-grams did not all come back")
-        counts = np.empty(len(distinct), np.int64)
-        counts[np.argsort(_partition(distinct.view(np.uint64), parts), kind="stable")] = totals
+        by = np.argsort(_partition(distinct.view(np.uint64), parts), kind="stable")
+        counts[by[~named[by]]] = totals
         each = np.split(counts[place], np.cumsum([int(ok.sum()) for ok in valid])[:-1])
         logs = singles = below = None
         for n, (ok, have) in enumerate(zip(valid, each), 1):

@@ -221,6 +221,30 @@ def test_language_scores_in_blocks_are_the_same(spark, monkeypatch):
     assert np.allclose(language_id.score_texts(texts, model), want, atol=1e-4)
 
 
+@pytest.mark.parametrize("wrong", [False, True])
+def test_lm_counts_come_back_however_rows_are_dealt(spark, monkeypatch, wrong):
+    """Small batches; and hashes that are not where the block thinks, so they travel themselves."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(300)))) for i in range(60)]
+    monkeypatch.setattr(lm_scores, "_AT_ONCE", 500)
+    monkeypatch.setattr(lm_scores, "_BLOCK_BYTES", 9000)
+    if wrong:
+        monkeypatch.setattr(lm_scores, "_partition", lambda h, parts: (h % np.uint64(3)).astype(np.int32))
+    uni, bi = {}, {}
+    for _, t in docs:
+        ws = t.split()
+        for k, w in enumerate(ws):
+            uni[w] = uni.get(w, 0) + 1
+            if k:
+                bi[ws[k - 1], w] = bi.get((ws[k - 1], w), 0) + 1
+    total = sum(uni.values())
+    got = {r["doc_id"]: r["score"] for r in lm_scores.score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    for i, t in docs:
+        ws = t.split()
+        logs = [np.log(bi[ws[k - 1], w] / uni[ws[k - 1]]) if k and bi[ws[k - 1], w] >= 2 else (np.log(0.4) if k else 0) + np.log(uni[w] / total) for k, w in enumerate(ws)]
+        assert got[i] == (pytest.approx(np.mean(logs), abs=1e-9) if ws else None)
+
+
 def test_stray_labels_are_bounded(spark):
     rows = [(i, "the cat and the dog " * 5, "en") for i in range(20)] + [(100 + i, "un chat", f"stray{i}") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
