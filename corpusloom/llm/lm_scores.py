@@ -183,15 +183,17 @@ def _unpack_counts(data: bytes, n: int) -> np.ndarray:
 def _hand_back(parts: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counted n-grams (h, block, total) of one partition, in the order of h, as rows of _COUNTS."""
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         held, size, turn, last, reached = [], 0, 0, {}, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size, turn, reached
             h, block, total = (np.concatenate([x[k] for x in held]) for k in range(3))
-            part = _partition(h.view(np.uint64), parts)
-            # where a plan deals or orders rows otherwise, the hashes travel with the counts
-            plain = (part == part[0]).all() and (h[1:] >= h[:-1]).all() and (reached is None or reached <= (part[0], h[0]))
-            reached = (part[-1], h[-1]) if plain else reached
+            # the hashes travel with the counts of rows that a plan deals or orders otherwise, as where it splits a partition
+            plain = (_partition(h.view(np.uint64), parts) == task).all() and (h[1:] >= h[:-1]).all() and (reached is None or reached <= h[0])
+            reached = h[-1] if plain else reached
             by = np.argsort(block, kind="stable")
             h, block, total = h[by], block[by], total[by]
             edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
@@ -206,7 +208,7 @@ def _hand_back(parts: int):
                     first[np.unique(mine, return_index=True)[1]] = True
                 if first.any():
                     some = mine[first]
-                    rows.append((b, int(part[0]), turn, len(some), int(np.bitwise_xor.reduce(some)), _pack_counts(total[start:stop][first]), None if plain else some.tobytes()))
+                    rows.append((b, task, turn, len(some), int(np.bitwise_xor.reduce(some)), _pack_counts(total[start:stop][first]), None if plain else some.tobytes()))
             held, size, turn = [], 0, turn + 1
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["block", "part", "turn", "n", "checksum", "counts", "hashes"])
@@ -266,6 +268,13 @@ def _summed(order: int, min_count: int, alpha: float, parts: int):
     return score
 
 
+def _scored(blocks: DataFrame, counted: DataFrame, order: int, min_count: int, alpha: float, parts: int) -> DataFrame:
+    """The rows of :func:`_summed`, from counted n-grams (h, block, total) in any partitions and order."""
+    back = counted.mapInArrow(_hand_back(parts), _COUNTS).groupBy("block")
+    id_type = blocks.schema["ids"].dataType.elementType.simpleString()
+    return blocks.groupBy("block").cogroup(back).applyInArrow(_summed(order, min_count, alpha, parts), f"i {id_type}, n_words long, logs double, singles double")
+
+
 def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, n_words and score."""
     spark = docs.sparkSession
@@ -281,9 +290,8 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, alpha:
     single = F.col("h").bitwiseAND(F.lit((1 << _ORDER_BITS) - 1)) == 0
     tables = tables.where(F.col("total") >= F.when(single, 2).otherwise(min_count))  # a word without a row was counted once
     counted = ngrams.join(tables.hint("merge"), "h", "left").select("h", F.shiftright("v", _TIMES_BITS).alias("block"), F.coalesce("total", F.lit(0)).alias("total"))
-    counted = counted.sortWithinPartitions("h").mapInArrow(_hand_back(parts), _COUNTS)  # the join's own order: no second sort
-    scored = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_summed(order, min_count, alpha, parts), f"i {id_type}, n_words long, logs double, singles double")
-    summed, _ = materialise(scored, "lm-sums")
+    counted = counted.sortWithinPartitions("h")  # the join's own order: no second sort
+    summed, _ = materialise(_scored(blocks, counted, order, min_count, alpha, parts), "lm-sums")
     total = summed.agg(F.sum("n_words")).first()[0] or 1
     mean = (F.col("logs") - F.col("singles") * F.log(F.lit(float(total)))) / F.col("n_words")
     return summed.select(F.col("i").alias(id_col), "n_words", F.when(F.col("n_words") > 0, mean).alias("score"))
