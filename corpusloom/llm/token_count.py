@@ -97,16 +97,32 @@ class _PieceCounts(dict):
         return n
 
 
+def _require_supported(spec: dict, path: str) -> None:
+    """Only byte-level BPE files whose rules the counter follows; another one would be counted wrongly without a word."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    found = {
+        "model": model.get("type", "BPE") != "BPE",
+        "normalizer": spec.get("normalizer") is not None,
+        "pre-tokenizer": cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") is not False or cut.get("use_regex") is False,
+        "special strings": any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not t["content"] for t in spec["added_tokens"]),
+    }
+    found |= {k: bool(model.get(k)) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")}
+    if any(found.values()):
+        raise ValueError(f"{path}: not supported: {', '.join(k for k, wrong in found.items() if wrong)}")
+
+
 class TokenCounter:
-    """Counts tokens as the library does for the vocabulary file at ``path``."""
+    """Counts tokens as the library does for the byte-level BPE file at ``path``; files with other rules are refused."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as handle:
             spec = json.load(handle)
+        _require_supported(spec, path)
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"])
         self.pieces = _PieceCounts(PairMerger({p: i for i, p in enumerate(pairs)}))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.sign = "<" if all("<" in s for s in special) else ""  # in every special string: a quick test of a text
         self.splitter = None
 
     def _cut(self, text: str) -> Iterable[str]:
@@ -123,7 +139,7 @@ class TokenCounter:
             return 0
         if len(self.pieces) > _CACHE_LIMIT:
             self.pieces.clear()
-        parts = self.special.split(text) if self.special is not None and "<" in text else [text]
+        parts = self.special.split(text) if self.special is not None and self.sign in text else [text]
         of = self.pieces.__getitem__
         return len(parts) - 1 + sum(sum(map(of, self._cut(p))) for p in parts if p)
 

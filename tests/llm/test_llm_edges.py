@@ -1,5 +1,6 @@
 """Cases in which an operator once gave, or could give, a wrong result."""
 
+import json
 import os
 import random
 import zlib
@@ -221,15 +222,22 @@ def test_language_scores_in_blocks_are_the_same(spark, monkeypatch):
     assert np.allclose(language_id.score_texts(texts, model), want, atol=1e-4)
 
 
-@pytest.mark.parametrize("wrong", [False, True])
-def test_lm_counts_come_back_however_rows_are_dealt(spark, monkeypatch, wrong):
+@pytest.mark.parametrize("dealt", ["as planned", "elsewhere", "split", "at random", "to one"])
+def test_lm_counts_come_back_however_rows_are_dealt(spark, monkeypatch, dealt):
     """Small batches; and hashes that are not where the block thinks, so they travel themselves."""
     rng = random.Random(6)
     docs = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(300)))) for i in range(60)]
     monkeypatch.setattr(lm_scores, "_AT_ONCE", 500)
     monkeypatch.setattr(lm_scores, "_BLOCK_BYTES", 9000)
-    if wrong:
+    if dealt == "elsewhere":
         monkeypatch.setattr(lm_scores, "_partition", lambda h, parts: (h % np.uint64(3)).astype(np.int32))
+    scored, odd = lm_scores._scored, F.col("h").bitwiseAND(8) == 0
+    deal = {
+        "split": lambda rows: rows.where(odd).unionAll(rows.where(~odd)),  # two sorted tasks for each partition
+        "at random": lambda rows: rows.repartition(7),
+        "to one": lambda rows: rows.coalesce(1),
+    }.get(dealt, lambda rows: rows)
+    monkeypatch.setattr(lm_scores, "_scored", lambda blocks, counted, *more: scored(blocks, deal(counted), *more))
     uni, bi = {}, {}
     for _, t in docs:
         ws = t.split()
@@ -258,3 +266,19 @@ def test_language_stage_uses_its_prediction(spark):
     kept = {r["doc_id"]: r["lang"] for r in language_id.stage(spark, docs, "").collect()}
     assert kept[90] == "en" and 91 not in kept and len(kept) == 21
     assert set(r["lang"] for r in language_id.stage(spark, docs, "", ["en"]).collect()) == {"en"}
+
+
+def test_token_counts_refuse_other_rules(tmp_path):
+    with open(token_count.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as handle:
+        spec = json.load(handle)
+    changes = [
+        {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}},
+        {"model": spec["model"] | {"end_of_word_suffix": "</w>"}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]},
+    ]
+    for k, change in enumerate(changes):
+        (tmp_path / f"{k}.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="not supported"):
+            token_count.TokenCounter(str(tmp_path / f"{k}.json"))
+    other = spec | {"added_tokens": [spec["added_tokens"][0] | {"content": "[STOP]"}]}
+    (tmp_path / "other.json").write_text(json.dumps(other), encoding="utf-8")
+    assert token_count.TokenCounter(str(tmp_path / "other.json")).count("a[STOP]b") == 3
