@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import tidy
+
 MOST_BITS = 27
 _HASHES = 3
 _SLICE = 1 << 19  # bits that are merged together
@@ -69,6 +71,7 @@ def filter_of(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], bits:
     """
     n_bytes = _SLICE // 8
 
+    @tidy
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -140,11 +143,13 @@ def repeated(df: DataFrame, hashes: Callable[[pd.DataFrame], np.ndarray], about:
     range_bits = max(0, math.ceil(math.log2(max(1, about) / _RANGE_KEYS)))
     bits, most_bytes = bits_for(2 * about >> range_bits), max(1, 1 << (MOST_BITS - 3) >> range_bits)
 
+    @tidy
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found, times = np.unique(hashes(batch), return_counts=True)
             yield pd.DataFrame({"r": _range(found, range_bits).astype(np.int32), "h": found.view(np.int64), "again": times > 1})
 
+    @tidy
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs: dict[int, tuple[Bits, Bits]] = {}
         for batch in batches:

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .common import documents, input_bytes, materialise, small_batches, without
+from .workers import tidy
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?…:;\n\"“”|]")
 _WORD, _CAPITAL, _NUMBER, _END, _UNIT = range(5)
@@ -162,6 +163,7 @@ def _exploded(df: DataFrame, key: str, text: str, rows_of: Callable[[str | None,
     """A row (k, h, exact, p, slots) for each window; ids of any type, also null ones, stay as they are."""
     schema = f"k {df.schema[key].dataType.simpleString()}, h long, exact boolean, p int, slots array<string>"
 
+    @tidy
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for batch in batches:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fold, hash_share, small_batches
+from .workers import tidy
 
 UNKNOWN = "und"
 ORDERS = (2, 3)
@@ -134,6 +135,7 @@ def fit_language_model(
     )
     sample = usable.where(F.col("l").isin(*languages) & hash_share(F.col("k"), share))
 
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
         for pdf in batches:
@@ -172,6 +174,7 @@ def predict_language(spark: SparkSession, model: LanguageModel, text: Column) ->
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
+    @tidy
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for column in batches:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .common import documents, input_bytes, marked, materialise, small_batches
+from .workers import tidy
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _BYTES_A_LINE = 128  # for sizing the filters only
@@ -83,6 +84,7 @@ def _suspects(spark: SparkSession, twice: bloom.Repeats, min_chars: int, text: C
     shared = spark.sparkContext.broadcast(twice)
 
     @F.pandas_udf("array<binary>")
+    @tidy
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             each = [key_digests(t, min_chars) for t in texts]
@@ -128,6 +130,7 @@ def dedup_lines(
     drops, _ = materialise(drops, "ld-drops")
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
+    @tidy
     def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, drop, keep in batches:
             rows = [

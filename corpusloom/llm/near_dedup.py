@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import similarity_components
 from . import bloom
 from .common import discard, documents, materialise, small_batches, without
+from .workers import tidy
 
 WORDS, PERCENT, BANDS, ROWS = 5, 85, 60, 9
 _CACHE_LIMIT, _CACHED_BYTES = 200_000, 64
@@ -125,6 +126,7 @@ def _describe(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """id, text_hash, n, digest (null for the empty set) and the bands' hashes of each row."""
 
     @F.pandas_udf("n long, digest binary, bands array<long>")
+    @tidy
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for texts in batches:
@@ -137,6 +139,24 @@ def _describe(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("id", F.xxhash64("text").alias("text_hash"), describe("text").alias("__d")).select("id", "text_hash", "__d.*")
 
 
+def _candidates(texts: DataFrame, found: bloom.Bits) -> DataFrame:
+    """The set's digest and the compressed text of each row whose id is in the filter."""
+    has = texts.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf("id binary, z binary")
+    @tidy
+    def compressed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        """Nulls for rows that are no candidate."""
+        hashes = _WordHashes()
+        for hashed, column in batches:
+            chosen = has.value.has(hashed.to_numpy(np.int64).view(np.uint64))
+            out = [(_digest(shingles(t, hashes)), zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1)) if c else (None, None) for t, c in zip(column, chosen)]
+            yield pd.DataFrame(out, columns=["id", "z"])
+
+    once = compressed.asNondeterministic()  # else the filter would compute it as well, in a worker of its own
+    return texts.where(F.col("id").isNotNull()).select(once(F.xxhash64("id"), "text").alias("s")).select("s.*").where("id is not null")
+
+
 def _classified(docs: DataFrame, percent: int, bands: int, rows: int, most: int, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, n_shingles, component_id and kept of each row.
 
@@ -170,19 +190,7 @@ def _classified(docs: DataFrame, percent: int, bands: int, rows: int, most: int,
     several = members.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("bucket")
     wanted, wanted_path = materialise(several.join(members, "bucket").select(F.xxhash64("id").alias("h")).distinct(), "nd-wanted", n_rows // 8)
     found = bloom.filter_of(wanted, lambda pdf: pdf["h"].to_numpy(np.int64).view(np.uint64), bloom.bits_for(wanted.count()))
-    has = spark.sparkContext.broadcast(found)
-
-    @F.pandas_udf("id binary, z binary")
-    def compressed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        """The set's digest and the text of a candidate, nulls for others."""
-        hashes = _WordHashes()
-        for hashed, column in batches:
-            chosen = has.value.has(hashed.to_numpy(np.int64).view(np.uint64))
-            out = [(_digest(shingles(t, hashes)), zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1)) if c else (None, None) for t, c in zip(column, chosen)]
-            yield pd.DataFrame(out, columns=["id", "z"])
-
-    stored = texts.where(F.col("id").isNotNull()).select(compressed(F.xxhash64("id"), "text").alias("s")).select("s.*").where("id is not null")
-    stored, stored_path = materialise(stored.groupBy("id").agg(F.first("z").alias("z")), "nd-texts")
+    stored, stored_path = materialise(_candidates(texts, found).groupBy("id").agg(F.first("z").alias("z")), "nd-texts")
 
     def sets_of() -> Callable[[list], list[np.ndarray]]:
         hashes = _WordHashes()

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, ranked, small_batches, tokenizer_path
+from .workers import tidy
 
 _LETTER = r"A-Za-zÀ-ÖØ-öø-įı-ſ"
 _OTHER = r"!-/:-@\[-`{-~«»¿¡‘’“”–—…€°"
@@ -115,6 +116,7 @@ def cut_documents(
     """One row per piece: the id, start, length, ids_crc32 and doc_tokens. A map over the scan."""
 
     @F.pandas_udf("doc_tokens long, pieces array<struct<start:long,length:long,crc:long>>")
+    @tidy
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer, end = _tokenizer(tokenizer_path(vocabulary)), struct.pack("<I", end_id)
         for column in batches:
