@@ -118,14 +118,75 @@ def _border(q: int, threshold: float) -> int:
     return next((n for n in range(1, 10_000) if all(_needed(m, q, threshold) >= 1 for m in range(n, n + 40))), 10_000)
 
 
+_ODD, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def _spelled(text: str) -> tuple[int, np.ndarray]:
+    """The hash of a text, and the different ones of the text without each of its characters, in time linear in the text."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    c = (c ^ (c << np.uint64(23))) * np.uint64(0xBF58476D1CE4E5B9)
+    powers = np.cumprod(np.full(len(c), _ODD, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c ^ (c >> np.uint64(31))) * powers)])
+    less = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(_INVERSE)
+    return int(sums[-1:].view(np.int64)[0]), np.unique(less.view(np.int64))
+
+
+def _score():
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(ratios(a.to_list(), b.to_list()), dtype="float64")
+
+    return score("stem", "title")
+
+
+def _one_off(stems: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    """(stem, title, score): all pairs of equal texts, or with one character more in one of them, that reach the threshold.
+
+    Texts meet by the hashes of what is left without one character, so rows grow
+    with the characters, and pairs with the result; all pairs are verified.
+    """
+
+    @F.pandas_udf("own long, less array<long>")
+    def spelled(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in texts:
+            yield pd.DataFrame([_spelled(t or "") for t in column], columns=["own", "less"])
+
+    a, b = (cut(df.select(name, spelled(name).alias("h")).select(name, "h.*")) for df, name in ((stems, "stem"), (titles, "title")))
+    longer = b.select(F.col("own").alias("b"), F.explode(F.array_append("less", F.col("own"))).alias("a")).join(a.select(F.col("own").alias("a")).distinct(), "a")
+    shorter = a.select(F.col("own").alias("a"), F.explode("less").alias("b")).join(b.select(F.col("own").alias("b")).distinct(), "b")
+    pairs = longer.select("a", "b").union(shorter.select("a", "b")).distinct()
+    pairs = pairs.join(a.select(F.col("own").alias("a"), "stem"), "a").join(b.select(F.col("own").alias("b"), "title"), "b")
+    n, m = F.length("stem"), F.length("title")
+    scored = pairs.where(F.abs(n - m) <= 1).select("stem", "title").withColumn("score", _score())
+    return scored.where((F.col("score") >= threshold) & (F.col("score") == F.lit(200.0) * F.least(n, m) / (n + m)))
+
+
+def _best(scored: DataFrame, titles: DataFrame) -> DataFrame:
+    best = scored.join(titles.select("title", "pos"), "title").groupBy("stem").agg(F.max(F.struct("score", (-F.col("pos")).alias("turn"), "title")).alias("b"))
+    return best.select("stem", "b.title", "b.score")
+
+
 def near_titles(left: DataFrame, titles: DataFrame, threshold: float = 95.0) -> DataFrame:
     """(stem, title, score): the best title of each stem with at least ``threshold``, ties to the smaller ``pos``.
 
-    ``titles`` has title and pos; ``threshold`` is above 50. Two texts of that
-    ratio share most of their q-grams. With each text's grams in one order, rare
-    ones first, they have one in common among the first few of both: only these
-    prefixes are joined. Candidates whose lengths can't match are left out before
-    they are scored. Empty texts match each other.
+    ``titles`` has title and pos; ``threshold`` is above 50. A title that differs
+    from a stem of three characters or more by one added or missing character has
+    a higher ratio than all that differ by more, so stems with such titles are
+    settled by them; only the others are compared by grams.
+    """
+    stems, known = left.select("stem").distinct(), titles.select("title").distinct()
+    near = cut(_best(_one_off(stems.where(F.length("stem") >= 3), known, threshold), titles))
+    rest = cut(stems.join(near.select("stem"), "stem", "left_anti"))
+    return near if rest.isEmpty() else near.unionByName(_best(_by_grams(rest, known, threshold), titles))
+
+
+def _by_grams(stems: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(stem, title, score): all pairs of distinct stems and titles that reach the threshold.
+
+    Two texts of that ratio share most of their q-grams. With each text's grams
+    in one order, rare ones first, they have one in common among the first few
+    of both: only these prefixes are joined. Candidates whose lengths can't match
+    are left out before they are scored. Empty texts match each other.
     """
     slack = (200.0 - threshold) / threshold
 
@@ -134,15 +195,10 @@ def near_titles(left: DataFrame, titles: DataFrame, threshold: float = 95.0) ->
         for column in texts:
             yield pd.Series([[{"prefix": p, "grams": g} for g, p in _gram_sets(t or "", threshold)] for t in column], dtype=object)
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(ratios(a.to_list(), b.to_list()), dtype="float64")
-
     def exploded(df: DataFrame, name: str) -> DataFrame:
         sets = df.select(name, F.explode(gram_sets(name)).alias("s")).withColumn("k", F.substring(F.col("s.grams")[0], 1, 1))
         return sets.select(name, "k", "s.prefix", F.explode("s.grams").alias("gram"))
 
-    stems, known = left.select("stem").distinct(), titles.select("title").distinct()
     stem_grams, title_grams = cut(exploded(stems, "stem")), cut(exploded(known, "title"))
     often = cut(title_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))
 
@@ -153,13 +209,10 @@ def near_titles(left: DataFrame, titles: DataFrame, threshold: float = 95.0) ->
     pairs = prefixes(stem_grams, "stem").join(prefixes(title_grams, "title"), "gram")
     near = (F.length("stem") <= F.length("title") * slack) & (F.length("title") <= F.length("stem") * slack)
     # as many tasks as a shuffle has: a pair is few bytes and much work
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(stems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.where(near).select("stem", "title").repartition(parts, "stem", "title").distinct()
     empty = stems.where("stem = ''").join(known.where("title = ''"))  # one row each at most
-    scored = pairs.unionByName(empty).withColumn("score", score("stem", "title")).where(F.col("score") >= threshold)
-    scored = scored.join(titles.select("title", "pos"), "title")
-    best = scored.groupBy("stem").agg(F.max(F.struct("score", (-F.col("pos")).alias("turn"), "title")).alias("b"))
-    return best.select("stem", "b.title", "b.score")
+    return pairs.unionByName(empty).withColumn("score", _score()).where(F.col("score") >= threshold)
 
 
 def attach_metadata(texts: DataFrame, metadata: DataFrame, title: str = "Article Title", order: str = "pos", threshold: float = 95.0) -> DataFrame:

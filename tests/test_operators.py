@@ -110,6 +110,16 @@ def test_ratio_and_near_titles(spark, threshold, shortest, longest):
     assert {r["stem"]: r["title"] for r in got.collect()} == want
 
 
+def test_titles_one_character_off_are_not_compared_by_grams(spark, monkeypatch):
+    """Addresses of one site share their grams, so their pairs by grams grow with the square of the addresses."""
+    monkeypatch.setattr(matching, "_by_grams", lambda *_: pytest.fail("compared by grams"))
+    titles = [f"https://www.example.org/en/{k}\U0001f600" for k in range(1000, 1500)]
+    stems = [t + "x" for t in titles[::2]] + [t[:9] + t[10:] for t in titles[1::2]]
+    known = spark.createDataFrame([(t, i) for i, t in enumerate(titles)] + [(titles[0], 900)], "title string, pos int")
+    got = {r["stem"]: (r["title"], r["score"]) for r in matching.near_titles(spark.createDataFrame([(s,) for s in stems], "stem string"), known).collect()}
+    assert got == {s: (t, matching.ratio(s, t)) for s, t in zip(stems, titles[::2] + titles[1::2])}
+
+
 def test_chunk_ids_and_duplicates(spark):
     def ids(sections):
         df = spark.createDataFrame([("12_x.json", "12_x", i, s, "c") for i, s in enumerate(sections)], "source_file string, stem string, pos int, section_id string, content string")
