@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import small_batches  # noqa: F401  for the operators
 from ..operators.lineage import discard, materialise, scratch, shared_dir  # noqa: F401  for the operators
 from . import bloom
 
@@ -18,20 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_BATCH, _USUAL, _SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of 4 MB, unless the session asks for a size of its own.
-
-    Set-up of the session, made by each operator of this subpackage and left so:
-    plans read it when they run, which is after an operator has returned.
-    """
-    said = spark.conf.get(_BATCH, None)
-    if said is not None and said.rstrip("b") in (str(_USUAL), "64m"):
-        spark.conf.set(_BATCH, f"{_SMALL}b")
-
-
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32(doc_id as text) mod ``folds``; null ids count as the text "null"."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % folds

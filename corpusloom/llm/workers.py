@@ -1,28 +1,3 @@
-"""Memory of Python workers, which live on after a task and stay idle beside those that run the next one."""
+"""Memory of Python workers; see :mod:`corpusloom.functions.workers`."""
 
-from __future__ import annotations
-
-import contextlib
-import ctypes
-import functools
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-
-
-def give_back() -> None:
-    """Return freed memory to the system; allocators keep much of a task's peak otherwise."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):  # glibc only
-        ctypes.CDLL(None).malloc_trim(0)
-
-
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, which maps a task's batches, and :func:`give_back` once it has ended and its variables are gone."""
-
-    @functools.wraps(run)
-    def tidied(batches: Iterator) -> Iterator:
-        yield from run(batches)
-        give_back()
-
-    return tidied
+from ..functions.workers import give_back, tidy  # noqa: F401  for the operators

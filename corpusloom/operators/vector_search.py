@@ -3,7 +3,8 @@
 An index is a table (id, vector, ...). Queries and index are packed into blocks
 of bounded size, numbered where they are made; each pair of a query block and an
 index block meets in a task, which multiplies them and keeps the best of each
-query. There is no pair table, and no vector passes through the driver.
+query. Blocks are written tables, and a task holds one pair of blocks and a bounded
+number of scores at once. There is no pair table, and no vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -16,11 +17,19 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import small_batches, tidy
+from .lineage import cut
+
+
+#: Scores that a task holds at once, at most.
+_SCORES = 1 << 20
+
 
 def _blocks(df: DataFrame, id_col: str, vector_col: str, name: str, block_bytes: int) -> DataFrame:
     """{name}, ids and vectors (float64, row after row) of blocks of about ``block_bytes``; ids of any type stay as they are."""
     id_type = df.schema[id_col].dataType.simpleString()
 
+    @tidy
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -62,9 +71,12 @@ def top_k(
     blocks, not over vectors.
     """
     match_type, id_type = (df.schema[c].dataType.simpleString() for df, c in ((index, index_id), (queries, query_id)))
-    left = _blocks(queries, query_id, query_vector, "qb", max(1, block_bytes // 4))
-    right = _blocks(index, index_id, index_vector, "ib", block_bytes).withColumnsRenamed({"ids": "match_ids", "vectors": "match_vectors"})
+    small_batches(queries.sparkSession)
+    # written once: a nested loop reads its right side again for each part of the left, and would build it in workers beside the searching one
+    left = cut(_blocks(queries, query_id, query_vector, "qb", max(1, block_bytes // 4)))
+    right = cut(_blocks(index, index_id, index_vector, "ib", block_bytes)).withColumnsRenamed({"ids": "match_ids", "vectors": "match_vectors"})
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
@@ -74,9 +86,11 @@ def top_k(
                 mine = np.frombuffer(batch.column("vectors")[row].as_buffer(), np.float64).reshape(len(ids), -1)
                 other = np.frombuffer(batch.column("match_vectors")[row].as_buffer(), np.float64).reshape(len(match_ids), -1)[order.to_numpy()]
                 most = min(k, len(match_ids))
-                for at in range(0, len(ids), 256):
-                    scores = mine[at : at + 256] @ other.T
-                    scores = scores if digits is None else np.round(scores, digits)
+                step = max(1, min(256, _SCORES // max(1, len(match_ids))))
+                for at in range(0, len(ids), step):
+                    scores = mine[at : at + step] @ other.T
+                    if digits is not None:
+                        np.round(scores, digits, out=scores)
                     best = _best(scores, most)
                     yield pa.RecordBatch.from_arrays(
                         [
