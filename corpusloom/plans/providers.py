@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.workers import tidy
+
 Load = Callable[[], Callable[[list], list]]
 
 
@@ -242,9 +244,13 @@ def chat_client(base_url: str, model: str, key_variable: str, timeout: float = 1
 
 
 def language_predictor(load: Load) -> Callable[[Column], Column]:
-    """array<string> -> array<struct(label, probability)>, the shape that keep_language takes."""
+    """array<string> -> array<struct(label, probability)>, the shape that keep_language takes.
+
+    Counts as not deterministic, else a plan that filters the result predicts twice, in two workers a task.
+    """
 
     @F.pandas_udf("array<struct<label:string,probability:double>>")
+    @tidy
     def call(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for rows in parts:
@@ -252,7 +258,7 @@ def language_predictor(load: Load) -> Callable[[Column], Column]:
             found = iter(model(flat))
             yield pd.Series([[dict(zip(("label", "probability"), next(found))) for _ in row] for row in rows], dtype=object)
 
-    return call
+    return call.asNondeterministic()
 
 
 def stop_word_language() -> Callable[[list], list]:
