@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import TRIPLE
 from ..functions.text import strip
+from ..functions.workers import few_rows, tidy
 from .graph import similarity_components
 from .lineage import cut
 
@@ -30,6 +31,7 @@ def _signatures(ngram: int, hashes: int, rows: int):
     a, b = rng.integers(1, 1 << 60, hashes, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 60, hashes, dtype=np.uint64)
 
     @F.pandas_udf("shingles array<long>, bands array<long>")
+    @tidy
     def describe(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import re
 
@@ -67,6 +69,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: f
     is the pairs themselves, so a group of k near copies has up to k squared rows:
     use :func:`near_duplicate_groups` to drop duplicates.
     """
+    few_rows(df.sparkSession)
     rep = df.where(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("h")).agg(F.min(F.struct(id_col, text_col)).alias("r"))
     described = rep.select(F.col(f"r.{id_col}").alias("id"), _signatures(ngram, hashes, rows)(F.col(f"r.{text_col}")).alias("d"))
     described = cut(described.select("id", "d.shingles", "d.bands").where(F.size("shingles") > 0))
@@ -86,6 +89,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold:
     Links are found bucket by bucket, so a large group of near copies never makes
     its pairs; see :func:`corpusloom.operators.graph.similarity_components`.
     """
+    few_rows(df.sparkSession)
     reps = df.where(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("h")).agg(F.min(F.struct(id_col, text_col)).alias("r"))
     described = cut(reps.select("h", F.col(f"r.{id_col}").alias("id"), _signatures(ngram, hashes, rows)(F.col(f"r.{text_col}")).alias("d")).select("h", "id", "d.*"))
     members = cut(described.select("id", F.size("shingles").alias("n"), F.explode("bands").alias("bucket")))
